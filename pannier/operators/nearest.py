@@ -35,7 +35,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, want: int) -> np.ndarray:
 
 def _block_product(cosine: bool):
     def product(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+        asks, found, values = [], [], []
         if len(queries) and len(items):
             mine, theirs = _matrix(queries["vec"]), _matrix(items["vec"])
             if cosine:
@@ -43,27 +43,23 @@ def _block_product(cosine: bool):
                     length = np.linalg.norm(m, axis=1, keepdims=True)
                     np.divide(m, length, out=m, where=length > 0)
             ids = items["item_id"].to_numpy()
-            asks = queries["query_id"].to_numpy()
+            names = queries["query_id"].to_numpy()
             wants = queries["want"].to_numpy()
             step = max(1, _TILE // len(ids))
-            for lo in range(0, len(asks), step):
+            for lo in range(0, len(names), step):
                 tile = np.round(mine[lo : lo + step] @ theirs.T, 9)
                 for row, scores in enumerate(tile, start=lo):
                     at = _best(scores, ids, int(wants[row]))
-                    out.append(
-                        pd.DataFrame(
-                            {"query_id": asks[row], "item_id": ids[at], "score": scores[at]}
-                        )
-                    )
-        if not out:
-            return pd.DataFrame(
-                {
-                    "query_id": pd.Series(dtype="int64"),
-                    "item_id": pd.Series(dtype="int64"),
-                    "score": pd.Series(dtype="float64"),
-                }
-            )
-        return pd.concat(out, ignore_index=True)
+                    asks.append(np.full(len(at), names[row]))
+                    found.append(ids[at])
+                    values.append(scores[at])
+        return pd.DataFrame(
+            {
+                "query_id": np.concatenate(asks or [np.empty(0, "int64")]),
+                "item_id": np.concatenate(found or [np.empty(0, "int64")]),
+                "score": np.concatenate(values or [np.empty(0)]),
+            }
+        )
 
     return product
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pannier.config import FactorConfig
-from pannier.functions.vectors import dot, mean_vectors, sum_vectors
+from pannier.functions.vectors import mean_vectors, sum_vectors
 from pannier.operators.nearest import nearest
 from pannier.operators.numbering import dense_index
 from pannier.operators.topk import Queries, drop_owned, top_k
@@ -36,30 +36,39 @@ def start_vector(n: int, seed: int, *keys: str) -> Column:
     )
 
 
-def _plus(a: Column, b: Column, scale: Column | float) -> Column:
-    scale = scale if isinstance(scale, Column) else F.lit(float(scale))
-    return F.zip_with(a, b, lambda x, y: x + scale * y)
+def _moves(loss: str, reg: float):
+    """Ascent directions of a batch of (left, seen, unseen) vectors, summed per vector.
 
+    Emits one row per vector and batch: the partial sums the shuffle carries.
+    """
 
-def _gradients(loss: str, reg: float) -> tuple[Column, Column, Column]:
-    """Ascent directions for the left vector, the seen and the unseen right vector."""
-    u, vi, vj = F.col("vu"), F.col("vi"), F.col("vj")
-
-    def sigmoid(x: Column) -> Column:
-        return 1.0 / (1.0 + F.exp(-x))
+    def sigmoid(x: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-x))
 
-    if loss == "bpr":
-        seen = unseen = 1.0 - sigmoid(dot(u, vi) - dot(u, vj))
-    elif loss == "skipgram":
-        seen, unseen = 1.0 - sigmoid(dot(u, vi)), sigmoid(dot(u, vj))
-    else:
-        raise ValueError(f"unknown loss {loss!r}")
-    to_u = F.zip_with(vi, vj, lambda a, b: seen * a - unseen * b)
-    return (
-        _plus(to_u, u, -reg),
-        F.zip_with(u, vi, lambda a, b: seen * a - reg * b),
-        F.zip_with(u, vj, lambda a, b: -unseen * a - reg * b),
-    )
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            u, vi, vj = (
+                np.asarray(batch[c].tolist(), dtype=np.float64) for c in ("vu", "vi", "vj")
+            )
+            to_seen, to_unseen = (u * vi).sum(axis=1), (u * vj).sum(axis=1)
+            if loss == "bpr":
+                seen = unseen = 1.0 - sigmoid(to_seen - to_unseen)
+            else:
+                seen, unseen = 1.0 - sigmoid(to_seen), sigmoid(to_unseen)
+            seen, unseen = seen[:, None], unseen[:, None]
+            both = np.concatenate([batch["i"].to_numpy(), batch["j"].to_numpy()])
+            for kind, ids, steps in (
+                ("u", batch["u"].to_numpy(), seen * vi - unseen * vj - reg * u),
+                ("v", both, np.concatenate([seen * u - reg * vi, -unseen * u - reg * vj])),
+            ):
+                keys, where, n = np.unique(ids, return_inverse=True, return_counts=True)
+                total = np.zeros((len(keys), steps.shape[1]))
+                np.add.at(total, where, steps)
+                yield pd.DataFrame({"kind": kind, "id": keys, "g": list(total), "n": n})
+
+    return move
 
 
 def train_factors(
@@ -73,6 +82,8 @@ def train_factors(
     by its gradient sum over the square root of the number of summands, so that
     an item in a third of all pairs does not overshoot.
     """
+    if loss not in ("bpr", "skipgram"):
+        raise ValueError(f"unknown loss {loss!r}")
     pairs = materialise(pairs.select("u", "i").distinct(), "factor_pairs")
     index = materialise(
         dense_index(pairs.withColumnRenamed("i", "id"), "id", "idx"), "factor_index"
@@ -100,18 +111,11 @@ def train_factors(
             .join(right.select(F.col("id").alias("i"), F.col("vec").alias("vi")), "i")
             .join(right.select(F.col("id").alias("j"), F.col("vec").alias("vj")), "j")
         )
-        to_u, to_i, to_j = _gradients(loss, cfg.regularization)
-        moves = rows.select(
-            F.explode(
-                F.array(
-                    F.struct(F.lit("u").alias("kind"), F.col("u").alias("id"), to_u.alias("g")),
-                    F.struct(F.lit("v").alias("kind"), F.col("i").alias("id"), to_i.alias("g")),
-                    F.struct(F.lit("v").alias("kind"), F.col("j").alias("id"), to_j.alias("g")),
-                )
-            ).alias("m")
-        ).select("m.kind", "m.id", "m.g")
+        moves = rows.select("u", "i", "j", "vu", "vi", "vj").mapInPandas(
+            _moves(loss, cfg.regularization), "kind string, id long, g array<double>, n long"
+        )
         step = moves.groupBy("kind", "id").agg(
-            sum_vectors(F.col("g")).alias("g"), F.count(F.lit(1)).alias("n")
+            sum_vectors(F.col("g")).alias("g"), F.sum("n").alias("n")
         )
         rate = F.lit(cfg.learning_rate) / F.sqrt(F.col("n").cast("double"))
         state = cut(
@@ -119,7 +123,7 @@ def train_factors(
                 "kind",
                 "id",
                 F.when(F.col("g").isNull(), F.col("vec"))
-                .otherwise(_plus(F.col("vec"), F.col("g"), rate))
+                .otherwise(F.zip_with("vec", F.transform("g", lambda x: x * rate), lambda v, m: v + m))
                 .alias("vec"),
             )
         )
