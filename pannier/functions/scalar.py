@@ -67,20 +67,22 @@ def words(text: Column, stopwords: Sequence[str] = ()) -> Column:
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All word n-grams of the lengths ``low..high``, joined by a blank."""
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        starts = F.when(
-            F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        parts.append(
-            F.transform(
-                starts, lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " ")
-            )
+
+    def longer(shorter: Column, n: int) -> Column:
+        count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        return F.zip_with(
+            F.slice(shorter, F.lit(1), count),
+            F.slice(tokens, F.lit(n), count),
+            lambda head, word: F.concat_ws(" ", head, word),
         )
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+    grams = tokens
+    parts = [tokens] if low == 1 else []
+    for n in range(2, high + 1):
+        grams = longer(grams, n)
+        if n >= low:
+            parts.append(grams)
+    return F.concat(*parts)
 
 
 def item_label(title: Column, item_id: Column) -> Column:

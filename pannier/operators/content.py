@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pannier.config import TextConfig
 from pannier.functions.scalar import STOPWORDS, ngrams, words
 from pannier.functions.vectors import dot, norm, sum_vectors, unit
+from pannier.session import spread
 
 
 def with_text(catalog: DataFrame) -> DataFrame:
@@ -22,7 +23,8 @@ def with_text(catalog: DataFrame) -> DataFrame:
 def term_counts(texts: DataFrame, cfg: TextConfig) -> DataFrame:
     """item_id, term, n for every word n-gram of the description."""
     stop = STOPWORDS if cfg.use_stopwords else ()
-    tokens = texts.select("item_id", words(F.col("description"), stop).alias("_w"))
+    dealt = spread(texts.select("item_id", "description"), "item_id")
+    tokens = dealt.select("item_id", words(F.col("description"), stop).alias("_w"))
     terms = tokens.select("item_id", F.explode(ngrams(F.col("_w"), *cfg.ngram_range)).alias("term"))
     return terms.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# One line of one order; ``pos`` orders the lines of an order as they were recorded.
+# One line of one order; ``pos`` orders the lines of an order as they were recorded
+# (any type with an order will do).
 ORDER_LINES = T.StructType(
     [
         T.StructField("order_id", T.LongType()),
