@@ -47,9 +47,9 @@ def _block_product(cosine: bool):
             wants = queries["want"].to_numpy()
             step = max(1, _TILE // len(ids))
             for lo in range(0, len(names), step):
-                tile = np.round(mine[lo : lo + step] @ theirs.T, 9)
+                tile = mine[lo : lo + step] @ theirs.T
                 for row, scores in enumerate(tile, start=lo):
-                    at = _best(scores, ids, int(wants[row]))
+                    at = _best(np.round(scores, 9), ids, int(wants[row]))
                     asks.append(np.full(len(at), names[row]))
                     found.append(ids[at])
                     values.append(scores[at])

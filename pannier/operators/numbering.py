@@ -21,10 +21,13 @@ def number_rows(
     order: Sequence[Column],
     name: str,
     start: int = 1,
+    limits: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``name`` = position of the row in its group under ``order``.
 
-    ``block`` must be non-decreasing along ``order``.
+    ``block`` must be non-decreasing along ``order``. With ``limits`` (the group
+    columns and ``limit``) blocks that begin behind the limit are left out before
+    any row is sorted; groups without a limit go entirely.
     """
     marked = df.withColumn("_block", block)
     counts = marked.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
@@ -34,6 +37,8 @@ def number_rows(
     offsets = counts.select(
         *group, "_block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead")
     )
+    if limits is not None:
+        offsets = offsets.join(limits, [*group]).where("_ahead < limit").drop("limit")
     inside = Window.partitionBy(*group, "_block").orderBy(*order)
     return (
         marked.join(offsets, [*group, "_block"])

@@ -118,7 +118,10 @@ def first_unowned(
         .where(F.col("rank") <= F.col("size") + k)
         .select("query_id", F.col("rank").cast("long").alias("rank"))
     )
-    skipped = (_skipped_packed if packed else _skipped_long)(placed, k)
+    if packed:
+        skipped = _skipped_packed(placed, k)
+    else:
+        skipped = _skipped_long(materialise(placed, "owned_places"), k)
     places = asks.join(skipped, "query_id", "left").select(
         "query_id",
         "list_id",

@@ -94,8 +94,8 @@ class SessionCooccurrence(Model):
             },
         )
 
-    def profile_lists(self, queries: Queries) -> DataFrame:
-        """Ranked, weighted history scores of the profiles in the batch."""
+    def profile_scores(self, queries: Queries) -> DataFrame:
+        """Weighted history scores of the profiles in the batch."""
         asked = queries.cases.where("profile_id is not null").select("profile_id").distinct()
         past = self.tables["histories"].join(asked, "profile_id", "left_semi")
         sums = (
@@ -103,36 +103,32 @@ class SessionCooccurrence(Model):
             .groupBy("profile_id", F.col("other_id").alias("item_id"))
             .agg((F.sum("score") * self.params["history_weight"]).alias("past"))
         )
-        sums = materialise(sums, "profile_scores")
-        return materialise(
-            number_rows(
-                sums,
-                ["profile_id"],
-                _score_block("past"),
-                [sort_score("past").desc(), F.col("item_id")],
-                "rank",
-            ),
-            "profile_lists",
-        )
+        return materialise(sums, "profile_scores")
 
-    def recommend(self, queries: Queries, k: int = 10) -> DataFrame:
+    def tied_scores(self, queries: Queries) -> DataFrame:
+        """Basket part of the score: items in the history count ``1 - weight`` here."""
         weight = self.params["history_weight"]
-        lists = self.profile_lists(queries)
-        with_profile = queries.items.join(
-            queries.cases.select("query_id", "profile_id"), "query_id"
-        )
         in_past = self.tables["histories"].withColumn("_past", F.lit(True))
-        own = with_profile.join(in_past, ["profile_id", "item_id"], "left").select(
-            "query_id",
-            "item_id",
-            F.when(F.col("_past"), 1.0 - weight).otherwise(1.0).alias("_w"),
+        own = (
+            queries.items.join(queries.cases.select("query_id", "profile_id"), "query_id")
+            .join(in_past, ["profile_id", "item_id"], "left")
+            .select(
+                "query_id",
+                "item_id",
+                F.when(F.col("_past"), 1.0 - weight).otherwise(1.0).alias("_w"),
+            )
         )
         rows = own.join(self.tables["assoc"], "item_id").select(
-            "query_id", F.col("other_id").alias("item_id"), (F.col("score") * F.col("_w")).alias("score")
+            "query_id",
+            F.col("other_id").alias("item_id"),
+            (F.col("score") * F.col("_w")).alias("score"),
         )
-        tied = materialise(drop_owned(sum_scores(rows), queries), "session_tied")
-        past = lists.select("profile_id", "item_id", "past")
-        tied_scores = (
+        return materialise(drop_owned(sum_scores(rows), queries), "session_tied")
+
+    def recommend(self, queries: Queries, k: int = 10) -> DataFrame:
+        past = self.profile_scores(queries)
+        tied = self.tied_scores(queries)
+        own = (
             tied.join(queries.cases.select("query_id", "profile_id"), "query_id")
             .join(past, ["profile_id", "item_id"], "left")
             .select(
@@ -141,21 +137,32 @@ class SessionCooccurrence(Model):
                 (F.col("score") + F.coalesce("past", F.lit(0.0))).alias("score"),
             )
         )
-        # items the profile's list must skip: those of the basket and those tied to it
+        asks = queries.cases.where("profile_id is not null").select(
+            "query_id", F.col("profile_id").alias("list_id")
+        )
+        # a profile's list skips the items of the basket and those tied to it
         skip = queries.owned.unionByName(tied.select("query_id", "item_id")).join(
-            queries.cases.where("profile_id is not null").select("query_id"),
-            "query_id",
-            "left_semi",
+            asks.select("query_id"), "query_id", "left_semi"
+        )
+        sizes = materialise(
+            asks.join(skip.groupBy("query_id").agg(F.count(F.lit(1)).alias("size")), "query_id"),
+            "session_skips",
+        )
+        limits = sizes.groupBy(F.col("list_id").alias("profile_id")).agg(
+            (F.max("size") + k).alias("limit")
+        )
+        lists = materialise(
+            number_rows(
+                past,
+                ["profile_id"],
+                _score_block("past"),
+                [sort_score("past").desc(), F.col("item_id")],
+                "rank",
+                limits=limits,
+            ).withColumnRenamed("profile_id", "list_id"),
+            "profile_lists",
         )
-        skip_size = skip.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
         free = first_unowned(
-            lists.withColumnRenamed("profile_id", "list_id"),
-            queries.cases.where("profile_id is not null").select(
-                "query_id", F.col("profile_id").alias("list_id")
-            ),
-            skip,
-            k,
-            skip_size,
-            packed=False,
+            lists, asks, skip, k, sizes.select("query_id", "size"), packed=False
         ).select("query_id", "item_id", F.col("past").alias("score"))
-        return top_k(tied_scores.unionByName(free), k)
+        return top_k(own.unionByName(free), k)

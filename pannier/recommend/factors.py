@@ -7,6 +7,7 @@ from typing import ClassVar
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,12 @@ from pannier.operators.topk import Queries, drop_owned, top_k
 from pannier.recommend.base import Model
 from pannier.session import cut, materialise
 
-# Basket items whose share of the normal equations is built in one task.
-FOLD_ITEMS = 1000
+# A query with more items than this is folded in from partial sums.
+FOLD_ITEMS = 100
+# Items behind one partial sum.
+PART_ITEMS = 4096
+# Linear systems solved at once inside a task.
+SOLVE_ROWS = 512
 
 
 def start_vector(n: int, seed: int, *keys: str) -> Column:
@@ -36,6 +41,28 @@ def start_vector(n: int, seed: int, *keys: str) -> Column:
     )
 
 
+def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix, without touching single rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _summed(kind: str, ids: np.ndarray, steps: np.ndarray) -> pa.RecordBatch:
+    """One row per id with the sum of its steps."""
+    order = np.argsort(ids, kind="stable")
+    keys, first, n = np.unique(ids[order], return_index=True, return_counts=True)
+    total = np.add.reduceat(steps[order], first, axis=0)
+    offsets = np.arange(len(keys) + 1, dtype=np.int32) * total.shape[1]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([kind] * len(keys), pa.string()),
+            pa.array(keys, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.ravel())),
+            pa.array(n, pa.int64()),
+        ],
+        names=["kind", "id", "g", "n"],
+    )
+
+
 def _moves(loss: str, reg: float):
     """Ascent directions of a batch of (left, seen, unseen) vectors, summed per vector.
 
@@ -45,28 +72,24 @@ def _moves(loss: str, reg: float):
     def sigmoid(x: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-x))
 
-    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            u, vi, vj = (
-                np.asarray(batch[c].tolist(), dtype=np.float64) for c in ("vu", "vi", "vj")
-            )
+            u, vi, vj = (_rows(batch.column(c)) for c in ("vu", "vi", "vj"))
+            ids = {c: batch.column(c).to_numpy() for c in ("u", "i", "j")}
             to_seen, to_unseen = (u * vi).sum(axis=1), (u * vj).sum(axis=1)
             if loss == "bpr":
                 seen = unseen = 1.0 - sigmoid(to_seen - to_unseen)
             else:
                 seen, unseen = 1.0 - sigmoid(to_seen), sigmoid(to_unseen)
             seen, unseen = seen[:, None], unseen[:, None]
-            both = np.concatenate([batch["i"].to_numpy(), batch["j"].to_numpy()])
-            for kind, ids, steps in (
-                ("u", batch["u"].to_numpy(), seen * vi - unseen * vj - reg * u),
-                ("v", both, np.concatenate([seen * u - reg * vi, -unseen * u - reg * vj])),
-            ):
-                keys, where, n = np.unique(ids, return_inverse=True, return_counts=True)
-                total = np.zeros((len(keys), steps.shape[1]))
-                np.add.at(total, where, steps)
-                yield pd.DataFrame({"kind": kind, "id": keys, "g": list(total), "n": n})
+            yield _summed("u", ids["u"], seen * vi - unseen * vj - reg * u)
+            yield _summed(
+                "v",
+                np.concatenate([ids["i"], ids["j"]]),
+                np.concatenate([seen * u - reg * vi, -unseen * u - reg * vj]),
+            )
 
     return move
 
@@ -111,7 +134,7 @@ def train_factors(
             .join(right.select(F.col("id").alias("i"), F.col("vec").alias("vi")), "i")
             .join(right.select(F.col("id").alias("j"), F.col("vec").alias("vj")), "j")
         )
-        moves = rows.select("u", "i", "j", "vu", "vi", "vj").mapInPandas(
+        moves = rows.select("u", "i", "j", "vu", "vi", "vj").mapInArrow(
             _moves(loss, cfg.regularization), "kind string, id long, g array<double>, n long"
         )
         step = moves.groupBy("kind", "id").agg(
@@ -242,26 +265,23 @@ class ImplicitALS(Model):
         n, alpha, reg = (self.params[p] for p in ("factors", "alpha", "regularization"))
         base = self.gram()
         sizes = queries.cases.select("query_id", "size")
-        rows = (
-            queries.owned.join(self.tables["vectors"], "item_id")
-            .join(sizes, "query_id")
-            .withColumn(
-                "part",
-                F.pmod(F.xxhash64("item_id"), F.ceil(F.col("size") / FOLD_ITEMS).cast("long")),
-            )
-        )
+        rows = queries.owned.join(self.tables["vectors"], "item_id").join(sizes, "query_id")
 
-        def solve(gram: np.ndarray, rhs: np.ndarray, count: float) -> np.ndarray:
-            return np.linalg.solve(base + gram + reg * count * np.eye(n), rhs)
-
-        def small(pdf: pd.DataFrame) -> pd.DataFrame:
-            y = np.asarray(pdf["vec"].tolist(), dtype=np.float64)
-            x = solve(alpha * (y.T @ y), (1 + alpha) * y.sum(axis=0), len(y))
-            return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]], "vec": [x]})
+        def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for lo in range(0, len(batch), SOLVE_ROWS):
+                    tile = batch.iloc[lo : lo + SOLVE_ROWS]
+                    ys = [np.asarray(v, dtype=np.float64).reshape(-1, n) for v in tile["flat"]]
+                    left = np.stack([alpha * (y.T @ y) + reg * len(y) * np.eye(n) for y in ys])
+                    right = np.stack([(1 + alpha) * y.sum(axis=0) for y in ys])
+                    x = np.linalg.solve(base + left, right[:, :, None])[:, :, 0]
+                    yield pd.DataFrame({"query_id": tile["query_id"].to_numpy(), "vec": list(x)})
 
-        usual = rows.where(F.col("size") <= FOLD_ITEMS).select("query_id", "vec")
-        vectors = usual.groupBy("query_id").applyInPandas(
-            small, "query_id long, vec array<double>"
+        vectors = (
+            rows.where(F.col("size") <= FOLD_ITEMS)
+            .groupBy("query_id")
+            .agg(F.flatten(F.collect_list("vec")).alias("flat"))
+            .mapInPandas(small, "query_id long, vec array<double>")
         )
         if queries.max_size <= FOLD_ITEMS:
             return vectors
@@ -280,12 +300,19 @@ class ImplicitALS(Model):
         def large(pdf: pd.DataFrame) -> pd.DataFrame:
             values = pdf.sort_values("cell")["value"].to_numpy()
             gram, rhs = values[: n * n].reshape(n, n), values[n * n : n * n + n]
-            x = solve(alpha * gram, (1 + alpha) * rhs, values[-1])
+            left = base + alpha * gram + reg * values[-1] * np.eye(n)
+            x = np.linalg.solve(left, (1 + alpha) * rhs)
             return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]], "vec": [x]})
 
         summed = (
             rows.where(F.col("size") > FOLD_ITEMS)
-            .select("query_id", "part", "vec")
+            .select(
+                "query_id",
+                "vec",
+                F.pmod(
+                    F.xxhash64("item_id"), F.ceil(F.col("size") / PART_ITEMS).cast("long")
+                ).alias("part"),
+            )
             .groupBy("query_id", "part")
             .applyInPandas(part_sums, "query_id long, cell long, value double")
             .groupBy("query_id", "cell")

@@ -9,6 +9,7 @@ of a leaf the Newton step, and adds its damped prediction to the scores.
 
 from __future__ import annotations
 
+import math
 import random
 from typing import Any, ClassVar
 
@@ -27,6 +28,8 @@ from pannier.recommend.base import Model
 from pannier.session import cut, materialise
 
 CUT_EVERY = 5
+# Training rows per partition.
+PARTITION_ROWS = 500_000
 # Keeps the weight of an already well-ordered row away from 0.
 MIN_CURVATURE = 1e-6
 
@@ -145,10 +148,14 @@ class LambdaRanker(Model):
 
     def fit(self, queries: Queries) -> LambdaRanker:
         cfg = self.cfg
+        # laid out by query once: every round's windows then run without a shuffle
+        cases = min(queries.cases.count(), cfg.max_train_cases or queries.cases.count())
+        expected = cases * cfg.n_candidates * len(self.members)
+        cores = queries.cases.sparkSession.sparkContext.defaultParallelism
         rows = cut(
             self.training_rows(queries)
             .withColumn("score", F.lit(0.0))
-            .repartition("query_id")
+            .repartition(max(cores, math.ceil(expected / PARTITION_ROWS)), "query_id")
         )
         if rows.isEmpty():
             return self
@@ -162,7 +169,7 @@ class LambdaRanker(Model):
             ).alias("used")
             target = lambda_gradients(rows).select(
                 vector, F.col("h").alias("weight"), (F.col("g") / F.col("h")).alias("target")
-            )
+            ).persist()
             tree = DecisionTreeRegressor(
                 featuresCol="used",
                 labelCol="target",
@@ -171,6 +178,7 @@ class LambdaRanker(Model):
                 minInstancesPerNode=cfg.min_rows_per_leaf,
                 seed=cfg.seed + step,
             ).fit(target)
+            target.unpersist()
             self.params["trees"].append(flatten_tree(tree, used))
             rows = (
                 tree.transform(rows.withColumn("used", vector))
