@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pannier.operators.numbering import popularity_rank
-from pannier.operators.pairs import both_ways, item_counts, pair_counts
+from pannier.operators.pairs import item_counts, partner_counts
 from pannier.session import materialise
 
 USER_FEATURES = (
@@ -127,11 +127,7 @@ def item_features(
         F.count(F.lit(1)).alias("freq"), F.avg("size").alias("avg_basket_size")
     )
     ranks = popularity_rank(materialise(item_counts(items), "item_counts"), start=0)
-    partners = (
-        both_ways(pair_counts(items, group), "item_a", "item_b", ("item_id", "other_id"))
-        .groupBy("item_id")
-        .agg(F.count(F.lit(1)).alias("partners"))
-    )
+    partners = partner_counts(items, group)
     bought = stats.join(ranks.select("item_id", "rank"), "item_id").join(
         partners, "item_id", "left"
     )

@@ -48,11 +48,11 @@ def number_rows(
 
 
 def by_hash(hex_digest: str) -> Column:
-    """Blocks for an order by a hexadecimal digest: 4096 even slices."""
-    return F.substring(hex_digest, 1, 3)
+    """Blocks for an order by a hexadecimal digest: 65536 even slices."""
+    return F.substring(hex_digest, 1, 4)
 
 
-def dense_index(df: DataFrame, key: str, name: str, blocks: int = 1024) -> DataFrame:
+def dense_index(df: DataFrame, key: str, name: str, blocks: int = 1 << 14) -> DataFrame:
     """Consecutive numbers from 0 for the distinct values of ``key``."""
     return number_rows(
         df.select(key).distinct(),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pannier.functions.scalar import association
@@ -129,6 +129,69 @@ def pair_counts(
     return both.unionByName(among).where(F.col("pair_count") >= min_support)
 
 
+def partner_counts(
+    items: DataFrame,
+    group: str = "order_id",
+    item: str = "item_id",
+    large: int = LARGE_BASKET,
+) -> DataFrame:
+    """Number of distinct items each item shares a basket with: item, partners.
+
+    An item of exactly one large basket has all of that basket as partners, plus
+    those ordinary partners outside it: no pair of the large basket is needed.
+    Only items of several large baskets are met with their members, block by block.
+    """
+    items = items.select(group, item, "size").where("size > 1")
+    huge = items.where(F.col("size") > large)
+    usual = both_ways(
+        pair_counts(items.where(F.col("size") <= large), group, item, 1, large).drop("pair_count"),
+        "item_a",
+        "item_b",
+        (item, "_other"),
+    )
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy(item).agg(F.count(F.lit(1)).alias("partners"))
+
+    if huge.isEmpty():
+        return counted(usual)
+    homes = huge.groupBy(item).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(group).alias("_g"), F.max("size").alias("_size")
+    )
+    tagged = usual.join(homes.select(item, "_n", "_g"), item, "left")
+    inside = huge.select(F.col(group).alias("_g"), F.col(item).alias("_other"))
+    outside = counted(
+        tagged.where("_n = 1").join(inside, ["_g", "_other"], "left_anti").select(item)
+    )
+    single = (
+        homes.where("_n = 1")
+        .join(outside, item, "left")
+        .select(
+            item, (F.col("_size") - 1 + F.coalesce("partners", F.lit(0))).alias("partners")
+        )
+    )
+    several = homes.where("_n > 1").select(item)
+    blocks = F.ceil(F.col("size") / PAIR_BLOCK).cast("long")
+
+    def every() -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1))
+
+    placed = huge.withColumn("_b", blocks).withColumn(
+        "_at", F.pmod(F.xxhash64(item), F.col("_b"))
+    )
+    left = placed.join(several, item, "left_semi").select(
+        group, item, F.col("_at").alias("_lo"), every().alias("_hi")
+    )
+    right = placed.select(
+        group, F.col(item).alias("_other"), every().alias("_lo"), F.col("_at").alias("_hi")
+    )
+    met = left.join(right, [group, "_lo", "_hi"]).where(F.col(item) != F.col("_other"))
+    among = counted(
+        met.select(item, "_other").unionByName(tagged.where("_n > 1").select(item, "_other")).distinct()
+    )
+    return counted(tagged.where("_n is null").select(item)).unionByName(single).unionByName(among)
+
+
 def both_ways(pairs: DataFrame, a: str, b: str, names: tuple[str, str]) -> DataFrame:
     """Each unordered pair in both directions, in one pass over the pairs."""
     rest = [c for c in pairs.columns if c not in (a, b)]

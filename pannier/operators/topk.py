@@ -12,6 +12,8 @@ from pannier.session import materialise
 
 # A query with more items than this is never packed into one array.
 PACKED_ITEMS = 1000
+# Places of a shared list written out per generated row.
+PLACES = 4096
 
 
 @dataclass(frozen=True)
@@ -122,11 +124,20 @@ def first_unowned(
         skipped = _skipped_packed(placed, k)
     else:
         skipped = _skipped_long(materialise(placed, "owned_places"), k)
-    places = asks.join(skipped, "query_id", "left").select(
+    last = F.lit(k) + F.coalesce("skip", F.lit(0))
+    chunks = asks.join(skipped, "query_id", "left").select(
+        "query_id",
+        "list_id",
+        last.alias("_last"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((last - 1) / PLACES))).alias("_c"),
+    )
+    places = chunks.select(
         "query_id",
         "list_id",
         F.explode(
-            F.sequence(F.lit(1).cast("long"), F.lit(k) + F.coalesce("skip", F.lit(0)))
+            F.sequence(
+                F.col("_c") * PLACES + 1, F.least(F.col("_last"), (F.col("_c") + 1) * PLACES)
+            )
         ).alias("rank"),
     )
     return places.join(

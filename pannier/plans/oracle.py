@@ -560,6 +560,13 @@ def oracle_sql() -> dict[str, str]:
                       round(hit10, 4) AS hit10, round(mrr, 4) AS mrr
                FROM rows LEFT JOIN ({ranges}) g ON g.bucket = rows.bucket""",
     )
+    out["debiased_summary"] = s.q(
+        "cooc_recs",
+        debiased
+        + """ SELECT 'CooccurrenceLift' AS model, round(hit5 + 1e-9, 6) AS debiased_hit5,
+                     round(mrr + 1e-9, 6) AS debiased_mrr
+              FROM rows WHERE scope = 'debiased' AND (hit5 > 0 OR mrr > 0)""",
+    )
     out["ensemble_members"] = s.q(
         "wide",
         """SELECT model, weight FROM wide JOIN (VALUES ('TopPopular', 1.0::DOUBLE),

@@ -31,6 +31,7 @@ from pannier.operators.numbering import popularity_rank
 from pannier.operators.topk import Queries, top_k
 from pannier.operators.walks import random_walks
 from pannier.plans import reports
+from pannier.recommend import embedding
 from pannier.recommend.boost import ContentBoost, DenseBoost
 from pannier.recommend.cooccurrence import CooccurrenceLift, SessionCooccurrence
 from pannier.recommend.embedding import Item2Vec, ItemGraphNode2Vec, graph_edges
@@ -508,6 +509,12 @@ def unit_vectors(spark, d):
     ).select("item_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value") + 1e-9, 6).alias("value"))
 
 
+def text_vectors(spark, d):
+    """Vectors of all part names from word vectors trained on them."""
+    cfg = EmbeddingConfig(vector_size=16, min_count=1, epochs=2)
+    return embedding.text_vectors(tpch.catalog(spark, d), cfg)
+
+
 def dense_cosine_topk(spark, d):
     """Ten nearest vectors of every vector, itself left out."""
     vectors = tpch.item_vectors(spark, d)
@@ -567,6 +574,12 @@ def ranker_members(spark, d):
     return ev.ranker_members(Workspace.of(spark, d).metrics)
 
 
+def debiased_summary(spark, d):
+    ws = Workspace.of(spark, d)
+    metrics = ev.debiased(ws.test.cases, ws.cooc_recs, ws.buckets, "CooccurrenceLift", "test")
+    return _r(reports.debiased_summary(metrics), "debiased_hit5", "debiased_mrr")
+
+
 def weight_grid(spark, d):
     ws = Workspace.of(spark, d)
     parts = materialise(ws.content.pool_parts(ws.test, 25), "grid_parts")
@@ -745,6 +758,7 @@ QUERIES: dict[str, Query] = {
     "text_similarity": text_similarity,
     "dense_similarity": dense_similarity,
     "unit_vectors": unit_vectors,
+    "text_vectors": text_vectors,
     "dense_cosine_topk": dense_cosine_topk,
     "eval_hit_mrr": eval_hit_mrr,
     "eval_coverage": eval_coverage,
@@ -752,6 +766,7 @@ QUERIES: dict[str, Query] = {
     "bucket_ranges": bucket_ranges,
     "debiased_metrics": debiased_metrics,
     "bucket_summary": bucket_summary,
+    "debiased_summary": debiased_summary,
     "ensemble_members": ensemble_members,
     "ranker_members": ranker_members,
     "weight_grid": weight_grid,

@@ -19,7 +19,7 @@ from pannier.operators.topk import Queries
 from pannier.recommend.base import Model
 from pannier.recommend.boost import POOL_FACTOR, BlendedPool, ContentBoost, DenseBoost
 from pannier.recommend.cooccurrence import CooccurrenceLift, SessionCooccurrence
-from pannier.recommend.embedding import Item2Vec, ItemGraphNode2Vec
+from pannier.recommend.embedding import Item2Vec, ItemGraphNode2Vec, text_vectors
 from pannier.recommend.factors import ImplicitALS, ImplicitBPR
 from pannier.recommend.fusion import EnsembleRRF, PopularityRerank
 from pannier.recommend.popular import TopPopular
@@ -94,6 +94,8 @@ def fit_base(
         model = ContentBoost.fit(items, catalog, cfg.content, cfg.text)
         return tuned(model, cfg.content, tune_on, cfg.seed)
     if name == "STBoost":
+        if vectors is None and catalog is not None:
+            vectors = text_vectors(catalog, replace(cfg.item2vec, min_count=1))
         model = DenseBoost.fit(items, catalog, vectors, cfg.dense)
         return tuned(model, cfg.dense, tune_on, cfg.seed)
     raise ValueError(f"unknown model {name!r}")

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pannier.config import EmbeddingConfig, FactorConfig, GraphConfig
+from pannier.functions.scalar import words
 from pannier.functions.vectors import mean_vectors
+from pannier.operators.content import unit_vectors
 from pannier.operators.nearest import nearest
 from pannier.operators.pairs import both_ways, pair_counts
 from pannier.operators.topk import Queries, drop_owned, top_k
 from pannier.operators.walks import random_walks
 from pannier.recommend.base import Model
 from pannier.recommend.factors import train_factors
-from pannier.session import materialise
+from pannier.session import materialise, spread
 
 # A basket longer than this is cut into several sentences.
 SENTENCE_ITEMS = 1000
@@ -106,6 +108,25 @@ def word_vectors(lines: DataFrame, cfg: EmbeddingConfig) -> DataFrame:
     )
 
 
+def text_vectors(texts: DataFrame, cfg: EmbeddingConfig, prefix: str = "") -> DataFrame:
+    """Unit vectors of descriptions without an outside encoder: mean of trained word vectors."""
+    described = spread(texts.where(F.length("description") > 0), "item_id")
+    text = F.concat(F.lit(prefix), "description") if prefix else F.col("description")
+    lines = materialise(described.select("item_id", words(text).alias("words")), "text_words")
+    model = Word2Vec(
+        vectorSize=cfg.vector_size,
+        windowSize=cfg.window,
+        minCount=cfg.min_count,
+        maxIter=cfg.epochs,
+        seed=cfg.seed,
+        numPartitions=max(1, math.ceil(lines.count() / PARTITION_SENTENCES)),
+        inputCol="words",
+        outputCol="mean",
+    ).fit(lines)
+    means = model.transform(lines).select("item_id", vector_to_array("mean").alias("vec"))
+    return unit_vectors(means)
+
+
 class VectorModel(Model):
     """Items nearest to the mean vector of the basket."""
 

@@ -205,6 +205,8 @@ class ImplicitALS(Model):
     ) -> ImplicitALS:
         users = materialise(dense_index(items, "order_id", "user"), "als_users")
         index = materialise(dense_index(items, "item_id", "item"), "als_items")
+        if users.count() >= 1 << 31:
+            raise ValueError("ALS numbers its users with 32 bits; fit it on fewer baskets")
         ratings = (
             items.select("order_id", "item_id")
             .join(users, "order_id")

@@ -128,6 +128,11 @@ def save_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def save_report(report: DataFrame, path: str) -> None:
+    """A one-row JSON report as one text document."""
+    report.select("report").coalesce(1).write.mode("overwrite").text(path)
+
+
 def load_titles(spark: SparkSession, models_dir: str) -> DataFrame:
     path = f"{models_dir}/item_titles"
     if not path_exists(spark, path):

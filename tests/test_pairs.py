@@ -60,6 +60,20 @@ def test_large_baskets_take_an_exact_route(spark, support, large, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("large", [3, 20, 1000])
+def test_partner_counts(spark, large, monkeypatch):
+    monkeypatch.setattr(pr, "PAIR_BLOCK", 8)
+    rng = random.Random(large)
+    baskets = [rng.sample(range(70), rng.randint(1, 6)) for _ in range(50)]
+    baskets += [list(range(50)), rng.sample(range(40, 90), 30), [95]]
+    want = {}
+    for b in baskets:
+        for i in b:
+            want.setdefault(i, set()).update(b)
+    got = {r["item_id"]: r["partners"] for r in pr.partner_counts(items_of(spark, baskets), large=large).collect()}
+    assert got == {i: len(s) - 1 for i, s in want.items() if len(s) > 1}
+
+
 def test_sizes_are_counted_when_missing(spark, toy):
     assert as_dict(pr.pair_counts(toy.drop("size"), min_support=2)) == {
         p: c for p, c in brute(TOY).items() if c >= 2
