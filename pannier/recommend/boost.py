@@ -13,7 +13,7 @@ from pannier.operators import content
 from pannier.operators.pairs import basket_total, category_affinity
 from pannier.operators.topk import Queries, top_k
 from pannier.recommend.base import Model
-from pannier.recommend.cooccurrence import association_scores, fit_associations
+from pannier.recommend.cooccurrence import association_top, fit_associations, heavy_items
 from pannier.session import materialise
 
 # The pool holds this many times k candidates.
@@ -34,9 +34,10 @@ class BlendedPool(Model):
         A part whose maximum is not positive counts 0. The pool is at most
         ``pool_size`` rows per query, so windows by query stay small.
         """
-        base = association_scores(queries, self.tables["assoc"])
         pool = materialise(
-            top_k(base, pool_size).select("query_id", "item_id", F.col("score").alias("cooc")),
+            association_top(queries, self.tables, pool_size).select(
+                "query_id", "item_id", F.col("score").alias("cooc")
+            ),
             "boost_pool",
         )
         parts = pool
@@ -99,7 +100,8 @@ def _fit_common(
         "min_support": cfg.min_support,
         "score_metric": cfg.score_metric,
     }
-    tables = {"assoc": fit_associations(items, cfg.score_metric, cfg.min_support)}
+    assoc = fit_associations(items, cfg.score_metric, cfg.min_support)
+    tables = {"assoc": assoc, "heavy": heavy_items(assoc)}
     if catalog is not None:
         tables["catalog"] = materialise(
             catalog.select("item_id", "category"), "boost_catalog"

@@ -44,6 +44,98 @@ def association_scores(queries: Queries, assoc: DataFrame) -> DataFrame:
     return drop_owned(sum_scores(rows), queries)
 
 
+# Items with more partners than this are read as ranked lists, not summed per query.
+HEAVY_PARTNERS = 5000
+
+
+def heavy_items(assoc: DataFrame) -> DataFrame:
+    """item_id, partners of the items with very many associations; mostly empty."""
+    degrees = assoc.groupBy("item_id").agg(F.count(F.lit(1)).alias("partners"))
+    return materialise(degrees.where(F.col("partners") > HEAVY_PARTNERS), "heavy_items")
+
+
+def _score_block(score: str) -> Column:
+    """Slices of a positive score, highest first, on a logarithmic scale."""
+    value = sort_score(score)
+    return F.when(value > 0, -F.floor(F.log2(value) * 16)).otherwise(F.lit(1 << 20))
+
+
+def best_of_lists(
+    scores: DataFrame, asks: DataFrame, tied: DataFrame, queries: Queries, k: int
+) -> DataFrame:
+    """First ``k`` entries of each query's list that are neither owned nor tied to it.
+
+    scores: list_id, item_id, score; asks: query_id, list_id; tied: query_id, item_id.
+    """
+    skip = queries.owned.unionByName(tied.select("query_id", "item_id")).join(
+        asks.select("query_id"), "query_id", "left_semi"
+    )
+    sizes = materialise(
+        asks.join(skip.groupBy("query_id").agg(F.count(F.lit(1)).alias("size")), "query_id"),
+        "list_skips",
+    )
+    limits = sizes.groupBy("list_id").agg((F.max("size") + k).alias("limit"))
+    lists = materialise(
+        number_rows(
+            scores,
+            ["list_id"],
+            _score_block("score"),
+            [sort_score().desc(), F.col("item_id")],
+            "rank",
+            limits=limits,
+        ),
+        "ranked_lists",
+    )
+    return first_unowned(
+        lists, asks, skip, k, sizes.select("query_id", "size"), packed=False
+    ).select("query_id", "item_id", "score")
+
+
+def association_top(queries: Queries, tables: dict[str, DataFrame], k: int) -> DataFrame:
+    """The ``k`` best associated items per query.
+
+    A best-selling item ties nearly every item to nearly every query. Where a
+    query holds such an item, its heaviest one is not multiplied out: items tied
+    to nothing else in the basket score exactly what the heavy item's own list
+    says, so the first few of that list do. Queries repeating it are summed.
+    """
+    assoc, heavy = tables["assoc"], tables["heavy"]
+    if heavy.isEmpty():
+        return top_k(association_scores(queries, assoc), k)
+    weighty = (
+        queries.items.join(heavy, "item_id")
+        .groupBy("query_id", "item_id")
+        .agg(F.max("partners").alias("partners"), F.count(F.lit(1)).alias("times"))
+    )
+    leads = materialise(
+        weighty.groupBy("query_id")
+        .agg(F.max(F.struct("partners", "item_id", "times")).alias("_m"))
+        .where("_m.times = 1")
+        .select("query_id", F.col("_m.item_id").alias("list_id")),
+        "lead_items",
+    )
+    rest = queries.items.join(
+        leads.withColumnRenamed("list_id", "item_id"), ["query_id", "item_id"], "left_anti"
+    )
+    rows = rest.join(assoc, "item_id").select(
+        "query_id", F.col("other_id").alias("item_id"), "score"
+    )
+    tied = materialise(drop_owned(sum_scores(rows), queries), "tied_items")
+    led = assoc.join(heavy, "item_id", "left_semi").select(
+        F.col("item_id").alias("list_id"), F.col("other_id").alias("item_id"), "score"
+    )
+    own = (
+        tied.join(leads, "query_id", "left")
+        .join(led.withColumnRenamed("score", "_led"), ["list_id", "item_id"], "left")
+        .select(
+            "query_id",
+            "item_id",
+            (F.col("score") + F.coalesce("_led", F.lit(0.0))).alias("score"),
+        )
+    )
+    return top_k(own.unionByName(best_of_lists(led, leads, tied, queries, k)), k)
+
+
 class CooccurrenceLift(Model):
     name: ClassVar[str] = "CooccurrenceLift"
 
@@ -52,16 +144,13 @@ class CooccurrenceLift(Model):
         cls, items: DataFrame, min_support: int = 2, score_metric: str = "lift"
     ) -> CooccurrenceLift:
         assoc = fit_associations(items, score_metric, min_support)
-        return cls({"min_support": min_support, "score_metric": score_metric}, {"assoc": assoc})
+        return cls(
+            {"min_support": min_support, "score_metric": score_metric},
+            {"assoc": assoc, "heavy": heavy_items(assoc)},
+        )
 
     def recommend(self, queries: Queries, k: int = 10) -> DataFrame:
-        return top_k(association_scores(queries, self.tables["assoc"]), k)
-
-
-def _score_block(score: str) -> Column:
-    """Slices of a positive score, highest first, on a logarithmic scale."""
-    value = sort_score(score)
-    return F.when(value > 0, -F.floor(F.log2(value) * 16)).otherwise(F.lit(1 << 20))
+        return association_top(queries, self.tables, k)
 
 
 class SessionCooccurrence(Model):
@@ -140,29 +229,5 @@ class SessionCooccurrence(Model):
         asks = queries.cases.where("profile_id is not null").select(
             "query_id", F.col("profile_id").alias("list_id")
         )
-        # a profile's list skips the items of the basket and those tied to it
-        skip = queries.owned.unionByName(tied.select("query_id", "item_id")).join(
-            asks.select("query_id"), "query_id", "left_semi"
-        )
-        sizes = materialise(
-            asks.join(skip.groupBy("query_id").agg(F.count(F.lit(1)).alias("size")), "query_id"),
-            "session_skips",
-        )
-        limits = sizes.groupBy(F.col("list_id").alias("profile_id")).agg(
-            (F.max("size") + k).alias("limit")
-        )
-        lists = materialise(
-            number_rows(
-                past,
-                ["profile_id"],
-                _score_block("past"),
-                [sort_score("past").desc(), F.col("item_id")],
-                "rank",
-                limits=limits,
-            ).withColumnRenamed("profile_id", "list_id"),
-            "profile_lists",
-        )
-        free = first_unowned(
-            lists, asks, skip, k, sizes.select("query_id", "size"), packed=False
-        ).select("query_id", "item_id", F.col("past").alias("score"))
-        return top_k(own.unionByName(free), k)
+        lists = past.select(F.col("profile_id").alias("list_id"), "item_id", F.col("past").alias("score"))
+        return top_k(own.unionByName(best_of_lists(lists, asks, tied, queries, k)), k)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pannier.operators import numbering as nb
 from pannier.operators import topk
+from pannier.recommend import cooccurrence
 from pannier.recommend.cooccurrence import CooccurrenceLift, SessionCooccurrence
 from pannier.recommend.popular import TopPopular
 
@@ -102,10 +103,13 @@ def test_session_equals_the_direct_sum_with_one_dominant_profile(spark):
         assert got.get(q, []) == best(scores, 6), q
 
 
-def test_cooccurrence_equals_the_direct_sum(spark):
+@pytest.mark.parametrize("heavy", [1, 12, 5000])
+def test_cooccurrence_equals_the_direct_sum(spark, heavy, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "HEAVY_PARTNERS", heavy)
     rng = random.Random(2)
     baskets = [rng.sample(range(30), rng.randint(2, 5)) for _ in range(80)]
-    queries = [[1, 2], [5], [29, 5, 5], [999]]
+    baskets += [[0, i] for i in range(1, 30) for _ in range(2)]  # item 0 is tied to all
+    queries = [[1, 2], [5], [29, 5, 5], [999], [0], [0, 0, 3], [0, 4, 7], list(range(25))]
     model = CooccurrenceLift.fit(items_of(spark, baskets), 2, "lift")
     got = lists_of(model.recommend(queries_of(spark, queries), 5))
     assoc = assoc_of(baskets, 2)
