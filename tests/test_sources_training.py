@@ -159,7 +159,7 @@ def test_whole_run(spark, tmp_path, catalog):
         ranker=RankerConfig(n_candidates=5, rounds=1, max_depth=1, min_rows_per_leaf=1),
         ensemble_min_hit5=0.0,
         profile_models=(),  # every profile here bought everything, which ties nothing
-        models=("TopPopular", "CooccurrenceLift", "ContentBoost", "PopularityRerank", "EnsembleRRF", "LGBMEnsemble"),
+        models=("TopPopular", "CooccurrenceLift", "EnsembleRRF", "LGBMEnsemble"),
     )
     out = str(tmp_path / "models")
     models, metrics = training.train(prepared, cfg, catalog, models_dir=out)
