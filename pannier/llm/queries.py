@@ -7,7 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pannier.llm import decontaminate, mixing, near_dedup, quality, token_files
+from pannier.llm import (
+    chat_template,
+    decontaminate,
+    mixing,
+    near_dedup,
+    omh_fingerprint,
+    quality,
+    token_files,
+    url_rules,
+    warc,
+)
+
+#: The host rules and the extra conversation of the registered queries.
+HOST_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
 #: The tokenizer file of the registered query; a parameter of the operator.
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,10 +48,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh_fingerprint.with_next(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.described(spark, warc.write(table(spark, sf_dir, "pages")))
+
+
+def op5_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", EXTRA_TEXT), (-7, 1, "assistant", EXTRA_TEXT)], turns.schema)
+    return chat_template.read_back(chat_template.written(turns.unionByName(extra)))
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_rules.host_rule(*r) for r in HOST_RULES] + [url_rules.pattern_rule(*r) for r in url_rules.PATTERNS]
+    return url_rules.judged(table(spark, sf_dir, "pages"), rules)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", held_out=held_out())
@@ -54,7 +93,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_order_minhash": op2_order_minhash,
     "op3_decontamination": op3_decontamination,
+    "op4_warc": op4_warc,
+    "op5_chat_template": op5_chat_template,
+    "op6_url_rules": op6_url_rules,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
