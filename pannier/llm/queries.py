@@ -14,6 +14,7 @@ from pannier.llm import (
     near_dedup,
     omh_fingerprint,
     quality,
+    suffix_dedup,
     token_files,
     url_rules,
     warc,
@@ -48,6 +49,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh_fingerprint.with_next(table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_order_minhash": op2_order_minhash,
     "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
