@@ -14,9 +14,10 @@
    their common prefix. Suffixes alone between boundaries can meet nobody any more and
    leave. After ``LENGTH`` rounds the intervals that remain are the repeated strings; no suffix
    is sorted again.
-4. A key with more than ``MERGED`` different segments (a common line in many surroundings) is not
-   brought together: its windows are counted one by one by content hash, a plain
-   aggregation, which is exact as well and has no hot task.
+4. A key with more than ``MERGED`` different segments (a common line in many surroundings) is
+   dealt once more, by the 178 bytes that the windows of a piece have in common. Pieces
+   are counted and compared like segments. Where even those have more than ``MERGED`` kinds, single
+   windows are counted by a 128-bit hash: exact as well, and without a hot task.
 5. Covered windows become byte spans of documents.
 
 Edge cases: a null text is an empty one; texts below ``LENGTH`` bytes lose nothing; a document of
@@ -42,6 +43,8 @@ LENGTH = 200
 GRAM = 32
 #: Different segments of one key that a task compares by suffix order.
 MERGED = 1024
+#: Windows of one piece of a key with more of them.
+STRIDE = 23
 #: Bytes of one shard, and of the segments merged at once.
 SHARD_BYTES = 128_000
 CHUNK_BYTES = 512_000
@@ -149,30 +152,34 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """
     sizes = np.array([len(s) + 1 for s in strings])
     ends = np.cumsum(sizes) - 1
-    text = np.zeros(int(sizes.sum()), np.int64)
-    body = np.ones(len(text), bool)
+    n = int(sizes.sum())
+    text = np.zeros(n, np.int64)
+    body = np.ones(n, bool)
     body[ends] = False
     text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + len(strings)
     text[ends] = np.arange(len(strings))
-    n, width = len(text), 1
-    rank = text
+    bits = int(text.max(initial=1)).bit_length()
+    width = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for j in range(width):  # as many symbols as fit, then doubling
+        key <<= bits
+        key[: n - j] |= text[j:] if j < n else 0
     while True:
-        after = np.full(n, -1, np.int64)
-        after[: n - width] = rank[width:]
-        pair = rank * np.int64(max(n, 256) + len(strings) + 2) + after + 1
-        order = np.argsort(pair, kind="stable")
-        ranked = pair[order]
-        fresh = np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)])
+        order = np.argsort(key)
+        ranked = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
+        rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
         if rank[order[-1]] == n - 1:
             break
+        key = rank * np.int64(n + 1)
+        if width < n:
+            key[: n - width] += rank[width:] + 1
         width *= 2
     before = np.where(order > 0, text[order - 1], 0)
     first = np.zeros(n, bool)
     first[np.concatenate([[0], ends[:-1] + 1])] = True
-    symbol = np.where(first[order], 0, before - len(strings) + 1).astype(np.int16)
-    return symbol, order, rank[np.maximum(order - 1, 0)]
+    symbol = np.where(first[order], 0, before - len(strings) + 1).astype(np.uint8)  # no byte of UTF-8 is 255
+    return symbol, order.astype(np.int32), rank[np.maximum(order - 1, 0)].astype(np.int32)
 
 
 def repeated_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,31 +192,32 @@ def repeated_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             size = 0
         shards[-1].append(s)
         size += len(s)
-    symbols, places, steps, base, chars = [], [], [], 0, 0
+    symbols, places, steps, base = [], [], [], np.int32(0)
     for shard in shards:
         symbol, place, step = transform(shard)
         symbols.append(symbol)
-        places.append(place + chars)
+        places.append(place + base)
         steps.append(step + base)
-        base += len(symbol)
-        chars += len(symbol)
+        base += np.int32(len(symbol))
     symbol, place, step = map(np.concatenate, (symbols, places, steps))
-    # suffixes in order by their first 0 bytes: one interval
-    at = np.arange(len(symbol))
-    group = np.zeros(len(symbol), np.int64)
+    starts = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])
+    inside = place - starts[np.searchsorted(starts, place, "right") - 1]
+    # by their first 0 bytes all suffixes form one interval; those with fewer than
+    # LENGTH bytes before them begin no window and take no part
+    at = np.flatnonzero(inside >= LENGTH).astype(np.int32)
+    group = np.zeros(len(at), np.int32)
     for _ in range(LENGTH):
+        if not len(at):
+            break
         before = symbol[at]
-        go = before > 0
-        at, group, before = at[go], group[go], before[go]
         order = np.argsort(before, kind="stable")
         at, group, before = step[at[order]], group[order], before[order]
         edge = np.ones(len(at) + 1, bool)
         edge[1:-1] = (before[1:] != before[:-1]) | (group[1:] != group[:-1])
         shared = ~(edge[:-1] & edge[1:])
-        at, group = at[shared], np.cumsum(edge[:-1])[shared]
-        if not len(at):
-            break
-    starts = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])
+        group = np.cumsum(edge[:-1], dtype=np.int32)
+        if not shared.all():
+            at, group = at[shared], group[shared]
     found = np.sort(place[at])
     owner = np.searchsorted(starts, found, "right") - 1
     return owner, found - starts[owner]
@@ -280,6 +288,75 @@ def _counted(texts: DataFrame) -> DataFrame:
     return windows.join(twice, "digest").select("key", "content", "low", (F.col("low") + 1).alias("high"))
 
 
+def _pieces(texts: DataFrame) -> DataFrame:
+    """Segments of hot keys cut in pieces of at most ``STRIDE`` windows.
+
+    Pieces are aligned to the key's string, so equal windows lie in pieces of equal number,
+    and all windows of a piece hold the same ``LENGTH - STRIDE + 1`` bytes; their hash is
+    the piece's key. Only windows that agree in that much meet again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, content, data in zip(*[batch.column(c).to_pylist() for c in ("key", "content", "bytes")]):
+                last = len(data) - LENGTH
+                h = _gram_hashes(_table()[np.frombuffer(data, np.uint8)])
+                place = last + int(np.argmin(h[last : last + LENGTH - GRAM + 1]))
+                for b in range((place - last) // STRIDE, place // STRIDE + 1):
+                    low, high = max(0, place - STRIDE * b - STRIDE + 1), min(last, place - STRIDE * b)
+                    core = place - STRIDE * b
+                    name = data[core : core - STRIDE + 1 + LENGTH] + key.to_bytes(8, "big", signed=True) + bytes([b])
+                    piece = data[low : high + LENGTH]
+                    out.append((key, content, low, high - low + 1, _hash(name), _hash(piece), piece))
+            columns = list(zip(*out)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                ["of_key", "of_content", "shift", "windows", "key", "content", "bytes"],
+            )
+
+    return texts.mapInArrow(
+        run,
+        "of_key long, of_content long, shift int, windows int, key long, content long, bytes binary",
+    )
+
+
+def _hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
+
+
+def _split_again(texts: DataFrame) -> DataFrame:
+    """Covered windows of hot keys: pieces take the way of segments once more."""
+    pieces = materialise(_pieces(texts), "pieces")
+    shared = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    live = pieces.join(shared, "key")
+    kinds = materialise(
+        live.groupBy("key", "content").agg(
+            F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes")
+        ),
+        "kinds",
+    )
+    many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    left = kinds.join(many, "key")
+    found = _merged(left.where(F.col("kinds") <= MERGED)).unionByName(_counted(left.where(F.col("kinds") > MERGED)))
+    ranges = _ranges(kinds, found)
+    return pieces.join(ranges, ["key", "content"]).select(
+        F.col("of_key").alias("key"),
+        F.col("of_content").alias("content"),
+        (F.col("shift") + F.col("low")).alias("low"),
+        (F.col("shift") + F.col("high")).alias("high"),
+    )
+
+
+def _ranges(kinds: DataFrame, found: DataFrame) -> DataFrame:
+    """All windows of content that occurs twice, else the windows found."""
+    twice = kinds.where("n > 1")
+    whole = twice.select("key", "content", F.lit(0).alias("low"), F.col("windows").alias("high"))
+    parts = found.join(twice.select("key", "content"), ["key", "content"], "left_anti")
+    return whole.unionByName(parts.select("key", "content", "low", "high"))
+
+
 def covers(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, spans): covered byte spans of each document that has any, as (start, end).
 
@@ -325,10 +402,9 @@ def covers(docs: DataFrame) -> DataFrame:
         .mapInArrow(fetch, "key long, content long, kinds long, bytes binary"),
         "texts",
     )
-    found = _merged(texts.where(F.col("kinds") <= MERGED)).unionByName(_counted(texts.where(F.col("kinds") > MERGED)))
-    whole = kinds.where("n > 1").select("key", "content", F.lit(0).alias("low"), F.col("windows").alias("high"))
-    parts = found.join(kinds.where("n > 1").select("key", "content"), ["key", "content"], "left_anti")
-    ranges = materialise(whole.unionByName(parts.select("key", "content", "low", "high")), "ranges")
+    found = _merged(texts.where(F.col("kinds") <= MERGED))
+    found = found.unionByName(_split_again(texts.where(F.col("kinds") > MERGED)))
+    ranges = materialise(_ranges(kinds, found), "ranges")
     return (
         live.join(ranges, ["key", "content"])
         .select(
