@@ -118,6 +118,20 @@ def _trim(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[: len(a) - tail], b[: len(b) - tail]
 
 
+def _couples(a: np.ndarray) -> np.ndarray:
+    return np.sort(a[:-1] * np.uint64(0x9E3779B97F4A7C15) + a[1:])
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the common part of two sorted multisets."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    if not len(both):
+        return 0
+    values = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    count = lambda x: np.searchsorted(x, values, "right") - np.searchsorted(x, values, "left")
+    return int(np.minimum(count(a), count(b)).sum())
+
+
 def _band(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
     """Edit distances of ``pairs`` inside a band of ``width`` on either side.
 
@@ -140,7 +154,14 @@ def _band(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
     inside = np.abs(lb - la) <= width
     done = la == 0
     out[done] = np.where(inside[done], lb[done], far)
+    live = np.arange(n)
     for i in range(1, int(la.max(initial=0)) + 1):
+        if i % 16 == 0:  # a row above the width stays above it; such pairs and ended ones leave
+            stay = (la[live] >= i) & (row.min(axis=1) <= width)
+            if not stay.any():
+                break
+            if not stay.all():
+                live, row, first, other = live[stay], row[stay], first[stay], other[stay]
         step = row + (first[:, i - 1 : i] != other[:, i - 1 : i + 2 * width])
         step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)
         column = i - width + across
@@ -152,8 +173,8 @@ def _band(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
         step += across
         np.minimum(step, far, out=step)
         row = step
-        ends = np.flatnonzero((la == i) & inside)
-        out[ends] = row[ends, end[ends]]
+        ends = np.flatnonzero((la[live] == i) & inside[live])
+        out[live[ends]] = row[ends, end[live[ends]]]
     return out
 
 
@@ -168,10 +189,10 @@ def edit_within(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray)
         if not len(a) or not len(b):
             ok[p] = max(len(a), len(b)) <= limits[p]
             continue
-        # words that the other side lacks each cost an edit
-        lost = max((~np.isin(a, b)).sum(), (~np.isin(b, a)).sum())
-        if lost <= limits[p]:
-            todo.append((p, a, b, max(16, int(lost))))
+        # an edit destroys at most two word pairs, so missing pairs bound the distance from below
+        least = (max(len(a), len(b)) - 1 - _shared(_couples(a), _couples(b))) / 2
+        if least <= limits[p]:
+            todo.append((p, a, b, max(16, int(least * 1.25))))
     while todo:
         todo.sort(key=lambda t: (t[3], len(t[1])))
         later, lo = [], 0
