@@ -12,9 +12,8 @@ A reader fetches the footer and the table, then only the frames with requested
 documents, and checks each against its checksum. Frames close at
 ``FRAME_IDS`` ids, so a document longer than that has a frame of its own.
 
-Text is cut at single blanks before encoding: the tokenizer's own pattern always
-begins a piece at a blank that stands between two other characters, so pieces encode to
-the same ids as the text. Distinct pieces are encoded once per slice and kept in a bounded
+Text is cut at single blanks before encoding: the tokenizer's own pattern always begins
+a piece at a blank between two other characters, so pieces encode to the same ids as the text. Distinct pieces are encoded once per slice and kept in a bounded
 table. Texts with blanks next to other white space are encoded whole.
 
 Tasks write through the file system that the folder's address names, to a name
@@ -28,6 +27,7 @@ no file; extra columns are left out.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -49,11 +49,14 @@ END_ID = 2
 FRAME_IDS = 1 << 16
 LEVEL = 3
 #: Distinct pieces remembered by a task.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
+PIECE_BATCH = 4096
 MAGIC = b"PNRTOK01"
 _FOOTER = "<QII8s"
 _FOOTER_BYTES = struct.calcsize(_FOOTER)
 _NULL = -(1 << 63)
+#: Texts that are encoded whole: blanks beside other white space, marks.
+_ODD = r"[\s\pZ\x{85}\x0b\x1c-\x1f] | [\s\pZ\x{85}\x0b\x1c-\x1f]|<\|"
 
 
 class Encoder:
@@ -63,27 +66,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, list[int]] = {}
+        self.elder: dict[str, list[int]] = {}
 
-    def _plain(self, pieces: list[str]) -> list[np.ndarray]:
-        done = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint32) for e in done]
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The worker's encoder for a file: tasks that follow each other in a worker share it."""
+        import tokenizers
+
+        kept = vars(tokenizers).setdefault("_encoders_by_path", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def _plain(self, pieces: list[str]) -> Iterator[list[int]]:
+        for lo in range(0, len(pieces), PIECE_BATCH):
+            for e in self.tokenizer.encode_batch_fast(pieces[lo : lo + PIECE_BATCH], add_special_tokens=False):
+                yield e.ids
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > KEPT_PIECES:
-            self.known = {}
-        new = [p for p in pieces if p not in self.known]
-        self.known.update(zip(new, self._plain(new)))
-        ids = [self.known[p] for p in pieces]
-        return np.concatenate(ids or [np.empty(0, np.uint32)]), np.array([len(i) for i in ids], np.int64)
+        if len(self.known) > KEPT_PIECES:  # the elder half goes, what is in use moves on
+            self.elder, self.known = self.known, {}
+        known, elder = self.known, self.elder
+        known.update((p, elder[p]) for p in pieces if p not in known and p in elder)
+        new = [p for p in pieces if p not in known]
+        known.update(zip(new, self._plain(new)))
+        ids = [known[p] for p in pieces]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         texts = filled(texts)
-        odd = pc.match_substring_regex(texts, r"[\s\pZ\x{85}\x0b\x1c-\x1f] | [\s\pZ\x{85}\x0b\x1c-\x1f]|<\|")
-        odd = odd.to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
         for i in np.flatnonzero(odd):
-            out[i] = self._plain([texts[int(i)].as_py()])[0]
+            out[i] = np.array(next(self._plain([texts[int(i)].as_py()])), dtype=np.uint32)
         calm = np.flatnonzero(~odd)
         if not len(calm):
             return out
@@ -208,7 +225,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
         encoder = writer = sink = None
         for batch in batches:
             if batch.num_rows and writer is None:
-                encoder = Encoder(tokenizer)
+                encoder = Encoder.of(tokenizer)
                 system.create_dir(root, recursive=True)
                 name = f"{root}/part-{part:06d}.ids"
                 mine = f"{root}/_writing-{part:06d}-{uuid.uuid4().hex}"
