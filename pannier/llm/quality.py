@@ -278,14 +278,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, cfg: FmConfig | None = N
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
         machine = Machine.empty(cfg)
-        if tables:
-            table = pa.concat_tables(tables).combine_chunks()
-            lists = table.column("ids").chunk(0)
-            at = np.asarray(lists.offsets, dtype=np.int64)
-            ids = lists.values.to_numpy().astype(np.int64)
-            values = table.column("vals").chunk(0).values.to_numpy()
-            labels_ = table.column("label").to_numpy().astype(float)
-            machine.fit(ids[at[0] : at[-1]], values[at[0] : at[-1]], at - at[0], labels_, cfg)
+        if not tables:
+            return
+        table = pa.concat_tables(tables).combine_chunks()
+        lists = table.column("ids").chunk(0)
+        at = np.asarray(lists.offsets, dtype=np.int64)
+        ids = lists.values.to_numpy().astype(np.int64)
+        values = table.column("vals").chunk(0).values.to_numpy()
+        labels_ = table.column("label").to_numpy().astype(float)
+        machine.fit(ids[at[0] : at[-1]], values[at[0] : at[-1]], at - at[0], labels_, cfg)
         yield pa.RecordBatch.from_arrays([pa.array([machine.to_bytes()], pa.binary())], ["model"])
 
     made = (
@@ -295,7 +296,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, cfg: FmConfig | None = N
         .mapInArrow(learn, "model binary")
         .first()
     )
-    return Machine.from_bytes(made["model"], cfg) if made else Machine.empty(cfg)
+    if made is None:  # nothing learned: every score is 0.5
+        blank = Machine.empty(cfg)
+        return Machine(0.0, blank.weights, blank.factors * 0)
+    return Machine.from_bytes(made["model"], cfg)
 
 
 def score(docs: DataFrame, machine: Machine, cfg: FmConfig | None = None, text: str = "text", name: str = "score") -> DataFrame:
