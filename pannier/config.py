@@ -30,7 +30,8 @@ class BoostConfig:
     min_support: int = 2
     score_metric: str = "npmi"
     tune_weights: bool = True
-    tune_max_cases: int = 30_000
+    #: Cases used to choose weights; 0 takes all.
+    tune_max_cases: int = 0
     cooc_grid: tuple[float, ...] = (0.5, 0.6, 0.7)
     category_grid: tuple[float, ...] = (0.15, 0.25, 0.35)
 

@@ -228,7 +228,7 @@ def profile_baskets(spark, d):
 
 def csv_baskets(spark, d):
     """Order lines written as CSV in the raw column names and read back."""
-    path = f"{run_dir(spark)}/csv_lines"
+    path = f"{run_dir(spark)}/csv_lines-{uuid.uuid4().hex[:12]}"
     lines = tpch.order_lines(spark, d)
     lines.select(
         F.date_format("created_at", "dd.MM.yyyy HH:mm").alias("created_at"),

@@ -71,7 +71,9 @@ def best_of_lists(
         asks.select("query_id"), "query_id", "left_semi"
     )
     sizes = materialise(
-        asks.join(skip.groupBy("query_id").agg(F.count(F.lit(1)).alias("size")), "query_id"),
+        # an empty basket skips nothing but still asks
+        asks.join(skip.groupBy("query_id").agg(F.count(F.lit(1)).alias("size")), "query_id", "left")
+        .withColumn("size", F.coalesce("size", F.lit(0))),
         "list_skips",
     )
     limits = sizes.groupBy("list_id").agg((F.max("size") + k).alias("limit"))
@@ -197,14 +199,18 @@ class SessionCooccurrence(Model):
     def tied_scores(self, queries: Queries) -> DataFrame:
         """Basket part of the score: items in the history count ``1 - weight`` here."""
         weight = self.params["history_weight"]
-        in_past = self.tables["histories"].withColumn("_past", F.lit(True))
+        in_past = self.tables["histories"].select("profile_id", "item_id").distinct()
+        in_past = in_past.withColumn("_past", F.lit(True))
+        # an item may stand in a basket several times; the history counts it once
         own = (
-            queries.items.join(queries.cases.select("query_id", "profile_id"), "query_id")
+            queries.items.groupBy("query_id", "item_id")
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .join(queries.cases.select("query_id", "profile_id"), "query_id")
             .join(in_past, ["profile_id", "item_id"], "left")
             .select(
                 "query_id",
                 "item_id",
-                F.when(F.col("_past"), 1.0 - weight).otherwise(1.0).alias("_w"),
+                (F.col("_n") - F.when(F.col("_past"), weight).otherwise(0.0)).alias("_w"),
             )
         )
         rows = own.join(self.tables["assoc"], "item_id").select(

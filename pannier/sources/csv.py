@@ -48,6 +48,7 @@ def _header_frame(spark: SparkSession, path: str, separator: str) -> DataFrame:
         .option("multiLine", False)
         .option("escape", '"')
         .option("inferSchema", False)
+        .option("enforceSchema", False)
         .csv(path)
     )
 
@@ -93,7 +94,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Catalog with clean descriptions; a missing file gives an empty table.
 
-    Descriptions may hold line breaks, so quoted fields can span lines.
+    Descriptions may hold line breaks, so quoted fields can span lines. Of rows with
+    one id the last in the file counts; rows without an id are left out.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], CATALOG)
@@ -104,12 +106,20 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
         .csv(path)
         .withColumnsRenamed(CATALOG_HEADERS)
     )
-    return raw.select(
-        _integer("back_id").alias("back_id"),
+    rows = raw.select(
         _integer("item_id").alias("item_id"),
-        "name",
-        strip_tags(F.col("description")).alias("description"),
-        "category",
+        F.struct(
+            _integer("back_id").alias("back_id"),
+            "name",
+            strip_tags(F.col("description")).alias("description"),
+            "category",
+        ).alias("row"),
+        F.monotonically_increasing_id().alias("place"),
+    ).where("item_id is not null")
+    return (
+        rows.groupBy("item_id")
+        .agg(F.max_by("row", "place").alias("row"))
+        .select("row.back_id", "item_id", "row.name", "row.description", "row.category")
     )
 
 

@@ -57,6 +57,9 @@ def test_catalog(spark, tmp_path):
     rows = {r["item_id"]: r for r in csv.read_catalog(spark, write(tmp_path / "c.csv", text)).collect()}
     assert rows[10]["description"] == "Сыр\nвкусный" and rows[10]["name"] == "Сыр, твёрдый"
     assert rows[11]["description"] == "" and rows[11]["category"] == "Приправы"
+    twice = text + "3,10,Новый,,Сыры\n4,,Без номера,,Сыры\n"
+    rows = csv.read_catalog(spark, write(tmp_path / "d.csv", twice)).collect()
+    assert sorted((r["item_id"], r["name"]) for r in rows) == [(10, "Новый"), (11, "Соль")]
     none = csv.read_catalog(spark, str(tmp_path / "absent.csv"))
     assert none.count() == 0 and none.schema == CATALOG
 

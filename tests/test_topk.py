@@ -88,6 +88,9 @@ def test_session_equals_the_direct_sum_with_one_dominant_profile(spark):
     past = {1: list(range(0, 35)), 2: [3, 4], 3: []}
     owner = [1] * 20 + [2, 3, None]
     queries = [rng.sample(range(42), rng.randint(1, 4)) for _ in owner]
+    # repeated items, in and out of the history, and an empty basket with one
+    queries += [[3, 3, 5], [], [7, 7], [38, 38]]
+    owner += [2, 2, 1, 1]
     hist = spark.createDataFrame([(p, i) for p, h in past.items() for i in h], "profile_id long, item_id long")
     model = SessionCooccurrence.fit(items_of(spark, baskets), hist, 0.3, 1)
     got = lists_of(model.recommend(queries_of(spark, queries, profiles=owner), 6))
