@@ -12,7 +12,7 @@
    common share about 20 of 32 keys).
 4. A pair counts if the word edit distance is at most ``1 - threshold`` of the
    longer text. Alignment runs in a band that doubles until the distance fits,
-   after common ends are cut off, many pairs at once.
+   after common ends are cut off; a column of the band is one number's bits.
 5. Links are closed to classes by star contractions.
 
 Edge cases: a null text is an empty one; texts without words are all equal in
@@ -47,8 +47,9 @@ TABLES = 32
 TUPLE = 2
 THRESHOLD = 0.8
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Cells of one alignment step over all pairs that run together.
-_CELLS = 1 << 17
+#: Columns of an alignment whose words are looked up together, and the first width of a band.
+_COLUMNS = 1024
+_WIDTH = 256
 
 
 def order_minhash(values: np.ndarray, offsets: np.ndarray, tables: int = TABLES) -> np.ndarray:
@@ -62,7 +63,7 @@ def order_minhash(values: np.ndarray, offsets: np.ndarray, tables: int = TABLES)
     owner = owners(offsets)
     place = np.arange(len(values))
     for j in range(tables):
-        rank = mix(values ^ mix(np.uint64([j + 1]))[0])
+        rank = values * (mix(np.uint64([j + 1]))[0] | np.uint64(1))  # another order of well mixed values
         least, at = [], []
         for _ in range(TUPLE):
             low = group_min(rank, offsets, _TOP)
@@ -132,56 +133,66 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(count(a), count(b)).sum())
 
 
-def _band(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
-    """Edit distances of ``pairs`` inside a band of ``width`` on either side.
+def _rows(a: np.ndarray, lo: int, hi: int, wanted: set[int]) -> dict[int, int]:
+    """For every wanted word the rows in ``lo`` .. ``hi`` that hold it, as a bit set with row ``lo`` at bit 0.
 
-    A value of at most ``width`` is the true distance.
+    Row ``r`` holds word ``r - 1`` of ``a``; rows outside of ``a`` hold none.
     """
-    n = len(pairs)
-    la = np.array([len(a) for a, _ in pairs])
-    lb = np.array([len(b) for _, b in pairs])
-    far = np.int32(1 << 29)
-    across = np.arange(2 * width + 1, dtype=np.int32)
-    first = np.full((n, la.max(initial=0)), 0, np.uint64)
-    other = np.full((n, max(la.max(initial=0), lb.max(initial=0)) + 3 * width + 2), 1, np.uint64)
-    for p, (a, b) in enumerate(pairs):
-        first[p, : len(a)] = a
-        other[p, width : width + len(b)] = b
-    row = np.where(across >= width, across - width, far)[None, :].repeat(n, 0).astype(np.int32)
-    row[(across - width)[None, :] > lb[:, None]] = far
-    out = np.full(n, far)
-    end = np.clip(lb - la + width, 0, 2 * width)
-    inside = np.abs(lb - la) <= width
-    done = la == 0
-    out[done] = np.where(inside[done], lb[done], far)
-    live = np.arange(n)
-    for i in range(1, int(la.max(initial=0)) + 1):
-        if i % 16 == 0:  # a row above the width stays above it; such pairs and ended ones leave
-            stay = (la[live] >= i) & (row.min(axis=1) <= width)
-            if not stay.any():
-                break
-            if not stay.all():
-                live, row, first, other = live[stay], row[stay], first[stay], other[stay]
-        step = row + (first[:, i - 1 : i] != other[:, i - 1 : i + 2 * width])
-        step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)
-        column = i - width + across
-        step[:, column < 0] = far
-        if i <= width:
-            step[:, width - i] = i
-        step -= across
-        np.minimum.accumulate(step, axis=1, out=step)
-        step += across
-        np.minimum(step, far, out=step)
-        row = step
-        ends = np.flatnonzero((la[live] == i) & inside[live])
-        out[live[ends]] = row[ends, end[live[ends]]]
-    return out
+    size = (hi - lo) // 8 + 1
+    found: dict[int, bytearray] = {}
+    start = max(lo, 1)
+    for bit, word in enumerate(a[start - 1 : max(hi, 0)].tolist(), start - lo):
+        if word in wanted:
+            row = found.get(word)
+            if row is None:
+                row = found[word] = bytearray(size)
+            row[bit >> 3] |= 1 << (bit & 7)
+    return {word: int.from_bytes(row, "little") for word, row in found.items()}
+
+
+def banded(a: np.ndarray, b: np.ndarray, width: int, limit: int) -> int:
+    """Edit distance inside a band of ``width`` on either side of the diagonal.
+
+    A value of at most ``width`` is the true distance; a value above ``limit`` may
+    be returned early. A column of the band is kept as bits: ``up`` and ``down``
+    say where the distance grows or falls by one from row to row, bit 0 being
+    the row ``width`` above the diagonal. Cells outside the band count as one
+    more than their neighbour, which never makes a distance too small. Work is
+    columns x band / word size; memory is one block of columns.
+    """
+    rows, columns = len(a), len(b)
+    slant = abs(rows - columns)
+    if slant > width:
+        return max(rows, columns)
+    full = (1 << (2 * width + 1)) - 1
+    down = (1 << (width + 1)) - 1  # row 0 and those above it, which mirror the column number
+    up = full ^ down
+    centre, top = 1 << width, 1 << (2 * width)
+    distance = 0
+    for start in range(0, columns, _COLUMNS):
+        block = b[start : start + _COLUMNS].tolist()
+        held = _rows(a, start + 1 - width, start + len(block) + width, set(block))
+        for shift, word in enumerate(block):
+            same = (held.get(word, 0) >> shift) & full
+            up = (up >> 1) | top  # the band moves down by a row
+            down >>= 1
+            level = ((((same & up) + up) ^ up) | same | down) & full  # no growth along the diagonal
+            right = ((down | (full & ~(level | up))) << 1) | 1
+            left = (level & up) << 1
+            up = (left | ~(level | right)) & full
+            down = right & level
+            if not level & centre:
+                distance += 1
+                if distance > limit + slant:
+                    return distance
+    between = ((1 << slant) - 1) << (width + 1 if rows > columns else width + 1 - slant)
+    rise = (up & between).bit_count() - (down & between).bit_count()
+    return distance + (rise if rows > columns else -rise)
 
 
 def edit_within(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray) -> np.ndarray:
     """Which pairs of word sequences have an edit distance of at most their limit."""
     ok = np.zeros(len(pairs), bool)
-    todo = []
     for p, (a, b) in enumerate(pairs):
         if abs(len(a) - len(b)) > limits[p]:
             continue
@@ -191,30 +202,15 @@ def edit_within(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray)
             continue
         # an edit destroys at most two word pairs, so missing pairs bound the distance from below
         least = (max(len(a), len(b)) - 1 - _shared(_couples(a), _couples(b))) / 2
-        if least <= limits[p]:
-            todo.append((p, a, b, max(16, int(least * 1.25))))
-    while todo:
-        todo.sort(key=lambda t: (t[3], len(t[1])))
-        later, lo = [], 0
-        while lo < len(todo):
-            width = min(max(todo[lo][3], 16), max(16, int(limits[todo[lo][0]])))
-            hi = lo + 1
-            while (
-                hi < len(todo)
-                and (hi - lo) * (2 * width + 1) < _CELLS
-                and todo[hi][3] <= width
-                and len(todo[hi][1]) <= 2 * len(todo[lo][1]) + 64
-            ):
-                hi += 1
-            group = todo[lo:hi]
-            found = _band([(a, b) for _, a, b, _ in group], width)
-            for (p, a, b, _), d in zip(group, found):
-                if d <= width:
-                    ok[p] = d <= limits[p]
-                elif width < limits[p]:
-                    later.append((p, a, b, min(2 * width, int(limits[p]))))
-            lo = hi
-        todo = later
+        if least > limits[p]:
+            continue
+        limit = int(limits[p])
+        width = min(limit, max(_WIDTH, int(least * 1.25)))
+        distance = banded(a, b, width, limit)
+        while distance > width and width < limit:
+            width = min(2 * width, limit)
+            distance = banded(a, b, width, limit)
+        ok[p] = distance <= limit
     return ok
 
 
