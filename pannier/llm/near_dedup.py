@@ -303,7 +303,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES)
     apart = materialise(apart, "apart")
     second = _close(_led(apart, F.xxhash64("key", "node")), threshold).join(first, ["u", "v"], "left_anti")
     more = materialise(aligned(materialise(second, "pairs"), texts, threshold), "found")
-    roots = components(links.union(more))
+    # stars stand for the links they closed, so only what the second leaders found is left to settle
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     named = nodes.select("node", "first_id", "copies").join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_rows"))

@@ -299,7 +299,7 @@ def test_near_duplicates(docs, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0 and near_dedup.keep_one(nothing).count() == 0
 
 
-def test_banded_alignment_equals_full_table():
+def test_banded_alignment_equals_full_table(monkeypatch):
     rng = random.Random(8)
 
     def distance(a, b):
@@ -316,8 +316,15 @@ def test_banded_alignment_equals_full_table():
         b = [x for x in a if rng.random() > 0.1] + [rng.randrange(6) for _ in range(rng.randrange(4))]
         pairs.append((np.array(a, np.uint64), np.array(b, np.uint64)))
         limits.append(rng.randrange(0, 30))
-    ok = near_dedup.edit_within(pairs, np.array(limits))
-    assert ok.tolist() == [distance(a.tolist(), b.tolist()) <= n for (a, b), n in zip(pairs, limits)]
+    true = [distance(a.tolist(), b.tolist()) for a, b in pairs]
+    for width, columns in [(256, 1024), (1, 1024), (5, 7)]:  # bands that must double, blocks that meet
+        monkeypatch.setattr(near_dedup, "_WIDTH", width)
+        monkeypatch.setattr(near_dedup, "_COLUMNS", columns)
+        ok = near_dedup.edit_within(pairs, np.array(limits))
+        assert ok.tolist() == [d <= n for d, n in zip(true, limits)]
+        for (a, b), d in zip(pairs, true):
+            found = near_dedup.banded(a, b, 12, 200)
+            assert found == d if d <= 12 else found > 12
 
 
 def test_token_files(docs, nothing, tmp_path):
