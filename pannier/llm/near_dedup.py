@@ -5,11 +5,12 @@
    ``tables`` hash functions the ``TUPLE`` least of them, in text order, give one
    key. Reordered text has the same shingles but other keys.
 3. Nodes that share a key form a bucket. Its members are aligned with one
-   leader, not with each other, so a bucket of n gives n - 1 pairs. Members
-   that the first leader leaves apart are led again by a second one, chosen by
-   another order; as 32 tables have different buckets, two similar texts that
-   miss each other in one meet in others (texts with 80 % of shingles in
-   common share about 20 of 32 keys).
+   leader, and those left apart once more with a second one, which settles most
+   of a bucket of n in n - 1 pairs. What is then still in different classes is
+   compared exactly: every two members of a bucket, block against block, are
+   bounded by length and word counts, and pairs that pass are aligned, those of
+   the members with most such partners first. So classes are what aligning all
+   pairs of all buckets would give.
 4. A pair counts if the word edit distance is at most ``1 - threshold`` of the
    longer text. Alignment runs in a band that doubles until the distance fits,
    after common ends are cut off; a column of the band is one number's bits.
@@ -50,6 +51,10 @@ _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Columns of an alignment whose words are looked up together, and the first width of a band.
 _COLUMNS = 1024
 _WIDTH = 256
+#: Counters of a text's words; members of a bucket that are compared at once with as many others.
+_BINS = 256
+_BLOCK = 64
+_MEMBER = np.dtype([("node", "V16"), ("root", ">u8", 2), ("n", ">i8"), ("counts", "u1", _BINS)])
 
 
 def order_minhash(values: np.ndarray, offsets: np.ndarray, tables: int = TABLES) -> np.ndarray:
@@ -80,8 +85,15 @@ def order_minhash(values: np.ndarray, offsets: np.ndarray, tables: int = TABLES)
     return out
 
 
+def word_counts(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often a text has words of each of ``_BINS`` kinds, 255 at most; one row per text."""
+    n = len(offsets) - 1
+    at = owners(offsets) * _BINS + (codes >> np.uint64(56)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * _BINS), 255).astype(np.uint8).reshape(n, _BINS)
+
+
 def signatures(docs: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(doc_id, node, n_words, keys) of every row of ``docs(doc_id, node, text)``."""
+    """(doc_id, node, n_words, counts, keys) of every row of ``docs(doc_id, node, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,19 +104,21 @@ def signatures(docs: DataFrame, tables: int = TABLES) -> DataFrame:
                 values = mix(values + times * np.uint64(0x2545F4914F6CDD1D))
                 keys = order_minhash(values, offsets, tables).view(np.int64)
                 ends = pa.array(np.arange(len(keys) + 1) * tables, pa.int32())
+                counts = pa.array([row.tobytes() for row in word_counts(codes, at)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         part.column("node"),
                         pa.array(np.diff(at)),
+                        counts,
                         pa.ListArray.from_arrays(ends, pa.array(keys.ravel())),
                     ],
-                    ["doc_id", "node", "n_words", "keys"],
+                    ["doc_id", "node", "n_words", "counts", "keys"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "node", "text").mapInArrow(
-        run, f"doc_id {kind}, node binary, n_words long, keys array<long>"
+        run, f"doc_id {kind}, node binary, n_words long, counts binary, keys array<long>"
     )
 
 
@@ -255,6 +269,87 @@ def _close(led: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _between(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` of members of different classes that may be similar.
+
+    An edit changes one word for another, adds one or takes one away, so what one
+    text has more of any words than the other is a lower bound of their distance.
+    """
+    limits = np.floor((1 - threshold) * np.maximum(a["n"][:, None], b["n"][None, :]) + 1e-9)
+    open_ = (a["root"][:, None, :] != b["root"][None, :, :]).any(axis=2)
+    open_ &= np.abs(a["n"][:, None] - b["n"][None, :]) <= limits
+    i, j = np.nonzero(np.triu(open_, 1) if same else open_)
+    more = a["counts"][i].astype(np.int16) - b["counts"][j]
+    bound = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+    near = bound <= limits[i, j]
+    return i[near], j[near]
+
+
+def _rest(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (u < v) of a bucket in different classes which length and word counts do not rule out."""
+    members = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = (
+        members.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        .where("lo <> hi")
+        .select("key", F.ceil(F.col("n") / _BLOCK).cast("long").alias("blocks"))
+    )
+    length = F.unhex(F.lpad(F.hex("n_words"), 16, "0"))
+    blocks = materialise(
+        members.join(split, "key")
+        .join(nodes.select("node", "counts"), "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        .groupBy("key", "block")
+        .agg(F.collect_list(F.concat("node", "root", length, "counts")).alias("members")),
+        "blocks",
+    )
+    others = blocks.select("key", F.col("block").alias("other"), F.col("members").alias("b"))
+    both = blocks.withColumnRenamed("members", "a").join(others, "key").where("block <= other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a, b = (np.frombuffer(b"".join(batch.column(c)[row].as_py()), _MEMBER) for c in ("a", "b"))
+                i, j = _between(a, b, batch.column("same")[row].as_py(), threshold)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x.tobytes() for x in m["node"][at]], pa.binary()) for m, at in ((a, i), (b, j))],
+                        ["u", "v"],
+                    )
+
+    found = both.select("a", "b", F.expr("block = other").alias("same")).mapInArrow(run, "u binary, v binary")
+    return _ordered(found).distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def _foremost(pairs: DataFrame) -> DataFrame:
+    """Of every node's pairs the one with the partner that has most pairs."""
+    both = pairs.union(pairs.select("v", "u"))
+    many = both.groupBy(F.col("u").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    best = both.join(many, "v").groupBy("u").agg(F.max(F.struct("n", "v")).alias("m"))
+    return _ordered(best.select("u", F.col("m.v").alias("v"))).distinct()
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after further links; stars stand for the links they closed."""
+    if links.isEmpty():
+        return roots
+    return materialise(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)), "roots")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different classes."""
+    return (
+        pairs.join(roots.select(F.col("node").alias("u"), F.col("root").alias("__u")), "u", "left")
+        .join(roots.select(F.col("node").alias("v"), F.col("root").alias("__v")), "v", "left")
+        .where(F.coalesce("__u", "u") != F.coalesce("__v", "v"))
+        .select("u", "v")
+    )
+
+
 def node_of(text: str = "text") -> Column:
     """Identity of a text: its MD5 (null: that of the empty text)."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
@@ -274,6 +369,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES)
             F.min("doc_id").alias("first_id"),
             F.count(F.lit(1)).alias("copies"),
             F.first("n_words").alias("n_words"),
+            F.first("counts").alias("counts"),
             F.first("keys").alias("keys"),
         ),
         "nodes",
@@ -291,7 +387,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES)
     )
     first = materialise(_close(_led(buckets, F.lit(0)), threshold), "pairs")
     links = materialise(aligned(first, texts, threshold), "found")
-    roots = components(links)
+    roots = materialise(components(links), "roots")
     # members that their first leader left apart follow another one, by another order
     apart = (
         _led(buckets, F.lit(0))
@@ -302,9 +398,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES)
     )
     apart = materialise(apart, "apart")
     second = _close(_led(apart, F.xxhash64("key", "node")), threshold).join(first, ["u", "v"], "left_anti")
-    more = materialise(aligned(materialise(second, "pairs"), texts, threshold), "found")
-    # stars stand for the links they closed, so only what the second leaders found is left to settle
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    second = materialise(second, "pairs")
+    roots = _joined(roots, materialise(aligned(second, texts, threshold), "found"))
+    # whatever is still apart is compared in full
+    rest = _rest(buckets, nodes, roots, threshold).join(_ordered(first.union(second)), ["u", "v"], "left_anti")
+    rest = materialise(rest, "rest")
+    if not rest.isEmpty():
+        best = materialise(_foremost(rest), "pairs")
+        roots = _joined(roots, materialise(aligned(best, texts, threshold), "found"))
+        last = _apart(rest.join(best, ["u", "v"], "left_anti"), roots)
+        roots = _joined(roots, materialise(aligned(materialise(last, "pairs"), texts, threshold), "found"))
     named = nodes.select("node", "first_id", "copies").join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_rows"))
