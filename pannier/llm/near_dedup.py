@@ -4,10 +4,14 @@
 2. A node's five-word shingles are numbered by occurrence. For each of
    ``tables`` hash functions the ``TUPLE`` least of them, in text order, give one
    key. Reordered text has the same shingles but other keys.
+   Scattered edits leave few five-word shingles, so a second set of keys serves
+   the last comparison: the least three-word shingle by each of ``SINGLES``
+   hash functions and, for texts of up to ``BRIEF`` words, an exact prefix filter
+   (edits of a fifth of the words cannot reach all shingles of the prefix).
 3. Nodes that share a key form a bucket. Its members are aligned with one
    leader, and those left apart once more with a second one, which settles most
    of a bucket of n in n - 1 pairs. What is then still in different classes is
-   compared exactly: every two members of a bucket, block against block, are
+   compared exactly: every two members of a bucket of either set, block against block, are
    bounded by length and word counts, and pairs that pass are aligned, those of
    the members with most such partners first. So classes are what aligning all
    pairs of all buckets would give.
@@ -47,6 +51,10 @@ SHINGLE = 5
 TABLES = 32
 TUPLE = 2
 THRESHOLD = 0.8
+#: Words of a shingle of the second keys, their hash functions, and most words of a text with prefix keys.
+GRAM = 3
+SINGLES = 24
+BRIEF = 40
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Columns of an alignment whose words are looked up together, and the first width of a band.
 _COLUMNS = 1024
@@ -85,6 +93,51 @@ def order_minhash(values: np.ndarray, offsets: np.ndarray, tables: int = TABLES)
     return out
 
 
+def _prefixes(threshold: float) -> np.ndarray:
+    """For texts of 0 to ``BRIEF`` words: so many of their shingles, in any fixed order, hold one of every similar text's.
+
+    Of two texts, the longer of L words and at most d edits apart, L - GRAM + 1 - GRAM x d
+    shingles are common. Where that is none, all are taken; texts of 4 and 5 words take word pairs too.
+    """
+    out = np.zeros(BRIEF + 1, np.int64)
+    for n in range(GRAM, BRIEF + 1):
+        longest = range(n, int(n / threshold + 1e-9) + 1)
+        common = min(m - GRAM + 1 - GRAM * int((1 - threshold) * m + 1e-9) for m in longest)
+        out[n] = n - GRAM + 1 - max(common, 1) + 1
+    return out
+
+
+def second_keys(codes: np.ndarray, at: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Keys for scattered edits and short texts, and offsets per text."""
+    n_words = np.diff(at)
+    keys, of = [], []
+
+    def numbered(k: int) -> tuple[np.ndarray, np.ndarray]:
+        values, offsets = shingles(codes, at, k)
+        times = occurrences(values, offsets).astype(np.uint64)
+        return mix(values + times * np.uint64(0x2545F4914F6CDD1D) + np.uint64(k)), offsets
+
+    values, offsets = numbered(GRAM)
+    for j in range(SINGLES):
+        low = group_min(values * (mix(np.uint64([j + 101]))[0] | np.uint64(1)), offsets, _TOP)
+        keys.append(mix(low + np.uint64(j + 101)))
+        of.append(np.arange(len(n_words)))
+    owner = owners(offsets)
+    order = np.lexsort((values, owner))
+    place = np.arange(len(values)) - offsets[:-1][owner]
+    within = place < np.where(n_words > BRIEF, 0, _prefixes(threshold)[np.minimum(n_words, BRIEF)])[owner]
+    keys.append(mix(values[order][within] ^ np.uint64(0xA5A5)))
+    of.append(owner[within])
+    values, offsets = numbered(2)
+    owner = owners(offsets)
+    within = (n_words[owner] == 4) | (n_words[owner] == 5)
+    keys.append(mix(values[within] ^ np.uint64(0x5A5A)))
+    of.append(owner[within])
+    of_ = np.concatenate(of)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of_, minlength=len(n_words)))])
+    return np.concatenate(keys)[np.argsort(of_, kind="stable")], ends
+
+
 def word_counts(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How often a text has words of each of ``_BINS`` kinds, 255 at most; one row per text."""
     n = len(offsets) - 1
@@ -92,8 +145,8 @@ def word_counts(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(at, minlength=n * _BINS), 255).astype(np.uint8).reshape(n, _BINS)
 
 
-def signatures(docs: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(doc_id, node, n_words, counts, keys) of every row of ``docs(doc_id, node, text)``."""
+def signatures(docs: DataFrame, tables: int = TABLES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, node, n_words, counts, keys, others) of every row of ``docs(doc_id, node, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,6 +157,7 @@ def signatures(docs: DataFrame, tables: int = TABLES) -> DataFrame:
                 values = mix(values + times * np.uint64(0x2545F4914F6CDD1D))
                 keys = order_minhash(values, offsets, tables).view(np.int64)
                 ends = pa.array(np.arange(len(keys) + 1) * tables, pa.int32())
+                others, ends_ = second_keys(codes, at, threshold)
                 counts = pa.array([row.tobytes() for row in word_counts(codes, at)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -112,13 +166,14 @@ def signatures(docs: DataFrame, tables: int = TABLES) -> DataFrame:
                         pa.array(np.diff(at)),
                         counts,
                         pa.ListArray.from_arrays(ends, pa.array(keys.ravel())),
+                        pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), pa.array(others.view(np.int64))),
                     ],
-                    ["doc_id", "node", "n_words", "counts", "keys"],
+                    ["doc_id", "node", "n_words", "counts", "keys", "others"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "node", "text").mapInArrow(
-        run, f"doc_id {kind}, node binary, n_words long, counts binary, keys array<long>"
+        run, f"doc_id {kind}, node binary, n_words long, counts binary, keys array<long>, others array<long>"
     )
 
 
@@ -250,6 +305,13 @@ def aligned(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
+def _bucketed(nodes: DataFrame, keys: str) -> DataFrame:
+    """(key, node, n_words) for every key that several nodes hold."""
+    keyed = nodes.select("node", "n_words", F.explode(keys).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return keyed.join(shared, "key").select("key", "node", "n_words")
+
+
 def _led(buckets: DataFrame, order: Column) -> DataFrame:
     """Every member of a bucket but its leader, the least by ``order``, with the leader's node."""
     leaders = (
@@ -363,7 +425,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES)
     """
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", node_of())
     nodes = materialise(
-        signatures(marked, tables)
+        signatures(marked, tables, threshold)
         .groupBy("node")
         .agg(
             F.min("doc_id").alias("first_id"),
@@ -371,13 +433,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES)
             F.first("n_words").alias("n_words"),
             F.first("counts").alias("counts"),
             F.first("keys").alias("keys"),
+            F.first("others").alias("others"),
         ),
         "nodes",
     )
-    keyed = nodes.select("node", "n_words", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = materialise(keyed.join(shared, "key"), "buckets")
-    owners_ = nodes.join(buckets.select("node").distinct(), "node").select("node", F.col("first_id").alias("doc_id"))
+    buckets = materialise(_bucketed(nodes, "keys"), "buckets")
+    more = materialise(_bucketed(nodes, "others"), "buckets")
+    owners_ = nodes.join(buckets.union(more).select("node").distinct(), "node").select("node", F.col("first_id").alias("doc_id"))
     texts = materialise(
         marked.join(
             owners_.withColumnsRenamed({"node": "n_node", "doc_id": "n_id"}),
@@ -401,7 +463,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES)
     second = materialise(second, "pairs")
     roots = _joined(roots, materialise(aligned(second, texts, threshold), "found"))
     # whatever is still apart is compared in full
-    rest = _rest(buckets, nodes, roots, threshold).join(_ordered(first.union(second)), ["u", "v"], "left_anti")
+    rest = _rest(buckets.union(more), nodes, roots, threshold).join(_ordered(first.union(second)), ["u", "v"], "left_anti")
     rest = materialise(rest, "rest")
     if not rest.isEmpty():
         best = materialise(_foremost(rest), "pairs")

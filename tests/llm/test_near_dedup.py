@@ -98,3 +98,35 @@ def test_components_by_tables_and_on_the_driver(spark, monkeypatch, few):
             if u != v:
                 want[u] = want[v] = min(want[u], want[v])
     assert got == want
+
+
+def scattered(rng: random.Random, n: int, share: float) -> tuple[list[str], list[str]]:
+    base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+    return base, edited(rng, base, int(share * n + 1e-9))
+
+
+def test_short_texts_and_scattered_edits_equal_brute_force(spark):
+    rng = random.Random(8)
+    texts = [["red", "big", word, "dogs", "run"] for word in ("old", "new", "shy")]
+    texts += [["one", "old", "man", "sat"], ["one", "old", "man", "sat", "down"]]
+    for n in (*range(5, 41), *([300] * 20)):
+        for share in (0.2, 0.18):
+            texts += scattered(rng, n, share)
+    want = partition(texts, lambda i, j: similar(texts[i], texts[j]))
+    assert sum(len(c) > 1 for c in want) > 90
+    assert found(spark, texts) == want
+
+
+def test_prefix_keys_meet_for_every_similar_pair():
+    rng = random.Random(4)
+    for n in range(5, 41):
+        for _ in range(30):
+            base = [f"w{rng.randrange(9)}" for _ in range(n)]
+            other = list(base)
+            for _ in range(n // 5):
+                at = rng.randrange(len(other))
+                other[at : at + rng.randrange(2)] = [f"v{rng.randrange(9)}"] * rng.randrange(2)
+            if len(other) <= near_dedup.BRIEF and similar(base, other):
+                keys, ends = near_dedup.second_keys(*words(pa.array([" ".join(base), " ".join(other)])))
+                a, b = keys[: ends[1]], keys[ends[1] :]
+                assert set(a[near_dedup.SINGLES :]) & set(b[near_dedup.SINGLES :]) or base == other
