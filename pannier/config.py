@@ -11,6 +11,8 @@ SUCCESS_STATUSES = ("Заказ доставлен", "Заказ получен"
 @dataclass(frozen=True)
 class DataConfig:
     separator: str = ","
+    #: Quoted fields of order files may span lines; files known to have none can be split without it.
+    multi_line: bool = True
     date_column: str = "created_at"
     item_id_column: str = "order_item_oms_id"
     success_statuses: tuple[str, ...] = SUCCESS_STATUSES

@@ -227,15 +227,19 @@ def profile_baskets(spark, d):
 
 
 def csv_baskets(spark, d):
-    """Order lines written as CSV in the raw column names and read back."""
+    """Order lines written as CSV in the raw column names, times in four forms and some titles
+    with a line break, and read back."""
     path = f"{run_dir(spark)}/csv_lines-{uuid.uuid4().hex[:12]}"
     lines = tpch.order_lines(spark, d)
+    forms = ("dd.MM.yyyy HH:mm", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS", "yyyy-MM-dd HH:mm:ssXX")
+    text = F.coalesce(*[F.when(F.col("order_id") % 4 == k, F.date_format("created_at", f)) for k, f in enumerate(forms)])
+    broken = F.when(F.col("item_id") % 5 == 0, F.concat("title", F.lit(",\nsecond line"))).otherwise(F.col("title"))
     lines.select(
-        F.date_format("created_at", "dd.MM.yyyy HH:mm").alias("created_at"),
+        text.alias("created_at"),
         "profile_id",
         F.col("order_id").alias("order_oms_id"),
         F.col("item_id").alias("order_item_oms_id"),
-        F.col("title").alias("order_item_title"),
+        broken.alias("order_item_title"),
         F.col("status").alias("order_status_title"),
     ).write.mode("overwrite").option("header", True).csv(path)
     back = bk.successful(csv.read_order_lines(spark, path, DATA), DATA.success_statuses)
@@ -245,12 +249,15 @@ def csv_baskets(spark, d):
 
 
 def mixed_timestamps(spark, d):
-    """Order dates written in three formats by turns and parsed back."""
+    """Order dates written in six formats by turns and parsed back."""
     orders = tpch.table(spark, d, "orders")
     ts = F.col("o_orderdate")
     text = (
-        F.when(F.col("o_orderkey") % 3 == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
-        .when(F.col("o_orderkey") % 3 == 1, F.date_format(ts, "dd.MM.yyyy HH:mm"))
+        F.when(F.col("o_orderkey") % 6 == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+        .when(F.col("o_orderkey") % 6 == 1, F.date_format(ts, "dd.MM.yyyy HH:mm"))
+        .when(F.col("o_orderkey") % 6 == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm"))
+        .when(F.col("o_orderkey") % 6 == 3, F.date_format(ts, "yyyyMMdd"))
+        .when(F.col("o_orderkey") % 6 == 4, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSSXX"))
         .otherwise(F.date_format(ts, "yyyy-MM-dd"))
     )
     return orders.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pannier.config import DataConfig
@@ -30,22 +30,24 @@ CATALOG_HEADERS = {
 
 # Formats a mixed timestamp column may use, tried in this order.
 TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]",
-    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][XXX][X]",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][XXX][X]",
+    "yyyy-MM-dd'T'HH:mm[XXX][X]",
+    "yyyy-MM-dd HH:mm[XXX][X]",
     "yyyy-MM-dd",
     "dd.MM.yyyy HH:mm:ss",
     "dd.MM.yyyy HH:mm",
     "dd.MM.yyyy",
+    "yyyyMMdd",
 )
 
 
-def _header_frame(spark: SparkSession, path: str, separator: str) -> DataFrame:
+def _header_frame(spark: SparkSession, path: str, separator: str, multi_line: bool) -> DataFrame:
     """All columns as text; the header alone decides the names."""
     return (
         spark.read.option("header", True)
         .option("sep", separator)
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("inferSchema", False)
         .option("enforceSchema", False)
@@ -58,6 +60,13 @@ def _integer(name: str):
     return F.expr(f"try_cast(try_cast(`{name}` as decimal(38, 6)) as bigint)")
 
 
+def _or_raise(name: str, value: Column) -> Column:
+    """The parsed value; a text that is not blank and gave none stops the job and is shown."""
+    text = F.col(f"`{name}`")
+    lost = value.isNull() & (F.trim(text) != "")
+    return F.when(lost, F.raise_error(F.concat(F.lit(f"{name} cannot be read: "), text))).otherwise(value)
+
+
 def read_order_lines(
     spark: SparkSession,
     path: str,
@@ -67,15 +76,17 @@ def read_order_lines(
     """Order lines in the common schema; only the columns in use are parsed.
 
     Files are read in splits that Spark orders by size, so the recorded order is
-    (file, offset of the split, row within it); ``pos`` carries these three.
+    (file, offset of the split, row within it); ``pos`` carries these three. With
+    ``cfg.multi_line`` quoted fields may span lines and a file is one split. A time
+    or order or item id that cannot be read stops the job; blank ones are null.
     """
-    raw = _header_frame(spark, path, cfg.separator)
+    raw = _header_frame(spark, path, cfg.separator, cfg.multi_line)
     require_columns(raw, [*ORDER_COLUMNS, cfg.item_id_column, cfg.date_column], path)
     return raw.select(
-        _integer("order_oms_id").alias("order_id"),
+        _or_raise("order_oms_id", _integer("order_oms_id")).alias("order_id"),
         _integer("profile_id").alias("profile_id"),
-        parse_timestamp(F.col(f"`{cfg.date_column}`"), formats).alias("created_at"),
-        _integer(cfg.item_id_column).alias("item_id"),
+        _or_raise(cfg.date_column, parse_timestamp(F.col(f"`{cfg.date_column}`"), formats)).alias("created_at"),
+        _or_raise(cfg.item_id_column, _integer(cfg.item_id_column)).alias("item_id"),
         F.col("order_item_title").alias("title"),
         F.col("order_status_title").alias("status"),
         F.struct(
