@@ -7,13 +7,14 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from pannier.plans import oracle, queries
 
 DATA = os.environ.get("PANNIER_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = queries.QUERIES, oracle.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
