@@ -14,7 +14,7 @@ from pyspark.sql.types import StructField, StructType
 
 from pannier.session import materialise
 
-#: As many links are closed on the driver, with the same result; more stay tables.
+#: As many links are closed on the driver unless told otherwise, with the same result; more stay tables.
 _FEW = 200_000
 
 
@@ -50,10 +50,11 @@ def _closed(links: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
     return [(node, top(node)) for node in list(over)]
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, rounds: int = 50, few: int = _FEW) -> DataFrame:
     """(node, root) for every node in ``links(u, v)``; the root is the least node.
 
     Empty links give an empty table; loops and repeated links are harmless.
+    With ``few`` = 0 links never leave the executors.
     Raises if the links have not settled after ``rounds``, never returns a part.
     """
     now = materialise(
@@ -69,7 +70,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         ).first()
         if state == before or state["n"] == 0:
             break
-        if state["n"] <= _FEW:
+        if state["n"] <= few:
             pairs = _closed([(r["u"], r["v"]) for r in now.collect()])
             schema = StructType([StructField("node", now.schema["u"].dataType), StructField("root", now.schema["u"].dataType)])
             return now.sparkSession.createDataFrame(pairs, schema)
