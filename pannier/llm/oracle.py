@@ -76,4 +76,46 @@ SELECT p.doc_id, p.leaf, o.subroot, top.root, sha256(o.seen) AS proof_sha256, o.
 FROM placed p JOIN over o USING (rid) JOIN top ON top.lv = o.lv
 """
 
-ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op11_merkle_manifest": OP11}
+OP13 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), pieces AS (
+  SELECT doc_id, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t
+), w AS (
+  SELECT doc_id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), total AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), grams AS (
+  SELECT doc_id, lang, m, array_to_string(w[i:i+m-1], ' ') AS phrase FROM (
+    SELECT doc_id, lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) AS r(m))
+), f AS (
+  SELECT lang, m, phrase, count(*) AS f, min(doc_id) AS first_doc FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100
+), c AS (
+  SELECT lang, m, phrase, f AS a, first_doc, string_split(phrase, ' ') AS w FROM f WHERE m > 1
+), cuts AS (
+  SELECT lang, m, phrase, a, first_doc, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k+1:m], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+), scored AS (
+  SELECT x.lang, x.phrase, x.a, x.first_doc, x.k, l.f AS l, r.f AS r, total.n,
+    CAST((CAST(x.a AS HUGEINT) * total.n * 1000) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = x.lp JOIN f r ON r.lang = x.lang AND r.phrase = x.rp
+  JOIN total ON total.lang = x.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, array_to_string(w[i:i+s-1], ' ') AS phrase, a FROM (
+    SELECT lang, w, a, s, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM c))
+), over AS (
+  SELECT lang, phrase, max(a) AS a FROM inner_ GROUP BY lang, phrase
+), held AS (
+  SELECT best.* FROM best LEFT JOIN over ON over.lang = best.lang AND over.phrase = best.phrase
+  WHERE over.a IS NULL OR 100 * over.a < 100 * best.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM held
+)
+SELECT lang, rank, phrase, a, l, r, n, score, first_doc FROM ranked WHERE rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op11_merkle_manifest": OP11, "op13_collocations": OP13}

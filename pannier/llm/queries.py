@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pannier.llm import (
     chat_template,
+    collocations,
     decontaminate,
     merkle,
     mixing,
@@ -107,6 +108,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_order_minhash": op2_order_minhash,
@@ -120,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_simhash": op12_simhash,
+    "op13_collocations": op13_collocations,
 }
