@@ -285,6 +285,7 @@ def _materialise(batches: Iterator[pa.RecordBatch], filter_: Broadcast, longest:
                     pointer = at[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]  # of each occurrence's group
                     start, size = words.first, words.end[n - 1 :] - words.first[: len(words.first) - n + 1]
                     alike = _same(words.bytes, start[at], start[pointer], size[at], size[pointer])
+                    alike &= codes[row[at]] == codes[row[pointer]]
                     first = np.flatnonzero(fresh)
                     sums = np.add.reduceat(alike.astype(np.int64), first)
                     least = np.minimum.reduceat(rank[row[at]], first)
