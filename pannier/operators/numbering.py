@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pannier.session import materialise
+
 
 def number_rows(
     df: DataFrame,
@@ -47,6 +49,21 @@ def number_rows(
     )
 
 
+def place_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Add ``name`` = place of the row in its group by the columns ``order``, from 0.
+
+    For orders that no expression cuts into blocks: rows are dealt by ranges of
+    (group, order), and a range is a block. Rows equal in all these columns may
+    change places among each other.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ranged = materialise(
+        df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()), "ranged"
+    )
+    return number_rows(ranged, group, F.col("_part"), [F.col(c) for c in order], name, start=0).drop("_part")
+
+
 def by_hash(hex_digest: str) -> Column:
     """Blocks for an order by a hexadecimal digest: 65536 even slices."""
     return F.substring(hex_digest, 1, 4)

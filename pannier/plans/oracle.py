@@ -395,6 +395,15 @@ def oracle_sql() -> dict[str, str]:
         """SELECT unnest([item_a, item_b]) AS src, unnest([item_b, item_a]) AS dst,
                   pair_count AS weight FROM pairs WHERE pair_count >= 2""",
     )
+    out["context_pairs"] = s.q(
+        "counts",
+        """, w AS (
+            SELECT order_id, item_id, row_number() OVER (PARTITION BY order_id ORDER BY pos, item_id) AS at
+            FROM train JOIN counts USING (item_id) WHERE freq >= 2)
+        SELECT a.item_id AS u, b.item_id AS i, count(*) AS weight
+        FROM w a JOIN w b ON a.order_id = b.order_id AND abs(a.at - b.at) BETWEEN 1 AND 5
+        WHERE a.item_id <> b.item_id GROUP BY 1, 2""",
+    )
     out["l1o"] = s.q("cases", "SELECT query_id, held_out, profile_id FROM cases")
     out["l1o_items"] = s.q("qi", "SELECT query_id, item_id FROM qi")
     out["stratified_l1o"] = s.q(
@@ -484,7 +493,7 @@ def oracle_sql() -> dict[str, str]:
     )
     docs = _Sql()
     docs.step("docs", "SELECT doc_id AS item_id, text AS description FROM documents")
-    for name, body in _tfidf("docs", 2000):
+    for name, body in _tfidf("docs", 10_000):
         docs.step(name, body)
     out["tfidf_documents"] = docs.q(
         "docs_tfidf", "SELECT item_id, term, round(weight + 1e-9, 6) AS weight FROM docs_tfidf"

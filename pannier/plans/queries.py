@@ -24,7 +24,7 @@ from pannier.config import (
 )
 from pannier.functions.scalar import parse_timestamp, strip_tags
 from pannier.operators import baskets as bk
-from pannier.operators import content, features, health, pairs, sampling, tune
+from pannier.operators import content, context, features, health, pairs, sampling, tune
 from pannier.operators import evaluate as ev
 from pannier.operators.nearest import nearest
 from pannier.operators.numbering import popularity_rank
@@ -406,35 +406,38 @@ def rrf_ensemble(spark, d):
     return _recs(model.recommend(ws.test, K))
 
 
+def context_pairs(spark, d):
+    """How often two items of the training baskets stand within five places, rare items left out first."""
+    words = context.basket_words(Workspace.of(spark, d).train)
+    return context.context_pairs(context.frequent_words(words, 2), 5)
+
+
 def item2vec_recs(spark, d):
     ws = Workspace.of(spark, d)
-    model = Item2Vec.fit(ws.train, EmbeddingConfig(vector_size=32, epochs=3))
+    model = Item2Vec.fit(ws.train, EmbeddingConfig())
     return _recs(model.recommend(ws.test, K))
 
 
 def als_recs(spark, d):
     ws = Workspace.of(spark, d)
-    model = ImplicitALS.fit(ws.train, FactorConfig(factors=16, iterations=5))
+    model = ImplicitALS.fit(ws.train, FactorConfig())
     return _recs(model.recommend(ws.test, K))
 
 
 def bpr_recs(spark, d):
     ws = Workspace.of(spark, d)
-    model = ImplicitBPR.fit(ws.train, FactorConfig(factors=16, iterations=3, learning_rate=0.1))
+    model = ImplicitBPR.fit(ws.train, FactorConfig(iterations=100))
     return _recs(model.recommend(ws.test, K))
 
 
 def graph_walk_recs(spark, d):
     ws = Workspace.of(spark, d)
-    cfg = GraphConfig(
-        walk_length=8, num_walks=4, embedding=EmbeddingConfig(32, min_count=1, epochs=2)
-    )
-    return _recs(ItemGraphNode2Vec.fit(ws.train, cfg).recommend(ws.test, K))
+    return _recs(ItemGraphNode2Vec.fit(ws.train, GraphConfig()).recommend(ws.test, K))
 
 
 def graph_walks(spark, d):
     edges = materialise(graph_edges(Workspace.of(spark, d).train, 2), "walk_edges")
-    return random_walks(edges, 6, 2, SEED)
+    return random_walks(edges, GraphConfig().walk_length, GraphConfig().num_walks, SEED)
 
 
 def lambdarank_recs(spark, d):
@@ -478,7 +481,7 @@ def tfidf_weights(spark, d):
 
 def tfidf_documents(spark, d):
     """Whole texts of all documents."""
-    cfg = TextConfig(max_features=2000)
+    cfg = TextConfig()
     texts = content.with_text(
         tpch.table(spark, d, "documents").select(
             F.col("doc_id").alias("item_id"), F.col("text").alias("description")
@@ -518,8 +521,7 @@ def unit_vectors(spark, d):
 
 def text_vectors(spark, d):
     """Vectors of all part names from word vectors trained on them."""
-    cfg = EmbeddingConfig(vector_size=16, min_count=1, epochs=2)
-    return embedding.text_vectors(tpch.catalog(spark, d), cfg)
+    return embedding.text_vectors(tpch.catalog(spark, d), EmbeddingConfig(min_count=1))
 
 
 def dense_cosine_topk(spark, d):
@@ -751,6 +753,7 @@ QUERIES: dict[str, Query] = {
     "dense_boost_recs": dense_boost_recs,
     "popularity_rerank": popularity_rerank,
     "rrf_ensemble": rrf_ensemble,
+    "context_pairs": context_pairs,
     "item2vec_recs": item2vec_recs,
     "als_recs": als_recs,
     "bpr_recs": bpr_recs,

@@ -1,130 +1,58 @@
-"""Recommenders that compare item vectors: Word2Vec on baskets and on graph walks."""
+"""Recommenders that compare item vectors: skip-gram vectors of baskets and of graph walks."""
 
 from __future__ import annotations
 
-import math
 from typing import ClassVar
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pannier.config import EmbeddingConfig, FactorConfig, GraphConfig
-from pannier.functions.scalar import words
-from pannier.functions.vectors import mean_vectors
+from pannier.config import EmbeddingConfig, GraphConfig
+from pannier.functions import scalar
+from pannier.functions.vectors import mean_vectors, sum_vectors
 from pannier.operators.content import unit_vectors
+from pannier.operators.context import array_words, basket_words, context_pairs, frequent_words
 from pannier.operators.nearest import nearest
 from pannier.operators.pairs import both_ways, pair_counts
 from pannier.operators.topk import Queries, drop_owned, top_k
 from pannier.operators.walks import random_walks
 from pannier.recommend.base import Model
-from pannier.recommend.factors import train_factors
+from pannier.recommend.blocks import BlockConfig, train_blocks
 from pannier.session import materialise, spread
 
-# A basket longer than this is cut into several sentences.
-SENTENCE_ITEMS = 1000
-# Spark ML keeps the word vectors on the driver; beyond this many numbers the
-# vectors are trained as a distributed table instead.
-DRIVER_NUMBERS = 1 << 28
-# Sentences per training partition.
-PARTITION_SENTENCES = 20_000
+# Learning rate of word vectors.
+RATE = 0.05
 
 
-def sentences(items: DataFrame) -> DataFrame:
-    """Baskets as arrays of item ids in recorded order, in column ``words``.
+def word_vectors(words: DataFrame, cfg: EmbeddingConfig) -> DataFrame:
+    """word, vec of every word of ``words(line, at, word)`` that occurs ``min_count`` times and has a neighbour."""
+    pairs = context_pairs(frequent_words(words, cfg.min_count), cfg.window)
+    train = BlockConfig(cfg.vector_size, cfg.epochs, RATE, 0.0, "skipgram", cfg.seed)
+    return train_blocks(pairs, train, side="l").withColumnRenamed("id", "word")
 
-    The items of an oversized basket are dealt by hash to sentences of about half
-    the limit, so no task ever holds the whole basket and no item is lost.
-    """
-    order = [c for c in ("order_ts", "segment", "pos") if c in items.columns]
-    parts = F.ceil(F.col("size") / (SENTENCE_ITEMS // 2)).cast("long")
-    part = F.when(
-        F.col("size") > SENTENCE_ITEMS, F.pmod(F.xxhash64("item_id"), parts)
-    ).otherwise(F.lit(0))
-    packed = F.sort_array(
-        F.collect_list(F.struct(*order, F.col("item_id").cast("string").alias("word")))
-    )
-    return (
-        items.groupBy("order_id", part.alias("_part"))
-        .agg(packed.alias("_s"))
-        .select(F.col("_s.word").alias("words"))
-    )
 
-
-def context_pairs(lines: DataFrame, window: int) -> DataFrame:
-    """(u, i) = word and context word for every position and window."""
-    at = lines.select("words", F.posexplode("words").alias("_at", "u"))
-    start = F.greatest(F.col("_at") + 1 - window, F.lit(1))
-    return (
-        at.select(
-            F.col("u").cast("long").alias("u"),
-            F.explode(
-                F.slice("words", start, F.col("_at") + 1 + window - start + 1)
-            ).alias("i"),
-        )
-        .select("u", F.col("i").cast("long").alias("i"))
-        .where("u <> i")
-    )
-
-
-def word_vectors(lines: DataFrame, cfg: EmbeddingConfig) -> DataFrame:
-    """item_id, vec of every word that occurs at least ``min_count`` times."""
-    counted = (
-        lines.select(F.explode("words").alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= cfg.min_count)
-    )
-    known = counted.count()
-    empty = lines.sparkSession.createDataFrame([], "item_id long, vec array<float>")
-    if known == 0:
-        return empty
-    if known * cfg.vector_size > DRIVER_NUMBERS:
-        keep = counted.select(F.col("word").cast("long").alias("u"))
-        pairs = (
-            context_pairs(lines, cfg.window)
-            .join(keep, "u", "left_semi")
-            .join(keep.withColumnRenamed("u", "i"), "i", "left_semi")
-        )
-        factors = FactorConfig(cfg.vector_size, 0.0, cfg.epochs, learning_rate=0.05)
-        return train_factors(pairs, factors, loss="skipgram", seed=cfg.seed).where(
-            "kind = 'u'"
-        ).select(F.col("id").alias("item_id"), F.col("vec").cast("array<float>").alias("vec"))
-    partitions = max(1, math.ceil(lines.count() / PARTITION_SENTENCES))
-    model = Word2Vec(
-        vectorSize=cfg.vector_size,
-        windowSize=cfg.window,
-        minCount=cfg.min_count,
-        maxIter=cfg.epochs,
-        seed=cfg.seed,
-        numPartitions=partitions,
-        inputCol="words",
-        outputCol="vec",
-    ).fit(lines)
-    return model.getVectors().select(
-        F.col("word").cast("long").alias("item_id"),
-        vector_to_array("vector", "float32").alias("vec"),
-    )
+def item_vectors(words: DataFrame, cfg: EmbeddingConfig) -> DataFrame:
+    return word_vectors(words, cfg).select(F.col("word").alias("item_id"), "vec")
 
 
 def text_vectors(texts: DataFrame, cfg: EmbeddingConfig, prefix: str = "") -> DataFrame:
-    """Unit vectors of descriptions without an outside encoder: mean of trained word vectors."""
+    """Unit vectors of descriptions without an outside encoder: mean of trained word vectors.
+
+    A word's vector meets each description that holds it once, with its count.
+    """
     described = spread(texts.where(F.length("description") > 0), "item_id")
     text = F.concat(F.lit(prefix), "description") if prefix else F.col("description")
-    lines = materialise(described.select("item_id", words(text).alias("words")), "text_words")
-    model = Word2Vec(
-        vectorSize=cfg.vector_size,
-        windowSize=cfg.window,
-        minCount=cfg.min_count,
-        maxIter=cfg.epochs,
-        seed=cfg.seed,
-        numPartitions=max(1, math.ceil(lines.count() / PARTITION_SENTENCES)),
-        inputCol="words",
-        outputCol="mean",
-    ).fit(lines)
-    means = model.transform(lines).select("item_id", vector_to_array("mean").alias("vec"))
-    return unit_vectors(means)
+    lines = described.select("item_id", scalar.words(text).alias("words"))
+    placed = materialise(array_words(lines, F.col("item_id"), "words"), "text_words")
+    vectors = word_vectors(placed, cfg)
+    counts = placed.groupBy("line", "word").agg(F.count(F.lit(1)).alias("n"))
+    sums = (
+        counts.join(vectors, "word")
+        .select(F.col("line").alias("item_id"), "n", F.transform("vec", lambda x: x * F.col("n")).alias("vec"))
+        .groupBy("item_id")
+        .agg(sum_vectors(F.col("vec")).alias("vec"), F.sum("n").alias("n"))
+    )
+    return unit_vectors(sums.select("item_id", F.transform("vec", lambda x: x / F.col("n")).alias("vec")))
 
 
 class VectorModel(Model):
@@ -155,8 +83,8 @@ class Item2Vec(VectorModel):
 
     @classmethod
     def fit(cls, items: DataFrame, cfg: EmbeddingConfig = EmbeddingConfig()) -> Item2Vec:
-        lines = materialise(sentences(items), "sentences")
-        return cls(tables={"vectors": materialise(word_vectors(lines, cfg), "item_vectors")})
+        lines = materialise(basket_words(items), "basket_words")
+        return cls(tables={"vectors": materialise(item_vectors(lines, cfg), "item_vectors")})
 
 
 def graph_edges(items: DataFrame, min_support: int = 2) -> DataFrame:
@@ -172,11 +100,7 @@ class ItemGraphNode2Vec(VectorModel):
     def fit(cls, items: DataFrame, cfg: GraphConfig = GraphConfig()) -> ItemGraphNode2Vec:
         edges = materialise(graph_edges(items, cfg.min_support), "graph_edges")
         walks = random_walks(edges, cfg.walk_length, cfg.num_walks, cfg.embedding.seed)
-        lines = materialise(
-            walks.select(F.col("nodes").cast("array<string>").alias("words")), "walks"
-        )
+        lines = materialise(array_words(walks, F.struct("start", "walk"), "nodes"), "walks")
         return cls(
-            tables={"vectors": materialise(word_vectors(lines, cfg.embedding), "graph_vectors")}
+            tables={"vectors": materialise(item_vectors(lines, cfg.embedding), "graph_vectors")}
         )
-
-

@@ -7,18 +7,18 @@ from typing import ClassVar
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pannier.config import FactorConfig
-from pannier.functions.vectors import mean_vectors, sum_vectors
+from pannier.functions.vectors import mean_vectors
 from pannier.operators.nearest import nearest
 from pannier.operators.numbering import dense_index
 from pannier.operators.topk import Queries, drop_owned, top_k
 from pannier.recommend.base import Model
-from pannier.session import cut, materialise
+from pannier.recommend.blocks import BlockConfig, train_blocks
+from pannier.session import materialise
 
 # A query with more items than this is folded in from partial sums.
 FOLD_ITEMS = 100
@@ -28,131 +28,6 @@ PART_ITEMS = 4096
 SOLVE_ROWS = 512
 
 
-def start_vector(n: int, seed: int, *keys: str) -> Column:
-    """Small values spread around 0, fixed by the row's key."""
-    scale = float(1 << 20)
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(n)),
-        lambda d: (
-            F.pmod(F.xxhash64(*[F.col(k) for k in keys], d, F.lit(seed)), F.lit(1 << 20)) / scale
-            - 0.5
-        )
-        / n,
-    )
-
-
-def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a matrix, without touching single rows."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def _summed(kind: str, ids: np.ndarray, steps: np.ndarray) -> pa.RecordBatch:
-    """One row per id with the sum of its steps."""
-    order = np.argsort(ids, kind="stable")
-    keys, first, n = np.unique(ids[order], return_index=True, return_counts=True)
-    total = np.add.reduceat(steps[order], first, axis=0)
-    offsets = np.arange(len(keys) + 1, dtype=np.int32) * total.shape[1]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([kind] * len(keys), pa.string()),
-            pa.array(keys, pa.int64()),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.ravel())),
-            pa.array(n, pa.int64()),
-        ],
-        names=["kind", "id", "g", "n"],
-    )
-
-
-def _moves(loss: str, reg: float):
-    """Ascent directions of a batch of (left, seen, unseen) vectors, summed per vector.
-
-    Emits one row per vector and batch: the partial sums the shuffle carries.
-    """
-
-    def sigmoid(x: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-x))
-
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            u, vi, vj = (_rows(batch.column(c)) for c in ("vu", "vi", "vj"))
-            ids = {c: batch.column(c).to_numpy() for c in ("u", "i", "j")}
-            to_seen, to_unseen = (u * vi).sum(axis=1), (u * vj).sum(axis=1)
-            if loss == "bpr":
-                seen = unseen = 1.0 - sigmoid(to_seen - to_unseen)
-            else:
-                seen, unseen = 1.0 - sigmoid(to_seen), sigmoid(to_unseen)
-            seen, unseen = seen[:, None], unseen[:, None]
-            yield _summed("u", ids["u"], seen * vi - unseen * vj - reg * u)
-            yield _summed(
-                "v",
-                np.concatenate([ids["i"], ids["j"]]),
-                np.concatenate([seen * u - reg * vi, -unseen * u - reg * vj]),
-            )
-
-    return move
-
-
-def train_factors(
-    pairs: DataFrame, cfg: FactorConfig, loss: str = "bpr", seed: int = 42
-) -> DataFrame:
-    """Left and right vectors from observed pairs (u, i): kind ('u' or 'v'), id, vec.
-
-    One round joins the current vectors to every observed pair and one unseen
-    item, turns them into gradients and sums those per vector before the
-    shuffle. Neither the driver nor a task holds a factor table. A vector moves
-    by its gradient sum over the square root of the number of summands, so that
-    an item in a third of all pairs does not overshoot.
-    """
-    if loss not in ("bpr", "skipgram"):
-        raise ValueError(f"unknown loss {loss!r}")
-    pairs = materialise(pairs.select("u", "i").distinct(), "factor_pairs")
-    index = materialise(
-        dense_index(pairs.withColumnRenamed("i", "id"), "id", "idx"), "factor_index"
-    )
-    n_items = index.count()
-    lefts = pairs.select(F.lit("u").alias("kind"), F.col("u").alias("id")).distinct()
-    rights = index.select(F.lit("v").alias("kind"), "id")
-    state = cut(
-        lefts.unionByName(rights).withColumn(
-            "vec", start_vector(cfg.factors, seed, "kind", "id")
-        )
-    )
-    taken = pairs.withColumnRenamed("i", "j")
-    for epoch in range(cfg.iterations):
-        pick = F.pmod(F.xxhash64("u", "i", F.lit(epoch), F.lit(seed)), F.lit(n_items))
-        sampled = (
-            pairs.withColumn("idx", pick)
-            .join(index.withColumnRenamed("id", "j"), "idx")
-            .join(taken, ["u", "j"], "left_anti")
-        )
-        left = state.where("kind = 'u'").select(F.col("id").alias("u"), F.col("vec").alias("vu"))
-        right = state.where("kind = 'v'")
-        rows = (
-            sampled.join(left, "u")
-            .join(right.select(F.col("id").alias("i"), F.col("vec").alias("vi")), "i")
-            .join(right.select(F.col("id").alias("j"), F.col("vec").alias("vj")), "j")
-        )
-        moves = rows.select("u", "i", "j", "vu", "vi", "vj").mapInArrow(
-            _moves(loss, cfg.regularization), "kind string, id long, g array<double>, n long"
-        )
-        step = moves.groupBy("kind", "id").agg(
-            sum_vectors(F.col("g")).alias("g"), F.sum("n").alias("n")
-        )
-        rate = F.lit(cfg.learning_rate) / F.sqrt(F.col("n").cast("double"))
-        state = cut(
-            state.join(step, ["kind", "id"], "left").select(
-                "kind",
-                "id",
-                F.when(F.col("g").isNull(), F.col("vec"))
-                .otherwise(F.zip_with("vec", F.transform("g", lambda x: x * rate), lambda v, m: v + m))
-                .alias("vec"),
-            )
-        )
-    return state
-
-
 class ImplicitBPR(Model):
     """Pairwise-ranked factors; a query is the mean of its items' vectors."""
 
@@ -162,12 +37,9 @@ class ImplicitBPR(Model):
     def fit(
         cls, items: DataFrame, cfg: FactorConfig = FactorConfig(iterations=100), seed: int = 42
     ) -> ImplicitBPR:
-        pairs = items.select(F.col("order_id").alias("u"), F.col("item_id").alias("i"))
-        vectors = (
-            train_factors(pairs, cfg, "bpr", seed)
-            .where("kind = 'v'")
-            .select(F.col("id").alias("item_id"), "vec")
-        )
+        pairs = items.select(F.col("order_id").alias("u"), F.col("item_id").alias("i")).distinct()
+        train = BlockConfig(cfg.factors, cfg.iterations, cfg.learning_rate, cfg.regularization, "bpr", seed)
+        vectors = train_blocks(pairs.withColumn("weight", F.lit(1)), train).withColumnRenamed("id", "item_id")
         return cls(tables={"vectors": materialise(vectors, "bpr_vectors")})
 
     def recommend(self, queries: Queries, k: int = 10) -> DataFrame:

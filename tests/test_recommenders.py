@@ -7,7 +7,7 @@ from conftest import TOY, items_of, lists_of, queries_of
 from pannier.config import BoostConfig, EmbeddingConfig, FactorConfig, GraphConfig, RankerConfig
 from pannier.operators import nearest as near
 from pannier.operators import walks
-from pannier.recommend import embedding, factors
+from pannier.recommend import factors
 from pannier.recommend.boost import ContentBoost, DenseBoost
 from pannier.recommend.cooccurrence import CooccurrenceLift
 from pannier.recommend.embedding import Item2Vec, ItemGraphNode2Vec, graph_edges
@@ -157,31 +157,6 @@ def test_large_query_folds_in_like_a_small_one(spark, toy, monkeypatch):
     assert np.allclose(plain[1], want, atol=1e-6)
 
 
-CLUSTERS = [[(b + j) % 6 + 6 * (b % 2) for j in range(3)] for b in range(60)]
-
-
-def test_pairwise_factors_learn_which_items_belong_together(spark):
-    model = ImplicitBPR.fit(
-        items_of(spark, CLUSTERS), FactorConfig(factors=8, iterations=8, learning_rate=1.0)
-    )
-    got = lists_of(model.recommend(queries_of(spark, [[0, 1], [7, 8]]), 3))
-    assert sum(i < 6 for i in got[0]) >= 2 and sum(i >= 6 for i in got[1]) >= 2
-
-
-def test_large_vocabulary_trains_as_a_table(spark, monkeypatch):
-    monkeypatch.setattr(embedding, "DRIVER_NUMBERS", 1)
-    model = Item2Vec.fit(items_of(spark, CLUSTERS), EmbeddingConfig(vector_size=8, min_count=1, epochs=3))
-    assert model.tables["vectors"].count() == 12
-    sane(lists_of(model.recommend(queries_of(spark, [[0, 1]]), 3)), 3, [[0, 1]])
-
-
-def test_oversized_basket_becomes_bounded_sentences(spark, monkeypatch):
-    monkeypatch.setattr(embedding, "SENTENCE_ITEMS", 20)
-    lines = [r["words"] for r in embedding.sentences(items_of(spark, [list(range(200)), [3, 1, 2]])).collect()]
-    assert ["3", "1", "2"] in lines
-    assert max(map(len, lines)) < 40 and sum(map(len, lines)) == 203
-
-
 def test_ranker_falls_back_then_learns(spark, toy, catalog, toy_queries, pop, cooc):
     cfg = RankerConfig(n_candidates=10, rounds=3, min_rows_per_leaf=1, max_depth=2)
     model = LambdaRanker.of({"TopPopular": pop, "CooccurrenceLift": cooc}, toy, catalog, None, cfg)
