@@ -4,9 +4,9 @@
    modulo 2**64: with P the running sum of value x base**place, a range's fingerprint is
    (P[end] - P[start]) / base**start. The same over the words' fingerprints gives every
    n-gram's, mixed with its length and language. All of it is numpy over flat arrays.
-2. Level by level - words, pairs, then 3 to ``LONGEST`` words - tasks count fingerprints of
-   their texts and the shuffle sums them. Those seen ``least`` times enter a filter of
-   ``FILTER_BITS`` bits; the next level counts only n-grams whose parts are all in it,
+2. In two levels - words and pairs, then 3 to ``LONGEST`` words - tasks count fingerprints
+   of their texts and the shuffle sums them. Those seen ``least`` times enter a filter of
+   ``FILTER_BITS`` bits; the second level counts only n-grams whose pairs are all in it,
    since a phrase is never more frequent than its parts. The filter is the one thing
    broadcast and has that fixed size: a fuller one lets more n-grams pass, never fewer.
 3. A last scan groups the occurrences that pass the filter by fingerprint. An
@@ -144,21 +144,18 @@ def _passing(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _wanted(words: Words, langs: np.ndarray, count: int, lengths: range, bits: np.ndarray | None):
-    """(n, fingerprints, places) of n-grams whose parts are all frequent so far."""
-    if lengths[0] == 1:
-        keys, _ = words.grams(1, langs, count)
-        yield 1, keys, np.arange(len(keys))
-        return
-    parts = lengths[0] - 1 if lengths[0] == 2 else 2
-    keys, whole = words.grams(parts, langs, len(words.codes))
-    frequent = whole & _passing(bits, keys)
+def _wanted(
+    words: Words, langs: np.ndarray, count: int, lengths: range, bits: np.ndarray | None
+) -> Iterator[np.ndarray]:
+    """Fingerprints of n-grams; with a filter only of those whose word pairs all pass it."""
+    if bits is not None:
+        keys, whole = words.grams(2, langs, len(words.codes))
+        frequent = whole & _passing(bits, keys)
     for n in lengths:
         keys, whole = words.grams(n, langs, count)
-        for j in range(n - parts + 1):
+        for j in range(n - 1 if bits is not None else 0):  # its pairs
             whole = whole & frequent[j : j + len(whole)]
-        at = np.flatnonzero(whole)
-        yield n, keys[at], at
+        yield keys[whole]
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +185,7 @@ def _count(batches: Iterator[pa.RecordBatch], lengths: range, filter_: Broadcast
         for part in slices(batch, "text"):
             codes = _lang_codes(part)
             for words, of, count in _texts(part):
-                for _, keys, _ in _wanted(words, codes[of], count, lengths, bits):
+                for keys in _wanted(words, codes[of], count, lengths, bits):
                     if len(keys):
                         held.append(_summed(keys, np.ones(len(keys), np.int64)))
                         size += len(held[-1][0])
@@ -310,8 +307,8 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     sent = None
-    for lengths in (range(1, 2), range(2, 3), range(3, longest + 1)):
-        if not lengths or lengths[0] > longest:
+    for lengths in (range(1, min(longest, 2) + 1), range(3, longest + 1)):
+        if not lengths:
             continue
         counted = rows.select("lang", "text").mapInArrow(partial(_count, lengths=lengths, filter_=sent), "key long, n long")
         bits = _filter(counted, least, bits)
