@@ -7,8 +7,8 @@ many steps on them; no other task holds a vector of these blocks. Only vectors
 move between turns. Pairs are packed once, by turn, so a turn reads its own cells.
 
 Neither the driver nor a task holds a whole factor table: a task's share is two
-blocks of about ``BLOCK_ROWS`` vectors (more only beyond ``MOST_BLOCKS`` blocks, so that
-a sweep has a bounded number of turns) and a cell of distinct pairs. What a step
+blocks of about ``BLOCK_ROWS`` vectors at most (more only beyond ``MOST_BLOCKS`` blocks, so
+that a sweep has a bounded number of turns) and a cell of distinct pairs. What a step
 does follows from ids, seed, sweep and cell, so the vectors do not depend on the
 number of partitions or executors, and a lost task is redone alike.
 
@@ -22,6 +22,7 @@ vector's gradients, so a word in a third of all pairs does not overshoot.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 
 from pannier.session import materialise
 
-#: Vectors of a block that all blocks should have, and most blocks of a side.
-BLOCK_ROWS = 1 << 14
+#: Vectors that a block should have at most, and most blocks of a side.
+BLOCK_ROWS = 1 << 15
 MOST_BLOCKS = 256
+#: Pairs that an average cell should have.
+CELL_PAIRS = 1 << 14
 #: Times that every cell is visited; the iterations are shared out among them.
-SWEEPS = 5
+SWEEPS = 4
 #: Turns between two cuts of the lineage.
 CUT_TURNS = 8
 #: Left rows whose pairs are packed into one row.
@@ -120,8 +123,10 @@ class Block:
         """Move the vectors of ``rows`` by their summed gradients."""
         order = np.argsort(rows, kind="stable")
         ranked = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        sums, at = np.add.reduceat(grads[order], first, axis=0), ranked[first]
+        fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        sums, at = grads[order[fresh]], ranked[fresh]
+        if len(at) < len(rows):  # the rest of a row's gradients; most rows have one
+            np.add.at(sums, (np.cumsum(fresh) - 1)[~fresh], grads[order[~fresh]])
         self.sq[at] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
         self.vec[at] += np.float32(rate) * sums / np.sqrt(self.sq[at] + np.float32(1e-8))[:, None]
 
@@ -215,11 +220,15 @@ def _turn(state: DataFrame, cells: DataFrame, s: int, blocks: int, visit) -> Dat
         "t", F.when(F.col("side") == "l", F.col("block")).otherwise(F.pmod(F.col("block") - s, F.lit(blocks)))
     )
     here = cells.where(F.col("turn") == s).select(F.lit("c").alias("side"), F.col("chunk").cast("int").alias("block"), "t", "l", "r", "w")
-    return (
-        keyed.unionByName(here, allowMissingColumns=True)
-        .groupBy("t")
-        .applyInArrow(visit, _STATE)
-    )
+    # a partition for each cell: by hash, or after merging small partitions, cells would wait for each other
+    dealt = keyed.unionByName(here, allowMissingColumns=True).repartitionById(blocks, F.col("t").cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield from visit(pa.Table.from_batches(held)).to_batches()
+
+    return dealt.mapInArrow(run, _STATE)
 
 
 def train_blocks(pairs: DataFrame, cfg: BlockConfig, side: str = "r") -> DataFrame:
@@ -238,7 +247,8 @@ def train_blocks(pairs: DataFrame, cfg: BlockConfig, side: str = "r") -> DataFra
     kind = pairs.schema["i" if side == "r" else "u"].dataType.simpleString()
     if not known:
         return pairs.sparkSession.createDataFrame([], f"id {kind}, vec array<float>")
-    blocks = min(MOST_BLOCKS, math.ceil(known / BLOCK_ROWS))
+    wanted = max(known / BLOCK_ROWS, math.sqrt(pairs.count() / CELL_PAIRS))
+    blocks = min(MOST_BLOCKS, math.ceil(wanted))
     left, right = _index(ids["l"], "l", blocks), _index(ids["r"], "r", blocks)
     noise_total = right.agg(F.sum(F.pow("mass", F.lit(0.75)))).first()[0]
     cells = _cells(pairs, left, right, blocks)
