@@ -13,7 +13,7 @@ from pannier.operators import content
 from pannier.operators.pairs import basket_total, category_affinity
 from pannier.operators.topk import Queries, top_k
 from pannier.recommend.base import Model
-from pannier.recommend.cooccurrence import association_top, fit_associations, heavy_items
+from pannier.recommend.cooccurrence import association_top, fit_associations
 from pannier.session import materialise
 
 # The pool holds this many times k candidates.
@@ -100,8 +100,7 @@ def _fit_common(
         "min_support": cfg.min_support,
         "score_metric": cfg.score_metric,
     }
-    assoc = fit_associations(items, cfg.score_metric, cfg.min_support)
-    tables = {"assoc": assoc, "heavy": heavy_items(assoc)}
+    tables = fit_associations(items, cfg.score_metric, cfg.min_support)
     if catalog is not None:
         tables["catalog"] = materialise(
             catalog.select("item_id", "category"), "boost_catalog"

@@ -1,4 +1,8 @@
-"""Co-purchase recommenders: association sums over the basket, and with history."""
+"""Co-purchase recommenders: association sums over the basket, and with history.
+
+Associations are stored as ranked lists, one per item. A query reads the lists of
+its items in blocks, until no item that it has not met can be among its best.
+"""
 
 from __future__ import annotations
 
@@ -7,135 +11,84 @@ from typing import ClassVar
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pannier.operators.numbering import number_rows
+from pannier.operators import threshold
 from pannier.operators.pairs import association_table, basket_total, item_counts
-from pannier.operators.topk import (
-    Queries,
-    drop_owned,
-    first_unowned,
-    sort_score,
-    sum_scores,
-    top_k,
-)
+from pannier.operators.topk import Queries
 from pannier.recommend.base import Model
 from pannier.session import materialise
 
+#: Kinds of lists: an item's associations; a purchase history's sums; a large basket's sums.
+ITEM, PROFILE, BASKET = 0, 1, 2
+#: A history is summed once into a list when its queries would read it more often than this.
+SHARED = 100_000
+
 
 def fit_associations(
     items: DataFrame, metric: str, min_support: int, group: str = "order_id"
-) -> DataFrame:
+) -> dict[str, DataFrame]:
+    """Ranked associations of every item, and the same in blocks."""
     counts = materialise(item_counts(items), "item_counts")
-    return materialise(
-        association_table(items, counts, basket_total(items, group), metric, min_support, group),
-        "associations",
+    table = association_table(items, counts, basket_total(items, group), metric, min_support, group)
+    lists = table.select(
+        F.lit(ITEM).alias("kind"), F.col("item_id").alias("list_id"), F.col("other_id").alias("item_id"), "score"
     )
-
-
-def association_scores(queries: Queries, assoc: DataFrame) -> DataFrame:
-    """Sum of associations with the basket, for items the basket lacks.
-
-    Summed before the owned items are dropped: both steps share one shuffle by
-    (query, item), and it carries partial sums only.
-    """
-    partners = assoc.select("item_id", F.col("other_id"), "score")
-    rows = queries.items.join(partners, "item_id").select(
-        "query_id", F.col("other_id").alias("item_id"), "score"
+    entries = materialise(threshold.ranked(materialise(lists, "associations")), "ranked_associations")
+    return {"entries": entries, "blocks": materialise(threshold.list_blocks(entries), "association_blocks")}
+
+
+def summed_lists(tables: dict[str, DataFrame], members: DataFrame, kind: int) -> dict[str, DataFrame]:
+    """The model's lists and further ones: sums of the associations of ``members(list_id, item_id, n)``."""
+    partners = tables["entries"].where(F.col("kind") == ITEM)
+    sums = (
+        members.join(partners.select(F.col("list_id").alias("item_id"), F.col("item_id").alias("other"), "score"), "item_id")
+        .groupBy("list_id", F.col("other").alias("item_id"))
+        .agg(F.sum(F.col("score") * F.col("n")).alias("score"))
+        .select(F.lit(kind).alias("kind"), "list_id", "item_id", "score")
     )
-    return drop_owned(sum_scores(rows), queries)
+    entries = materialise(threshold.ranked(materialise(sums, "summed_lists")), "ranked_sums")
+    blocks = materialise(threshold.list_blocks(entries), "sum_blocks")
+    return {
+        "entries": tables["entries"].unionByName(entries),
+        "blocks": tables["blocks"].unionByName(blocks),
+    }
 
 
-# Items with more partners than this are read as ranked lists, not summed per query.
-HEAVY_PARTNERS = 5000
+def basket_weights(queries: Queries) -> DataFrame:
+    """(query_id, item_id, weight): a repeated item counts as often as it stands in the basket."""
+    return queries.items.groupBy("query_id", "item_id").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def heavy_items(assoc: DataFrame) -> DataFrame:
-    """item_id, partners of the items with very many associations; mostly empty."""
-    degrees = assoc.groupBy("item_id").agg(F.count(F.lit(1)).alias("partners"))
-    return materialise(degrees.where(F.col("partners") > HEAVY_PARTNERS), "heavy_items")
-
-
-def _score_block(score: str) -> Column:
-    """Slices of a positive score, highest first, on a logarithmic scale."""
-    value = sort_score(score)
-    return F.when(value > 0, -F.floor(F.log2(value) * 16)).otherwise(F.lit(1 << 20))
+def _asked(rows: DataFrame, kind: int, weight: str | Column = "weight") -> DataFrame:
+    return rows.select(
+        "query_id", F.lit(kind).alias("kind"), "list_id", (F.col(weight) if isinstance(weight, str) else weight).alias("weight")
+    )
 
 
-def best_of_lists(
-    scores: DataFrame, asks: DataFrame, tied: DataFrame, queries: Queries, k: int
-) -> DataFrame:
-    """First ``k`` entries of each query's list that are neither owned nor tied to it.
+def basket_asks(
+    weights: DataFrame, queries: Queries, tables: dict[str, DataFrame]
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(query_id, kind, list_id, weight) for weighted basket items, and all lists.
 
-    scores: list_id, item_id, score; asks: query_id, list_id; tied: query_id, item_id.
+    A basket of more than ``threshold.LISTS`` items asks for one list, its own sums.
     """
-    skip = queries.owned.unionByName(tied.select("query_id", "item_id")).join(
-        asks.select("query_id"), "query_id", "left_semi"
+    weights = weights.withColumnRenamed("item_id", "list_id")
+    if queries.max_size <= threshold.LISTS:
+        return _asked(weights, ITEM), tables
+    large = queries.cases.where(F.col("size") > threshold.LISTS).select("query_id")
+    members = weights.join(large, "query_id", "left_semi").select(
+        F.col("query_id").alias("list_id"), F.col("list_id").alias("item_id"), F.col("weight").alias("n")
     )
-    sizes = materialise(
-        # an empty basket skips nothing but still asks
-        asks.join(skip.groupBy("query_id").agg(F.count(F.lit(1)).alias("size")), "query_id", "left")
-        .withColumn("size", F.coalesce("size", F.lit(0))),
-        "list_skips",
+    own = _asked(large.withColumn("list_id", F.col("query_id")), BASKET, F.lit(1.0))
+    return (
+        _asked(weights.join(large, "query_id", "left_anti"), ITEM).unionByName(own),
+        summed_lists(tables, members, BASKET),
     )
-    limits = sizes.groupBy("list_id").agg((F.max("size") + k).alias("limit"))
-    lists = materialise(
-        number_rows(
-            scores,
-            ["list_id"],
-            _score_block("score"),
-            [sort_score().desc(), F.col("item_id")],
-            "rank",
-            limits=limits,
-        ),
-        "ranked_lists",
-    )
-    return first_unowned(
-        lists, asks, skip, k, sizes.select("query_id", "size"), packed=False
-    ).select("query_id", "item_id", "score")
 
 
 def association_top(queries: Queries, tables: dict[str, DataFrame], k: int) -> DataFrame:
-    """The ``k`` best associated items per query.
-
-    A best-selling item ties nearly every item to nearly every query. Where a
-    query holds such an item, its heaviest one is not multiplied out: items tied
-    to nothing else in the basket score exactly what the heavy item's own list
-    says, so the first few of that list do. Queries repeating it are summed.
-    """
-    assoc, heavy = tables["assoc"], tables["heavy"]
-    if heavy.isEmpty():
-        return top_k(association_scores(queries, assoc), k)
-    weighty = (
-        queries.items.join(heavy, "item_id")
-        .groupBy("query_id", "item_id")
-        .agg(F.max("partners").alias("partners"), F.count(F.lit(1)).alias("times"))
-    )
-    leads = materialise(
-        weighty.groupBy("query_id")
-        .agg(F.max(F.struct("partners", "item_id", "times")).alias("_m"))
-        .where("_m.times = 1")
-        .select("query_id", F.col("_m.item_id").alias("list_id")),
-        "lead_items",
-    )
-    rest = queries.items.join(
-        leads.withColumnRenamed("list_id", "item_id"), ["query_id", "item_id"], "left_anti"
-    )
-    rows = rest.join(assoc, "item_id").select(
-        "query_id", F.col("other_id").alias("item_id"), "score"
-    )
-    tied = materialise(drop_owned(sum_scores(rows), queries), "tied_items")
-    led = assoc.join(heavy, "item_id", "left_semi").select(
-        F.col("item_id").alias("list_id"), F.col("other_id").alias("item_id"), "score"
-    )
-    own = (
-        tied.join(leads, "query_id", "left")
-        .join(led.withColumnRenamed("score", "_led"), ["list_id", "item_id"], "left")
-        .select(
-            "query_id",
-            "item_id",
-            (F.col("score") + F.coalesce("_led", F.lit(0.0))).alias("score"),
-        )
-    )
-    return top_k(own.unionByName(best_of_lists(led, leads, tied, queries, k)), k)
+    """The ``k`` best associated items per query that it does not own."""
+    asks, lists = basket_asks(basket_weights(queries), queries, tables)
+    return threshold.best_sums(asks, queries.owned, lists["entries"], lists["blocks"], k)
 
 
 class CooccurrenceLift(Model):
@@ -145,10 +98,9 @@ class CooccurrenceLift(Model):
     def fit(
         cls, items: DataFrame, min_support: int = 2, score_metric: str = "lift"
     ) -> CooccurrenceLift:
-        assoc = fit_associations(items, score_metric, min_support)
         return cls(
             {"min_support": min_support, "score_metric": score_metric},
-            {"assoc": assoc, "heavy": heavy_items(assoc)},
+            fit_associations(items, score_metric, min_support),
         )
 
     def recommend(self, queries: Queries, k: int = 10) -> DataFrame:
@@ -158,11 +110,10 @@ class CooccurrenceLift(Model):
 class SessionCooccurrence(Model):
     """Basket associations plus ``history_weight`` times those of the purchase history.
 
-    A profile's history is scored once, not per query. For a query of that
-    profile an item without any tie to the basket scores exactly
-    the profile's weighted score, so the first few of the profile's ranked list do;
-    items tied to the basket get their own sum. Basket items that are in the
-    history too are taken out of the profile's part.
+    A query asks for its basket items' lists with weight 1 and for those of the
+    profile's other past items with ``history_weight``. A history that is long, or
+    shared by many queries, is summed once into a ranked list of its own, read
+    like any other; basket items in it then count that much less.
     """
 
     name: ClassVar[str] = "SessionCooccurrence"
@@ -178,62 +129,50 @@ class SessionCooccurrence(Model):
         return cls(
             {"history_weight": history_weight, "min_support": min_support},
             {
-                "assoc": fit_associations(items, "lift", min_support),
+                **fit_associations(items, "lift", min_support),
                 "histories": materialise(
-                    histories.select("profile_id", "item_id"), "session_histories"
+                    histories.select("profile_id", "item_id").distinct(), "session_histories"
                 ),
             },
         )
 
-    def profile_scores(self, queries: Queries) -> DataFrame:
-        """Weighted history scores of the profiles in the batch."""
-        asked = queries.cases.where("profile_id is not null").select("profile_id").distinct()
-        past = self.tables["histories"].join(asked, "profile_id", "left_semi")
-        sums = (
-            past.join(self.tables["assoc"], "item_id")
-            .groupBy("profile_id", F.col("other_id").alias("item_id"))
-            .agg((F.sum("score") * self.params["history_weight"]).alias("past"))
+    def asks(self, queries: Queries) -> tuple[DataFrame, dict[str, DataFrame]]:
+        """What each query asks for, and all lists."""
+        weight = float(self.params["history_weight"])
+        tables, own = self.tables, basket_weights(queries)
+        asked = queries.cases.where("profile_id is not null").select("query_id", "profile_id")
+        if weight == 0:
+            return basket_asks(own, queries, tables)
+        histories = tables["histories"]
+        sizes = (
+            histories.groupBy("profile_id")
+            .agg(F.count(F.lit(1)).alias("past"))
+            .join(asked.groupBy("profile_id").agg(F.count(F.lit(1)).alias("queries")), "profile_id")
+        )
+        long = (F.col("past") > threshold.LISTS) | (F.col("past") * F.col("queries") > SHARED)
+        # beyond 1 a basket item would have to be taken out with a weight below zero
+        shared = materialise(sizes.where(long if weight <= 1 else F.lit(False)).select("profile_id"), "shared_histories")
+        past = (
+            asked.join(shared, "profile_id", "left_anti")
+            .join(histories, "profile_id")
+            .join(queries.items, ["query_id", "item_id"], "left_anti")
         )
-        return materialise(sums, "profile_scores")
-
-    def tied_scores(self, queries: Queries) -> DataFrame:
-        """Basket part of the score: items in the history count ``1 - weight`` here."""
-        weight = self.params["history_weight"]
-        in_past = self.tables["histories"].select("profile_id", "item_id").distinct()
-        in_past = in_past.withColumn("_past", F.lit(True))
-        # an item may stand in a basket several times; the history counts it once
-        own = (
-            queries.items.groupBy("query_id", "item_id")
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .join(queries.cases.select("query_id", "profile_id"), "query_id")
-            .join(in_past, ["profile_id", "item_id"], "left")
-            .select(
-                "query_id",
-                "item_id",
-                (F.col("_n") - F.when(F.col("_past"), weight).otherwise(0.0)).alias("_w"),
-            )
+        light = _asked(past.withColumnRenamed("item_id", "list_id"), ITEM, F.lit(weight))
+        if shared.isEmpty():
+            asks, tables = basket_asks(own, queries, tables)
+            return asks.unionByName(light), tables
+        mine = asked.join(shared, "profile_id", "left_semi")
+        both = own.join(mine, "query_id").join(histories, ["profile_id", "item_id"]).select("query_id", "item_id")
+        own = own.join(both.withColumn("_less", F.lit(weight)), ["query_id", "item_id"], "left").select(
+            "query_id", "item_id", (F.col("weight") - F.coalesce("_less", F.lit(0.0))).alias("weight")
         )
-        rows = own.join(self.tables["assoc"], "item_id").select(
-            "query_id",
-            F.col("other_id").alias("item_id"),
-            (F.col("score") * F.col("_w")).alias("score"),
+        asks, tables = basket_asks(own.where("weight > 0"), queries, tables)
+        members = histories.join(shared, "profile_id", "left_semi").select(
+            F.col("profile_id").alias("list_id"), "item_id", F.lit(1.0).alias("n")
         )
-        return materialise(drop_owned(sum_scores(rows), queries), "session_tied")
+        heavy = _asked(mine.withColumnRenamed("profile_id", "list_id"), PROFILE, F.lit(weight))
+        return asks.unionByName(light).unionByName(heavy), summed_lists(tables, members, PROFILE)
 
     def recommend(self, queries: Queries, k: int = 10) -> DataFrame:
-        past = self.profile_scores(queries)
-        tied = self.tied_scores(queries)
-        own = (
-            tied.join(queries.cases.select("query_id", "profile_id"), "query_id")
-            .join(past, ["profile_id", "item_id"], "left")
-            .select(
-                "query_id",
-                "item_id",
-                (F.col("score") + F.coalesce("past", F.lit(0.0))).alias("score"),
-            )
-        )
-        asks = queries.cases.where("profile_id is not null").select(
-            "query_id", F.col("profile_id").alias("list_id")
-        )
-        lists = past.select(F.col("profile_id").alias("list_id"), "item_id", F.col("past").alias("score"))
-        return top_k(own.unionByName(best_of_lists(lists, asks, tied, queries, k)), k)
+        asks, tables = self.asks(queries)
+        return threshold.best_sums(asks, queries.owned, tables["entries"], tables["blocks"], k)

@@ -5,7 +5,7 @@ from conftest import items_of, lists_of, queries_of
 from pyspark.sql import functions as F
 
 from pannier.operators import numbering as nb
-from pannier.operators import topk
+from pannier.operators import threshold, topk
 from pannier.recommend import cooccurrence
 from pannier.recommend.cooccurrence import CooccurrenceLift, SessionCooccurrence
 from pannier.recommend.popular import TopPopular
@@ -82,7 +82,11 @@ def best(scores, k):
     return sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:k]
 
 
-def test_session_equals_the_direct_sum_with_one_dominant_profile(spark):
+@pytest.mark.parametrize("first,lists,shared", [(256, 1000, 100_000), (3, 1000, 50), (2, 3, 0), (1, 2, 100)])
+def test_session_equals_the_direct_sum_with_one_dominant_profile(spark, monkeypatch, first, lists, shared):
+    monkeypatch.setattr(threshold, "FIRST", first)
+    monkeypatch.setattr(threshold, "LISTS", lists)
+    monkeypatch.setattr(cooccurrence, "SHARED", shared)
     rng = random.Random(11)
     baskets = [rng.sample(range(40), rng.randint(2, 5)) for _ in range(120)]
     past = {1: list(range(0, 35)), 2: [3, 4], 3: []}
@@ -106,9 +110,10 @@ def test_session_equals_the_direct_sum_with_one_dominant_profile(spark):
         assert got.get(q, []) == best(scores, 6), q
 
 
-@pytest.mark.parametrize("heavy", [1, 12, 5000])
-def test_cooccurrence_equals_the_direct_sum(spark, heavy, monkeypatch):
-    monkeypatch.setattr(cooccurrence, "HEAVY_PARTNERS", heavy)
+@pytest.mark.parametrize("first,lists", [(2, 1000), (2, 4), (256, 1000)])
+def test_cooccurrence_equals_the_direct_sum(spark, first, lists, monkeypatch):
+    monkeypatch.setattr(threshold, "FIRST", first)
+    monkeypatch.setattr(threshold, "LISTS", lists)
     rng = random.Random(2)
     baskets = [rng.sample(range(30), rng.randint(2, 5)) for _ in range(80)]
     baskets += [[0, i] for i in range(1, 30) for _ in range(2)]  # item 0 is tied to all
