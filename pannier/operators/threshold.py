@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pannier.operators.numbering import place_rows
@@ -60,27 +60,55 @@ def read_upto(r: int) -> int:
     return FIRST * ((1 << min(r + 1, DOUBLED)) - 1) + (FIRST << DOUBLED) * max(0, r + 1 - DOUBLED)
 
 
-def ranked(entries: DataFrame) -> DataFrame:
-    """``entries(kind, list_id, item_id, score)`` with ``rank`` from 0, best first, then by item."""
-    rows = entries.select(*_KEY, "item_id", "score", (-sort_score()).alias("_down"))
-    sizes = rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LONG)
-    long = materialise(sizes.select(*_KEY), "long_lists")
-    along = Window.partitionBy(*_KEY).orderBy("_down", "item_id")
-    if long.isEmpty():
-        placed = rows.withColumn("rank", F.row_number().over(along) - 1)
-    else:
-        usual = rows.join(long, _KEY, "left_anti").withColumn("rank", F.row_number().over(along) - 1)
-        placed = usual.unionByName(place_rows(rows.join(long, _KEY, "left_semi"), _KEY, ["_down", "item_id"], "rank"))
-    return placed.select(*_KEY, "item_id", "score", F.col("rank").cast("long").alias("rank"))
+def _edge(block: Column) -> Column:
+    """Place in the list where a block begins."""
+    early = (F.pow(F.lit(2), F.least(block, F.lit(DOUBLED))).cast("int") - 1) * FIRST
+    return early + F.greatest(block - DOUBLED, F.lit(0)) * (FIRST << DOUBLED)
 
 
 def list_blocks(entries: DataFrame) -> DataFrame:
-    """(kind, list_id, block, ids, scores, next): ``next`` is the first score after the block, null at the end."""
-    rows = entries.withColumn("block", block_of(F.col("rank")))
-    packed = rows.groupBy(*_KEY, "block").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id", "score"))).alias("e"))
-    heads = rows.groupBy(*_KEY, (F.col("block") - 1).alias("block")).agg(F.max_by("score", -F.col("rank")).alias("next"))
-    return packed.join(heads, [*_KEY, "block"], "left").select(
-        *_KEY, "block", F.col("e.item_id").alias("ids"), F.col("e.score").alias("scores"), "next"
+    """Ranked lists in blocks, from a stored table ``entries(kind, list_id, item_id, score)``.
+
+    (kind, list_id, block, ids, scores, next): best first, then by item; ``next`` is the
+    first score after the block, null at the end. A usual list is sorted and cut in one
+    row; one of more than ``LONG`` entries is ranked over several tasks.
+    """
+    rows = entries.select(*_KEY, (-sort_score()).alias("down"), "item_id", "score")
+    sizes = rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
+    long = materialise(sizes.where(F.col("n") > LONG).select(*_KEY), "long_lists")
+    any_long = not long.isEmpty()
+    usual = rows.join(long, _KEY, "left_anti") if any_long else rows
+    packed = usual.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("down", "item_id", "score"))).alias("e"))
+    cut = (
+        packed.withColumn("block", F.explode(F.sequence(F.lit(0), block_of(F.size("e") - 1))))
+        .withColumn("_from", _edge(F.col("block")))
+        .withColumn("_end", _edge(F.col("block") + 1))
+        .withColumn("part", F.slice("e", F.col("_from") + 1, F.col("_end") - F.col("_from")))
+        .select(
+            *_KEY,
+            "block",
+            F.col("part.item_id").alias("ids"),
+            F.col("part.score").alias("scores"),
+            F.try_element_at("e", F.col("_end") + 1)["score"].alias("next"),
+        )
+    )
+    if not any_long:
+        return cut
+    placed = place_rows(rows.join(long, _KEY, "left_semi"), _KEY, ["down", "item_id"], "rank")
+    deep = placed.withColumn("block", block_of(F.col("rank")))
+    parts = deep.groupBy(*_KEY, "block").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id", "score"))).alias("e"))
+    heads = deep.groupBy(*_KEY, (F.col("block") - 1).alias("block")).agg(F.max_by("score", -F.col("rank")).alias("next"))
+    return cut.unionByName(
+        parts.join(heads, [*_KEY, "block"], "left").select(
+            *_KEY, "block", F.col("e.item_id").alias("ids"), F.col("e.score").alias("scores"), "next"
+        )
+    )
+
+
+def entries_of(blocks: DataFrame) -> DataFrame:
+    """The single entries of blocks: kind, list_id, item_id, score."""
+    return blocks.select(*_KEY, F.explode(F.arrays_zip("ids", "scores")).alias("e")).select(
+        *_KEY, F.col("e.ids").alias("item_id"), F.col("e.scores").alias("score")
     )
 
 
@@ -168,10 +196,11 @@ def _round(asks: DataFrame, owned: DataFrame, blocks: DataFrame, r: int, k: int)
     return dealt.mapInArrow(run, "query_id long, item_id long, score double, state string")
 
 
-def _missing(found: DataFrame, asks: DataFrame, entries: DataFrame, r: int) -> DataFrame:
+def _missing(found: DataFrame, asks: DataFrame, blocks: DataFrame, r: int) -> DataFrame:
     """Scores of the items to look up, with their entries beyond block ``r``."""
     unread = asks.where(F.col("n") > read_upto(r)).select("query_id", *_KEY, "weight")
-    deep = entries.where(block_of(F.col("rank")) > r).select(*_KEY, "item_id", F.col("score").alias("more"))
+    deep = entries_of(blocks.where(F.col("block") > r).join(unread.select(*_KEY).distinct(), _KEY, "left_semi"))
+    deep = deep.withColumnRenamed("score", "more")
     extra = (
         found.select("query_id", "item_id")
         .join(unread, "query_id")
@@ -184,11 +213,11 @@ def _missing(found: DataFrame, asks: DataFrame, entries: DataFrame, r: int) -> D
     )
 
 
-def summed(asks: DataFrame, owned: DataFrame, entries: DataFrame) -> DataFrame:
+def summed(asks: DataFrame, owned: DataFrame, blocks: DataFrame) -> DataFrame:
     """All scores of the queries, by multiplying out their lists."""
     return (
         asks.select("query_id", *_KEY, "weight")
-        .join(entries.select(*_KEY, "item_id", "score"), _KEY)
+        .join(entries_of(blocks), _KEY)
         .groupBy("query_id", "item_id")
         .agg(F.sum(F.col("weight") * F.col("score")).alias("score"))
         .join(owned, ["query_id", "item_id"], "left_anti")
@@ -196,16 +225,16 @@ def summed(asks: DataFrame, owned: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def best_sums(
-    asks: DataFrame, owned: DataFrame, entries: DataFrame, blocks: DataFrame, k: int, log: list | None = None
+    asks: DataFrame, owned: DataFrame, blocks: DataFrame, k: int, log: list | None = None
 ) -> DataFrame:
     """The ``k`` best items of each query: query_id, rank, item_id, score.
 
     asks: query_id, kind, list_id, weight (above zero, one row per query and list);
-    owned: distinct (query_id, item_id) that may not be proposed; entries and blocks
-    as ``ranked`` and ``list_blocks`` make them, stored. ``log`` collects per round
-    the queries read and those left.
+    owned: distinct (query_id, item_id) that may not be proposed; blocks as
+    ``list_blocks`` makes them, stored. ``log`` collects per round how many queries
+    ended in which state.
     """
-    sizes = entries.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
+    sizes = blocks.groupBy(*_KEY).agg(F.sum(F.size("ids")).alias("n"))
     asks = materialise(asks.join(sizes, _KEY), "asks")
     owned = materialise(owned.join(asks.select("query_id").distinct(), "query_id", "left_semi"), "asks_owned")
     out: DataFrame | None = None
@@ -221,7 +250,7 @@ def best_sums(
         states = {s["state"]: s["n"] for s in found.groupBy("state").agg(F.count_distinct("query_id").alias("n")).collect()}
         if "c" in states:
             looked = found.where("state = 'c'").select("query_id", "item_id", "score")
-            add(_missing(looked, asks, entries, r))
+            add(_missing(looked, asks, blocks, r))
         if log is not None:
             log.append((r, states))
         if "m" not in states:
@@ -234,7 +263,7 @@ def best_sums(
         big = materialise(reads.where(F.col("reads") > READ).select("query_id"), "large_reads")
         if not big.isEmpty():
             mine = lambda df: df.join(big, "query_id", "left_semi")
-            add(summed(mine(asks), mine(owned), entries))
+            add(summed(mine(asks), mine(owned), blocks))
             asks, owned = (df.join(big, "query_id", "left_anti") for df in (asks, owned))
             if asks.isEmpty():
                 return top_k(out, k)

@@ -26,31 +26,28 @@ SHARED = 100_000
 def fit_associations(
     items: DataFrame, metric: str, min_support: int, group: str = "order_id"
 ) -> dict[str, DataFrame]:
-    """Ranked associations of every item, and the same in blocks."""
+    """Ranked associations of every item, in blocks."""
     counts = materialise(item_counts(items), "item_counts")
     table = association_table(items, counts, basket_total(items, group), metric, min_support, group)
     lists = table.select(
         F.lit(ITEM).alias("kind"), F.col("item_id").alias("list_id"), F.col("other_id").alias("item_id"), "score"
     )
-    entries = materialise(threshold.ranked(materialise(lists, "associations")), "ranked_associations")
-    return {"entries": entries, "blocks": materialise(threshold.list_blocks(entries), "association_blocks")}
+    blocks = threshold.list_blocks(materialise(lists, "associations"))
+    return {"blocks": materialise(blocks, "association_blocks")}
 
 
 def summed_lists(tables: dict[str, DataFrame], members: DataFrame, kind: int) -> dict[str, DataFrame]:
     """The model's lists and further ones: sums of the associations of ``members(list_id, item_id, n)``."""
-    partners = tables["entries"].where(F.col("kind") == ITEM)
+    wanted = members.select(F.col("item_id").alias("list_id")).distinct()
+    partners = threshold.entries_of(tables["blocks"].where(F.col("kind") == ITEM).join(wanted, "list_id", "left_semi"))
     sums = (
         members.join(partners.select(F.col("list_id").alias("item_id"), F.col("item_id").alias("other"), "score"), "item_id")
         .groupBy("list_id", F.col("other").alias("item_id"))
         .agg(F.sum(F.col("score") * F.col("n")).alias("score"))
         .select(F.lit(kind).alias("kind"), "list_id", "item_id", "score")
     )
-    entries = materialise(threshold.ranked(materialise(sums, "summed_lists")), "ranked_sums")
-    blocks = materialise(threshold.list_blocks(entries), "sum_blocks")
-    return {
-        "entries": tables["entries"].unionByName(entries),
-        "blocks": tables["blocks"].unionByName(blocks),
-    }
+    blocks = materialise(threshold.list_blocks(materialise(sums, "summed_lists")), "sum_blocks")
+    return {"blocks": tables["blocks"].unionByName(blocks)}
 
 
 def basket_weights(queries: Queries) -> DataFrame:
@@ -88,7 +85,7 @@ def basket_asks(
 def association_top(queries: Queries, tables: dict[str, DataFrame], k: int) -> DataFrame:
     """The ``k`` best associated items per query that it does not own."""
     asks, lists = basket_asks(basket_weights(queries), queries, tables)
-    return threshold.best_sums(asks, queries.owned, lists["entries"], lists["blocks"], k)
+    return threshold.best_sums(asks, queries.owned, lists["blocks"], k)
 
 
 class CooccurrenceLift(Model):
@@ -175,4 +172,4 @@ class SessionCooccurrence(Model):
 
     def recommend(self, queries: Queries, k: int = 10) -> DataFrame:
         asks, tables = self.asks(queries)
-        return threshold.best_sums(asks, queries.owned, tables["entries"], tables["blocks"], k)
+        return threshold.best_sums(asks, queries.owned, tables["blocks"], k)

@@ -11,10 +11,9 @@ import pytest
 from pannier.operators import threshold
 
 
-def lists_table(spark, lists, monkeypatch=None):
+def lists_table(spark, lists):
     rows = [(0, i, item, float(s)) for i, entries in lists.items() for item, s in entries.items()]
-    entries = threshold.ranked(spark.createDataFrame(rows, "kind int, list_id long, item_id long, score double")).cache()
-    return entries, threshold.list_blocks(entries).cache()
+    return threshold.list_blocks(spark.createDataFrame(rows, "kind int, list_id long, item_id long, score double")).cache()
 
 
 def plain(lists, asks, owned, k):
@@ -30,12 +29,12 @@ def plain(lists, asks, owned, k):
 
 
 def run(spark, lists, asks, owned, k, log=None):
-    entries, blocks = lists_table(spark, lists)
+    blocks = lists_table(spark, lists)
     rows = [(q, 0, i, float(w)) for q, wanted in asks.items() for i, w in wanted.items()]
     a = spark.createDataFrame(rows, "query_id long, kind int, list_id long, weight double")
     o = spark.createDataFrame([(q, i) for q, items in owned.items() for i in items], "query_id long, item_id long")
     got = collections.defaultdict(list)
-    for r in threshold.best_sums(a, o, entries, blocks, k, log).orderBy("query_id", "rank").collect():
+    for r in threshold.best_sums(a, o, blocks, k, log).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["item_id"])
     return dict(got)
 
@@ -48,7 +47,7 @@ def skewed(rng, n_lists, n_items):
     }
 
 
-@pytest.mark.parametrize("first", [1, 2, 8, 256])
+@pytest.mark.parametrize("first", [5, 256])
 def test_best_sums_equal_plain_addition(spark, monkeypatch, first):
     monkeypatch.setattr(threshold, "FIRST", first)
     monkeypatch.setattr(threshold, "DOUBLED", 2)
@@ -108,23 +107,26 @@ def test_a_task_sums_in_pieces(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_long_lists_are_ranked_over_tasks(spark, monkeypatch):
-    monkeypatch.setattr(threshold, "LONG", 10)
+@pytest.mark.parametrize("long", [10, 10_000])
+def test_lists_are_ranked_in_one_row_or_over_tasks(spark, monkeypatch, long):
+    monkeypatch.setattr(threshold, "LONG", long)
+    monkeypatch.setattr(threshold, "FIRST", 8)
     rng = random.Random(3)
     lists = {1: {i: float(rng.randint(1, 5)) for i in range(100)}, 2: {7: 1.0, 3: 1.0}}
-    entries, blocks = lists_table(spark, lists)
+    blocks = lists_table(spark, lists)
     for i, scores in lists.items():
-        mine = sorted((r["rank"], r["item_id"]) for r in entries.where(f"list_id = {i}").collect())
-        assert [item for _, item in mine] == sorted(scores, key=lambda x: (-scores[x], x))
-        assert [rank for rank, _ in mine] == list(range(len(scores)))
-    whole = blocks.where("list_id = 1").orderBy("block").collect()
-    assert sum(len(b["ids"]) for b in whole) == 100
+        mine = blocks.where(f"list_id = {i}").orderBy("block").collect()
+        order = sorted(scores, key=lambda x: (-scores[x], x))
+        assert [item for b in mine for item in b["ids"]] == order
+        assert [b["next"] for b in mine] == [scores[c["ids"][0]] for c in mine[1:]] + [None]
+    single = threshold.entries_of(blocks).collect()
+    assert {(r["list_id"], r["item_id"]): r["score"] for r in single} == {(i, j): s for i, e in lists.items() for j, s in e.items()}
 
 
 def test_blocks_cover_a_list_in_order(spark, monkeypatch):
     monkeypatch.setattr(threshold, "FIRST", 2)
     monkeypatch.setattr(threshold, "DOUBLED", 2)
-    _, blocks = lists_table(spark, {1: {i: 100.0 - i for i in range(31)}})
+    blocks = lists_table(spark, {1: {i: 100.0 - i for i in range(31)}})
     rows = blocks.orderBy("block").collect()
     assert [len(r["ids"]) for r in rows] == [2, 4, 8, 8, 8, 1]
     assert [i for r in rows for i in r["ids"]] == list(range(31))
