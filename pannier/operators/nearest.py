@@ -1,106 +1,227 @@
-"""Exact nearest items for many query vectors, block against block.
-
-Query vectors and item vectors are hashed into blocks of bounded size. Every
-pair of blocks is one matrix product inside a task, which returns only the best
-few of its block for each query; the last ranking merges them.
+"""Exact nearest items for many query vectors, cell by cell.
+
+Items are dealt to cells around pivots; a cell knows its radius, the largest
+distance of a member from the pivot ``c``. By the triangle inequality no member of a
+cell scores above ``q.c + |q| x radius`` for a query ``q``. Each query visits cells from
+the highest bound down, first one, then eight times as many a round, and stops where
+the bound falls below the score of the last item it wants. What is left out cannot be
+among the wanted items, so the result is that of comparing all with all.
+
+A visit is a matrix product of a block of a cell and a block of the queries that
+visit it; a cell is replicated only to query blocks that ask for it. Pivots (at
+most ``CELLS``) are the only thing that every task gets. Cosine is the product of
+unit vectors; a zero vector scores 0.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pannier.operators.topk import sort_score
+from pannier.session import materialise
+
 BLOCK_ROWS = 65_536
+#: Most cells; beyond that cells grow, and are split into blocks of ``BLOCK_ROWS``.
+CELLS = 4096
+#: Cells a query visits in the first round, and how many times as many in each next one.
+STEP = 8
 # Scores held at once inside a task.
 _TILE = 4_000_000
+_EPS = 1e-6
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.asarray(column.tolist(), dtype=np.float64)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, want: int) -> np.ndarray:
-    """Positions of the ``want`` best scores; the smaller id wins a tie."""
-    if want < len(scores):
-        limit = np.partition(scores, len(scores) - want)[len(scores) - want]
-        at = np.flatnonzero(scores >= limit)
+def _rows(column: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=m.copy(), where=length > 0)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, wants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the first ``wants`` scores of each row; the smaller id wins a tie."""
+    most = int(wants.max()) if len(wants) else 0
+    if most <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if most < scores.shape[1]:
+        at = scores.shape[1] - most
+        row, col = np.nonzero(scores >= np.partition(scores, at, axis=1)[:, at : at + 1])
     else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:want]
+        row, col = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    starts = np.searchsorted(row, np.arange(len(scores)))
+    kept = np.arange(len(row)) - starts[row] < wants[row]
+    return row[kept], col[kept]
 
 
 def _block_product(cosine: bool):
     def product(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        asks, found, values = [], [], []
+        asks, found, values = [np.empty(0, "int64")], [np.empty(0, "int64")], [np.empty(0)]
         if len(queries) and len(items):
             mine, theirs = _matrix(queries["vec"]), _matrix(items["vec"])
             if cosine:
-                for m in (mine, theirs):
-                    length = np.linalg.norm(m, axis=1, keepdims=True)
-                    np.divide(m, length, out=m, where=length > 0)
-            ids = items["item_id"].to_numpy()
-            names = queries["query_id"].to_numpy()
-            wants = queries["want"].to_numpy()
+                mine, theirs = _unit(mine), _unit(theirs)
+            ids, names, wants = (c.to_numpy() for c in (items["item_id"], queries["query_id"], queries["want"]))
             step = max(1, _TILE // len(ids))
             for lo in range(0, len(names), step):
                 tile = mine[lo : lo + step] @ theirs.T
-                for row, scores in enumerate(tile, start=lo):
-                    at = _best(np.round(scores, 9), ids, int(wants[row]))
-                    asks.append(np.full(len(at), names[row]))
-                    found.append(ids[at])
-                    values.append(scores[at])
+                row, col = _best(np.round(tile, 9), ids, wants[lo : lo + step])
+                asks.append(names[lo : lo + step][row])
+                found.append(ids[col])
+                values.append(tile[row, col])
         return pd.DataFrame(
-            {
-                "query_id": np.concatenate(asks or [np.empty(0, "int64")]),
-                "item_id": np.concatenate(found or [np.empty(0, "int64")]),
-                "score": np.concatenate(values or [np.empty(0)]),
-            }
+            {"query_id": np.concatenate(asks), "item_id": np.concatenate(found), "score": np.concatenate(values)}
         )
 
     return product
 
 
+def _cells(items: DataFrame, n: int, block_rows: int, cosine: bool) -> tuple[DataFrame, np.ndarray, np.ndarray, list[int]]:
+    """Items with cell and block; pivots, radii and numbers of blocks by cell."""
+    spark = items.sparkSession
+    cells = max(1, min(CELLS, math.ceil(n / block_rows)))
+    if cells == 1:
+        placed = items.select("item_id", "vec", F.lit(0).alias("cell"), F.lit(0).alias("block"))
+        return placed, np.zeros((1, 1)), np.array([np.inf]), [1]
+    chosen = items.orderBy(F.xxhash64("item_id"), "item_id").limit(cells).collect()  # at most CELLS vectors
+    pivots = np.array([r["vec"] for r in chosen], dtype=np.float64)
+    if cosine:
+        pivots = _unit(pivots)
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _rows(batch["vec"])
+            x = _unit(x) if cosine else x
+            cell, far = np.empty(len(x), np.int32), np.empty(len(x))
+            step = max(1, _TILE // len(centres))
+            for lo in range(0, len(x), step):
+                part = x[lo : lo + step]
+                cell[lo : lo + step] = np.argmax(part @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
+                far[lo : lo + step] = np.linalg.norm(part - centres[cell[lo : lo + step]], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch["item_id"], batch["vec"], pa.array(cell), pa.array(far)], ["item_id", "vec", "cell", "far"]
+            )
+
+    kind = items.schema["vec"].dataType.simpleString()
+    placed = materialise(
+        items.select("item_id", "vec").mapInArrow(run, f"item_id long, vec {kind}, cell int, far double"), "cells"
+    )
+    radii, blocks = np.zeros(cells), [1] * cells
+    for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():
+        radii[r["cell"]], blocks[r["cell"]] = r["far"], math.ceil(r["n"] / block_rows)
+    of = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("cell") + 1) if max(blocks) > 1 else F.lit(1)
+    return placed.withColumn("block", F.pmod(F.xxhash64("item_id"), of).cast("int")), pivots, radii, blocks
+
+
+def _visits(asks: DataFrame, pivots: np.ndarray, radii: np.ndarray, cosine: bool, lo: int, hi: int) -> DataFrame:
+    """(query_id, vec, want, cell): cells ``lo`` .. ``hi`` in each query's order whose bound reaches ``last``."""
+    sent = asks.sparkSession.sparkContext.broadcast((pivots, radii))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, far = sent.value
+        step = max(1, _TILE // len(far))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                q = _rows(batch["vec"])
+                q = _unit(q) if cosine else q
+                bound = q @ centres.T + np.linalg.norm(q, axis=1)[:, None] * far
+                order = np.argsort(-bound, axis=1, kind="stable")[:, lo:hi]
+                last = batch["last"].to_numpy(zero_copy_only=False)
+                reach = np.take_along_axis(bound, order, axis=1) >= np.where(np.isnan(last), -np.inf, last)[:, None] - _EPS
+                row, col = np.nonzero(reach)
+                if len(row):
+                    picked = batch.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays(
+                        [picked["query_id"], picked["vec"], picked["want"], pa.array(order[row, col].astype(np.int32))],
+                        ["query_id", "vec", "want", "cell"],
+                    )
+
+    kind = asks.schema["vec"].dataType.simpleString()
+    return asks.select("query_id", "vec", "want", "last").mapInArrow(run, f"query_id long, vec {kind}, want long, cell int")
+
+
 def nearest(
     queries: DataFrame,
     items: DataFrame,
     metric: str = "cosine",
     block_rows: int = BLOCK_ROWS,
+    log: list[int] | None = None,
 ) -> DataFrame:
-    """Candidates query_id, item_id, score.
+    """Candidates query_id, item_id, score: at least the first ``want`` of each query.
 
-    queries: query_id, vec, want (how many items to return per block);
-    items: item_id, vec. Both should be stored tables.
+    queries: query_id, vec, want (how many items); items: item_id, vec. Both should be
+    stored tables. ``log`` collects the (query, cell) visits of each round.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError(f"unknown metric {metric!r}")
+    cosine = metric == "cosine"
     n_items, n_queries = items.count(), queries.count()
+    placed, pivots, radii, blocks = _cells(items, n_items, block_rows, cosine)
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    item_blocks = max(1, math.ceil(n_items / block_rows))
     query_blocks = max(
         math.ceil(n_queries / block_rows),
-        min(math.ceil(cores / item_blocks), math.ceil(n_queries / 256)),
+        min(math.ceil(cores / len(blocks)), math.ceil(n_queries / 256)),
         1,
     )
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = queries.withColumn(
-        "_qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")
-    ).withColumn("_ib", every(item_blocks))
-    right = items.withColumn(
-        "_ib", F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).cast("int")
-    ).withColumn("_qb", every(query_blocks))
-    return (
-        left.groupBy("_qb", "_ib")
-        .cogroup(right.groupBy("_qb", "_ib"))
-        .applyInPandas(
-            _block_product(metric == "cosine"), "query_id long, item_id long, score double"
+    asks = queries.select("query_id", "vec", F.col("want").cast("long").alias("want"))
+    asks = asks.withColumn("last", F.lit(None).cast("double"))
+
+    def scored(visits: DataFrame) -> DataFrame:
+        of = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("cell") + 1) if max(blocks) > 1 else F.lit(1)
+        share = F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")
+        left = visits.withColumn("_qb", share).withColumn("block", F.explode(F.sequence(F.lit(0), of - 1)))
+        wanted = visits.select(F.col("cell").alias("_cell"), share.alias("_share")).distinct()
+        right = placed.join(wanted, F.col("cell") == F.col("_cell")).select(
+            *[F.col(c).alias(n) for c, n in (("cell", "cell"), ("block", "block"), ("_share", "_qb"))],
+            "item_id",
+            F.col("vec").alias("vec"),
+        )
+        keys = ["cell", "block", "_qb"]
+        return (
+            left.groupBy(*keys)
+            .cogroup(right.groupBy(*keys))
+            .applyInPandas(_block_product(cosine), "query_id long, item_id long, score double")
         )
-    )
-
 
+    if len(blocks) == 1:
+        if log is not None:
+            log.append(n_queries)
+        return scored(asks.drop("last").withColumn("cell", F.lit(0)))
+    best: DataFrame | None = None
+    lo, hi = 0, 1
+    first = Window.partitionBy("query_id").orderBy(sort_score().desc(), F.col("item_id"))
+    while lo < len(blocks):
+        visits = materialise(_visits(asks, pivots, radii, cosine, lo, hi), "visits")
+        n = visits.count()
+        if log is not None:
+            log.append(n)
+        if not n:
+            break
+        found = scored(visits) if best is None else best.unionByName(scored(visits))
+        ranks = found.withColumn("_r", F.row_number().over(first)).join(queries.select("query_id", "want"), "query_id")
+        best = materialise(ranks.where("_r <= want").select("query_id", "item_id", "score"), "nearest")
+        full = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
+        asks = asks.drop("last").join(full, "query_id", "left").select(
+            "query_id", "vec", "want", F.when(F.col("n") >= F.col("want"), F.col("low")).alias("last")
+        )
+        lo, hi = hi, hi * STEP
+    return best
