@@ -64,6 +64,22 @@ def place_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name:
     return number_rows(ranged, group, F.col("_part"), [F.col(c) for c in order], name, start=0).drop("_part")
 
 
+def running_sum(
+    df: DataFrame, group: Sequence[str], block: Column, order: Sequence[Column], value: str, name: str
+) -> DataFrame:
+    """Add ``name`` = sum of ``value`` up to and with the row, block by block as in ``number_rows``."""
+    marked = df.withColumn("_block", block)
+    sums = marked.groupBy(*group, "_block").agg(F.sum(value).alias("_sum"))
+    ahead = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*group, "_block", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(*group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        marked.join(offsets, [*group, "_block"])
+        .withColumn(name, F.col("_ahead") + F.sum(value).over(inside))
+        .drop("_block", "_ahead")
+    )
+
+
 def by_hash(hex_digest: str) -> Column:
     """Blocks for an order by a hexadecimal digest: 65536 even slices."""
     return F.substring(hex_digest, 1, 4)

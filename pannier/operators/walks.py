@@ -1,10 +1,15 @@
-"""Weighted random walks over the co-purchase graph.
+"""Weighted random walks over the co-purchase graph, as an append-only log.
 
-A step must pick one neighbour with probability proportional to its weight
-without listing all neighbours of a hub. Weights are counts, so the neighbours
-of a node fall into few classes of equal weight: the draw first picks a class
-through the node's small table of classes, then a slot inside the class. Both
-are equality joins that return one row per walk.
+A step picks a neighbour with probability proportional to its weight. Weights are
+counts, so a draw is an integer below the node's total ``W``; the neighbours in order
+of their ids share out 0 .. W - 1. A node of d neighbours has about d slots of equal
+width, each with the few neighbours whose shares touch it (two on average, no more
+than its width + 1), so a draw is one equality join on (node, slot), also at a hub.
+A neighbour's row carries its own total and width, so nothing else is looked up.
+
+Every step appends (start, walk, step, node) to the log; no walk is ever an array
+that moves. Draws are digests of start, walk, step and seed: a retry, another
+partitioning or another engine walks the same way.
 """
 
 from __future__ import annotations
@@ -12,102 +17,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pannier.operators.numbering import number_rows
-from pannier.session import cut, materialise
-
-# Steps between two cuts of the lineage.
-CUT_EVERY = 4
-SLOT_BLOCKS = 64
+from pannier.operators.numbering import id_slices, running_sum, slice_of
+from pannier.session import materialise
 
 
-def weight_classes(edges: DataFrame) -> DataFrame:
-    """src, total, classes: array of (weight, n, upto) with the running class mass.
+def weight_slots(edges: DataFrame) -> DataFrame:
+    """(src, slot, shares): shares are (upto, dst, total, width) of the neighbours that touch the slot, in order.
 
-    A node of total weight W has fewer than sqrt(2 W) + 1 distinct weights.
+    ``edges(src, dst, weight)`` is a stored table with whole weights above zero and both directions.
     """
-    classes = edges.groupBy("src", "weight").agg(F.count(F.lit(1)).alias("n"))
-    packed = classes.groupBy("src").agg(
-        F.sum(F.col("weight") * F.col("n")).alias("total"),
-        F.sort_array(F.collect_list(F.struct("weight", "n"))).alias("_c"),
-    )
-    running = F.aggregate(
-        "_c",
-        F.struct(
-            F.lit(0).cast("long").alias("sum"),
-            F.array().cast("array<struct<weight:bigint,n:bigint,upto:bigint>>").alias("out"),
-        ),
-        lambda acc, c: F.struct(
-            (acc["sum"] + c["weight"] * c["n"]).alias("sum"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        c["weight"].alias("weight"),
-                        c["n"].alias("n"),
-                        (acc["sum"] + c["weight"] * c["n"]).alias("upto"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    nodes = edges.groupBy("src").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
+    nodes = materialise(nodes.select("src", "total", F.ceil(F.col("total") / F.col("n")).alias("width")), "walk_nodes")
+    block = slice_of("dst", id_slices(edges, "dst"))
+    upto = running_sum(edges, ["src"], block, [F.col("dst")], "weight", "upto")
+    theirs = nodes.select(F.col("src").alias("dst"), F.col("total").alias("dst_total"), F.col("width").alias("dst_width"))
+    rows = upto.join(nodes.select("src", "width"), "src").join(theirs, "dst")
+    first = F.floor((F.col("upto") - F.col("weight")) / F.col("width"))
+    last = F.floor((F.col("upto") - 1) / F.col("width"))
+    share = F.struct("upto", "dst", F.col("dst_total").alias("total"), F.col("dst_width").alias("width"))
+    return (
+        rows.select("src", F.explode(F.sequence(first, last)).alias("slot"), share.alias("share"))
+        .groupBy("src", "slot")
+        .agg(F.sort_array(F.collect_list("share")).alias("shares"))
     )
-    return packed.select("src", "total", running.alias("classes"))
 
 
-def weight_slots(edges: DataFrame) -> DataFrame:
-    """Neighbours of a node numbered from 0 within their weight: src, weight, slot, dst."""
-    return number_rows(
-        edges.select("src", "dst", "weight"),
-        ["src", "weight"],
-        F.pmod(F.xxhash64("dst"), F.lit(SLOT_BLOCKS)),
-        [F.col("dst")],
-        "slot",
-        start=0,
-    )
-
-
-def _draw(step: int, seed: int, below: Column) -> Column:
-    """An integer in [0, below), fixed by walk, step and seed."""
-    return F.pmod(F.xxhash64("start", "walk", F.lit(step), F.lit(seed)), below)
+def draw(step: int, seed: int, below: Column) -> Column:
+    """A whole number in [0, below), fixed by start, walk, step and seed."""
+    text = F.concat_ws(":", F.col("start").cast("string"), F.col("walk").cast("string"), F.lit(f"{step}:{seed}"))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), below)
 
 
 def random_walks(
     edges: DataFrame, walk_length: int = 20, num_walks: int = 10, seed: int = 42
 ) -> DataFrame:
-    """``num_walks`` first-order walks of ``walk_length`` nodes from every node."""
-    edges = edges.withColumn("weight", F.col("weight").cast("long"))
-    classes = materialise(weight_classes(edges), "weight_classes")
+    """The log (start, walk, step, node) of ``num_walks`` first-order walks of ``walk_length`` nodes from every node."""
+    edges = materialise(
+        edges.select("src", "dst", F.col("weight").cast("long").alias("weight")), "walk_edges"
+    )
     slots = materialise(weight_slots(edges), "weight_slots")
-    walks = classes.select(
-        F.col("src").alias("start"),
-        F.explode(F.sequence(F.lit(1), F.lit(num_walks))).alias("walk"),
-        F.col("src").alias("at"),
-        F.array("src").alias("nodes"),
+    totals = edges.groupBy("src").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
+    now = materialise(
+        totals.select(
+            F.col("src").alias("start"),
+            F.explode(F.sequence(F.lit(1), F.lit(num_walks))).alias("walk"),
+            F.lit(0).alias("step"),
+            F.col("src").alias("node"),
+            "total",
+            F.ceil(F.col("total") / F.col("n")).alias("width"),
+        ),
+        "walk_log",
     )
+    log = [now]
     for step in range(1, walk_length):
-        drawn = walks.join(classes.withColumnRenamed("src", "at"), "at").withColumn(
-            "_u", _draw(step, seed, F.col("total"))
+        drawn = now.withColumn("_u", draw(step, seed, F.col("total"))).select(
+            "start", "walk", "_u", F.col("node").alias("src"), F.floor(F.col("_u") / F.col("width")).alias("slot")
         )
-        picked = drawn.withColumn(
-            "_c", F.element_at(F.filter("classes", lambda c: c["upto"] > F.col("_u")), 1)
-        ).select(
-            "start",
-            "walk",
-            "nodes",
-            F.col("at").alias("src"),
-            F.col("_c.weight").alias("weight"),
-            # position inside the class, counted in whole neighbours
-            F.floor(
-                (F.col("_u") - (F.col("_c.upto") - F.col("_c.weight") * F.col("_c.n")))
-                / F.col("_c.weight")
-            ).alias("slot"),
+        picked = drawn.join(slots, ["src", "slot"]).withColumn(
+            "_s", F.element_at(F.filter("shares", lambda s: s["upto"] > F.col("_u")), 1)
         )
-        walks = picked.join(slots, ["src", "weight", "slot"]).select(
-            "start",
-            "walk",
-            F.col("dst").alias("at"),
-            F.concat("nodes", F.array("dst")).alias("nodes"),
+        now = materialise(
+            picked.select(
+                "start",
+                "walk",
+                F.lit(step).alias("step"),
+                F.col("_s.dst").alias("node"),
+                F.col("_s.total").alias("total"),
+                F.col("_s.width").alias("width"),
+            ),
+            "walk_log",
         )
-        if step % CUT_EVERY == 0 and step < walk_length - 1:
-            walks = cut(walks)
-    return walks.select("start", "walk", "nodes")
+        log.append(now)
+    out = log[0]
+    for part in log[1:]:
+        out = out.unionByName(part)
+    return out.select("start", "walk", "step", "node")

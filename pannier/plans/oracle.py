@@ -27,7 +27,7 @@ class _Sql:
         """All steps up to and including ``last``, then ``final`` (more steps start with a comma)."""
         names = [n for n, _ in self.steps]
         upto = self.steps[: names.index(last) + 1]
-        return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in upto) + "\n" + final
+        return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({b})" for n, b in upto) + "\n" + final
 
 
 def _split(test_days: int) -> str:
@@ -395,6 +395,26 @@ def oracle_sql() -> dict[str, str]:
         """SELECT unnest([item_a, item_b]) AS src, unnest([item_b, item_a]) AS dst,
                   pair_count AS weight FROM pairs WHERE pair_count >= 2""",
     )
+    out["graph_walks"] = s.q(
+        "pairs",
+        """, e AS (
+            SELECT unnest([item_a, item_b]) AS src, unnest([item_b, item_a]) AS dst, pair_count AS weight
+            FROM pairs WHERE pair_count >= 2
+        ), shares AS (
+            SELECT src, dst, sum(weight) OVER (PARTITION BY src ORDER BY dst)::BIGINT AS upto, weight,
+                   sum(weight) OVER (PARTITION BY src)::BIGINT AS total FROM e
+        ), walks AS (
+            SELECT src AS start, w::BIGINT AS walk, 0::BIGINT AS step, src AS node
+            FROM (SELECT DISTINCT src FROM e), range(1, 11) AS r(w)
+            UNION ALL
+            SELECT start, walk, step + 1, dst
+            FROM walks JOIN shares ON src = node AND
+                ('0x' || substr(md5(concat_ws(':', start::VARCHAR, walk::VARCHAR, (step + 1)::VARCHAR, '42')), 1, 15))::BIGINT
+                    % total BETWEEN upto - weight AND upto - 1
+            WHERE step < 19
+        )
+        SELECT start, walk, step, node FROM walks""",
+    )
     out["context_pairs"] = s.q(
         "counts",
         """, w AS (

@@ -437,7 +437,7 @@ def graph_walk_recs(spark, d):
 
 def graph_walks(spark, d):
     edges = materialise(graph_edges(Workspace.of(spark, d).train, 2), "walk_edges")
-    return random_walks(edges, GraphConfig().walk_length, GraphConfig().num_walks, SEED)
+    return _long(random_walks(edges, GraphConfig().walk_length, GraphConfig().num_walks, SEED), "walk", "step")
 
 
 def lambdarank_recs(spark, d):

@@ -100,7 +100,9 @@ class ItemGraphNode2Vec(VectorModel):
     def fit(cls, items: DataFrame, cfg: GraphConfig = GraphConfig()) -> ItemGraphNode2Vec:
         edges = materialise(graph_edges(items, cfg.min_support), "graph_edges")
         walks = random_walks(edges, cfg.walk_length, cfg.num_walks, cfg.embedding.seed)
-        lines = materialise(array_words(walks, F.struct("start", "walk"), "nodes"), "walks")
+        lines = walks.select(
+            F.struct("start", "walk").alias("line"), F.col("step").cast("long").alias("at"), F.col("node").alias("word")
+        )
         return cls(
             tables={"vectors": materialise(item_vectors(lines, cfg.embedding), "graph_vectors")}
         )

@@ -36,7 +36,7 @@ def test_sql_only_for_registered_queries():
     assert set(SQL) <= set(QUERIES)
     # fits that start from random vectors, and reports of nested values
     assert set(QUERIES) - set(SQL) == {
-        "item2vec_recs", "als_recs", "bpr_recs", "graph_walk_recs", "graph_walks",
+        "item2vec_recs", "als_recs", "bpr_recs", "graph_walk_recs",
         "lambdarank_recs", "feature_importance", "health_report", "text_vectors",
     }
 

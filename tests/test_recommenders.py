@@ -120,28 +120,49 @@ def test_nearest_blocks_equal_brute_force(spark, metric):
         near.nearest(queries, items, "manhattan")
 
 
+def paths(log):
+    out = {}
+    for r in log.collect():
+        out.setdefault((r["start"], r["walk"]), {})[r["step"]] = r["node"]
+    return {w: [nodes[k] for k in sorted(nodes)] for w, nodes in out.items()}
+
+
 def test_walks_follow_edges_by_weight(spark, toy):
     edges = graph_edges(toy, 2).cache()
     allowed = {(r["src"], r["dst"]) for r in edges.collect()}
-    out = walks.random_walks(edges, 6, 3, 42).collect()
+    out = paths(walks.random_walks(edges, 6, 3, 42))
     starts = {a for a, _ in allowed}
-    assert len(out) == 3 * len(starts)
-    for r in out:
-        assert r["nodes"][0] == r["start"] and len(r["nodes"]) == 6
-        assert all(step in allowed for step in zip(r["nodes"], r["nodes"][1:]))
-    again = walks.random_walks(edges.repartition(5), 6, 3, 42).collect()
-    assert {tuple(r["nodes"]) for r in out} == {tuple(r["nodes"]) for r in again}
+    assert set(out) == {(a, w) for a in starts for w in (1, 2, 3)}
+    for (start, _), nodes in out.items():
+        assert nodes[0] == start and len(nodes) == 6
+        assert all(step in allowed for step in zip(nodes, nodes[1:]))
+    assert paths(walks.random_walks(edges.repartition(5), 6, 3, 42)) == out
 
 
 def test_walk_frequencies_match_weights(spark):
     edges = spark.createDataFrame(
         [(0, 1, 6), (0, 2, 3), (0, 3, 3), (1, 0, 6), (2, 0, 3), (3, 0, 3)], "src long, dst long, weight long"
     )
-    rows = walks.random_walks(edges, 2, 4000, 1).where("start = 0").collect()
-    share = np.bincount([r["nodes"][1] for r in rows], minlength=4) / len(rows)
+    rows = walks.random_walks(edges, 2, 4000, 1).where("start = 0 and step = 1").collect()
+    share = np.bincount([r["node"] for r in rows], minlength=4) / len(rows)
     assert np.allclose(share[1:], [0.5, 0.25, 0.25], atol=0.03)
 
 
+def test_every_draw_falls_to_one_share(spark):
+    """A hub of many light neighbours and one heavy one: slots hold the neighbour that plain running sums give."""
+    weights = {j: 1 + (j % 5 == 0) * 2 for j in range(1, 60)} | {60: 500}
+    rows = [(0, j, w) for j, w in weights.items()] + [(j, 0, w) for j, w in weights.items()]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight long").cache()
+    slots = {r["slot"]: r["shares"] for r in walks.weight_slots(edges).where("src = 0").collect()}
+    total = sum(weights.values())
+    width = math.ceil(total / len(weights))
+    order = [j for j in sorted(weights) for _ in range(weights[j])]
+    for u in range(total):
+        shares = slots[u // width]
+        assert len(shares) <= width + 1
+        assert next(s["dst"] for s in shares if s["upto"] > u) == order[u]
+
+
 def test_large_query_folds_in_like_a_small_one(spark, toy, monkeypatch):
     model = ImplicitALS.fit(toy, FactorConfig(factors=4, iterations=3))
     q = queries_of(spark, [[1, 2, 3, 4, 5], [1, 2]])
