@@ -36,6 +36,46 @@ def parse_timestamp(text: Column, formats: Sequence[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
+# A time of day with optional seconds, fraction and zone, as formats write it.
+_CLOCK = "[ H:mm[:ss[.SSSSSSSSS]][ XXX][XXX][X]]"
+
+
+def parse_mixed(text: Column) -> Column:
+    """A time in any of the usual written forms; null when none fits.
+
+    The shape of a value decides on its one parser: year first (with - or / and one or two
+    digits a part), day.month.year, month/day/year (day first where the first number is
+    above 12), a month's name, or digits only. ``T`` or blanks stand before the time of
+    day, which may have seconds, a fraction, AM or PM, and a zone.
+    """
+    t = F.regexp_replace(F.trim(text), r"\s+", " ")
+    t = F.regexp_replace(t, r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2})[Tt](?=\d)", "$1 ")
+    named = F.regexp_replace(t, r"^(\d{1,2}) ([A-Za-z]{3,9})\.?,? (\d{4})", "$2 $1 $3")
+    named = F.regexp_replace(named, r"^([A-Za-z]{3})[A-Za-z]*\.? (\d{1,2}),? (\d{4})", "$1 $2 $3")
+    named = F.concat(F.initcap(F.substring(named, 1, 3)), F.substr(named, F.lit(4)))
+    noon = F.upper(F.regexp_replace(t, r"(?i)(\d) ?([ap])\.?m\.?$", "$1 $2m"))
+    half = t.rlike(r"(?i)\d ?[ap]\.?m\.?$")
+    clock = F.when(half, noon).otherwise(t)
+
+    def read(value: Column, day: str) -> Column:
+        return F.when(half, F.try_to_timestamp(value, F.lit(day + " h:mm[:ss] a"))).otherwise(
+            F.try_to_timestamp(value, F.lit(day + _CLOCK))
+        )
+
+    first = F.regexp_extract(t, r"^(\d{1,2})/", 1)
+    return (
+        F.when(t.rlike(r"^\d{4}[-/]\d{1,2}[-/]"), read(F.regexp_replace(clock, r"^(\d{4})[-/](\d{1,2})[-/]", "$1-$2-"), "y-M-d"))
+        .when(t.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}"), read(clock, "d.M.y"))
+        .when(
+            t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"),
+            F.when(first.cast("int") > 12, read(clock, "d/M/y")).otherwise(read(clock, "M/d/y")),
+        )
+        .when(t.rlike(r"^([A-Za-z]{3,9}|\d{1,2} [A-Za-z]{3,9})\.?,? \d"), F.try_to_timestamp(named, F.lit("MMM d y" + _CLOCK)))
+        .when(t.rlike(r"^\d{8}$"), F.try_to_timestamp(t, F.lit("yyyyMMdd")))
+        .when(t.rlike(r"^\d{14}$"), F.try_to_timestamp(t, F.lit("yyyyMMddHHmmss")))
+    )
+
+
 # Blanks at either end of a text, including the Unicode ones.
 _EDGE_BLANKS = r"^[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+$"
 

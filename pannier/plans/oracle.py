@@ -367,6 +367,12 @@ def oracle_sql() -> dict[str, str]:
            USING (profile_id)""",
     )
     out["csv_baskets"] = out["order_headers"]
+    out["csv_rejects"] = """
+        WITH l AS (SELECT l_partkey AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+        SELECT 'created_at' AS "column", 'soon' AS value, count(*) AS n FROM l WHERE i % 11 = 1
+        UNION ALL SELECT 'profile_id', '12.7', count(*) FROM l WHERE i % 7 = 1
+        UNION ALL SELECT 'order_item_oms_id', 'x3', count(*) FROM l WHERE i % 13 = 1
+        UNION ALL SELECT 'kept', '', count(*) FROM l WHERE i % 11 <> 1 AND i % 7 <> 1 AND i % 13 <> 1"""
     out["mixed_timestamps"] = (
         "SELECT o_orderkey AS order_id, o_orderdate AS created_at FROM orders"
     )

@@ -22,7 +22,7 @@ from pannier.config import (
     RankerConfig,
     TextConfig,
 )
-from pannier.functions.scalar import parse_timestamp, strip_tags
+from pannier.functions.scalar import parse_mixed, strip_tags
 from pannier.operators import baskets as bk
 from pannier.operators import content, context, features, health, pairs, sampling, tune
 from pannier.operators import evaluate as ev
@@ -249,23 +249,41 @@ def csv_baskets(spark, d):
 
 
 def mixed_timestamps(spark, d):
-    """Order dates written in six formats by turns and parsed back."""
+    """Order dates written in twelve forms by turns and parsed back."""
     orders = tpch.table(spark, d, "orders")
-    ts = F.col("o_orderdate")
-    text = (
-        F.when(F.col("o_orderkey") % 6 == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
-        .when(F.col("o_orderkey") % 6 == 1, F.date_format(ts, "dd.MM.yyyy HH:mm"))
-        .when(F.col("o_orderkey") % 6 == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm"))
-        .when(F.col("o_orderkey") % 6 == 3, F.date_format(ts, "yyyyMMdd"))
-        .when(F.col("o_orderkey") % 6 == 4, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSSXX"))
-        .otherwise(F.date_format(ts, "yyyy-MM-dd"))
-    )
+    forms = (
+        "yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy HH:mm", "yyyy-MM-dd'T'HH:mm", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSSXX",
+        "yyyy-MM-dd", "yyyy/MM/dd HH:mm", "yyyy-M-d H:mm", "MM/dd/yyyy", "MMM d, yyyy", "d MMMM yyyy HH:mm", "M/d/yyyy h:mm:ss a",
+    )
+    turn = F.col("o_orderkey") % len(forms)
+    text = F.coalesce(*[F.when(turn == k, F.date_format("o_orderdate", f)) for k, f in enumerate(forms)])
     return orders.select(
-        F.col("o_orderkey").alias("order_id"),
-        parse_timestamp(text, csv.TIMESTAMP_FORMATS).cast("timestamp_ntz").alias("created_at"),
+        F.col("o_orderkey").alias("order_id"), parse_mixed(text).cast("timestamp_ntz").alias("created_at")
     )
 
 
+def csv_rejects(spark, d):
+    """Order lines written as CSV with times and ids that cannot be read among them: what is rejected, how often,
+    and how many lines are left (column ``kept``)."""
+    path = f"{run_dir(spark)}/csv_rejects-{uuid.uuid4().hex[:12]}"
+    lines = tpch.order_lines(spark, d, titles=False)
+
+    def spoilt(every: int, text: str, value):
+        return F.when(F.col("item_id") % every == 1, F.lit(text)).otherwise(value.cast("string"))
+
+    lines.select(
+        spoilt(11, "soon", F.date_format("created_at", "yyyy/M/d H:mm")).alias("created_at"),
+        spoilt(7, "12.7", F.col("profile_id")).alias("profile_id"),
+        F.when(F.col("order_id") % 9 == 0, F.concat("order_id", F.lit(".0"))).otherwise(F.col("order_id").cast("string")).alias("order_oms_id"),
+        spoilt(13, "x3", F.col("item_id")).alias("order_item_oms_id"),
+        F.lit("t").alias("order_item_title"),
+        F.col("status").alias("order_status_title"),
+    ).write.mode("overwrite").option("header", True).csv(path)
+    rejected = csv.reject_counts(csv.rejected_order_lines(spark, path, DATA))
+    kept = csv.read_order_lines(spark, path, DATA, rejects=True).agg(F.count("order_id").alias("n"))
+    return rejected.unionByName(kept.select(F.lit("kept").alias("column"), F.lit("").alias("value"), "n"))
+
+
 def stream_baskets(spark, d):
     """Lines arrive as a stream of files, joined to the orders they belong to."""
     orders = tpch.table(spark, d, "orders").select(
@@ -729,6 +747,7 @@ QUERIES: dict[str, Query] = {
     "user_histories": user_histories,
     "profile_baskets": profile_baskets,
     "csv_baskets": csv_baskets,
+    "csv_rejects": csv_rejects,
     "mixed_timestamps": mixed_timestamps,
     "stream_baskets": stream_baskets,
     "item_frequency": item_frequency,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pannier.config import DataConfig
-from pannier.functions.scalar import parse_timestamp, strip_tags
+from pannier.functions.scalar import parse_mixed, parse_timestamp, strip_tags
 from pannier.schema import CATALOG, require_columns
 
 # Columns of the raw order export.
@@ -28,20 +28,6 @@ CATALOG_HEADERS = {
     "Категория": "category",
 }
 
-# Formats a mixed timestamp column may use, tried in this order.
-TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][XXX][X]",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][XXX][X]",
-    "yyyy-MM-dd'T'HH:mm[XXX][X]",
-    "yyyy-MM-dd HH:mm[XXX][X]",
-    "yyyy-MM-dd",
-    "dd.MM.yyyy HH:mm:ss",
-    "dd.MM.yyyy HH:mm",
-    "dd.MM.yyyy",
-    "yyyyMMdd",
-)
-
-
 def _header_frame(spark: SparkSession, path: str, separator: str, multi_line: bool) -> DataFrame:
     """All columns as text; the header alone decides the names."""
     return (
@@ -55,38 +41,64 @@ def _header_frame(spark: SparkSession, path: str, separator: str, multi_line: bo
     )
 
 
-def _integer(name: str):
-    """Ids may be written as 12 or, after a null in the column, as 12.0."""
-    return F.expr(f"try_cast(try_cast(`{name}` as decimal(38, 6)) as bigint)")
+def _integer(name: str) -> Column:
+    """Ids may be written as 12 or, after a null in the column, as 12.0; a fraction is no id."""
+    number = F.expr(f"try_cast(trim(`{name}`) as decimal(38, 6))")
+    return F.when(number == F.floor(number), F.expr(f"try_cast(try_cast(trim(`{name}`) as decimal(38, 6)) as bigint)"))
+
+
+def _parsed(cfg: DataConfig, formats: Sequence[str] | None) -> dict[str, tuple[str, Column]]:
+    """Schema column -> (raw column, value)."""
+    time = F.col(f"`{cfg.date_column}`")
+    return {
+        "order_id": ("order_oms_id", _integer("order_oms_id")),
+        "profile_id": ("profile_id", _integer("profile_id")),
+        "created_at": (cfg.date_column, parse_timestamp(time, formats) if formats else parse_mixed(time)),
+        "item_id": (cfg.item_id_column, _integer(cfg.item_id_column)),
+    }
+
+
+def _lost(name: str, value: Column) -> Column:
+    """A text that is not blank and gave no value."""
+    return value.isNull() & (F.trim(F.col(f"`{name}`")) != "")
 
 
 def _or_raise(name: str, value: Column) -> Column:
-    """The parsed value; a text that is not blank and gave none stops the job and is shown."""
+    """The parsed value; a text that cannot be read stops the job and is shown."""
     text = F.col(f"`{name}`")
-    lost = value.isNull() & (F.trim(text) != "")
-    return F.when(lost, F.raise_error(F.concat(F.lit(f"{name} cannot be read: "), text))).otherwise(value)
+    return F.when(_lost(name, value), F.raise_error(F.concat(F.lit(f"{name} cannot be read: "), text))).otherwise(value)
+
+
+def _raw_lines(spark: SparkSession, path: str, cfg: DataConfig) -> DataFrame:
+    raw = _header_frame(spark, path, cfg.separator, cfg.multi_line)
+    require_columns(raw, [*ORDER_COLUMNS, cfg.item_id_column, cfg.date_column], path)
+    return raw
 
 
 def read_order_lines(
     spark: SparkSession,
     path: str,
     cfg: DataConfig = DataConfig(),
-    formats: Sequence[str] = TIMESTAMP_FORMATS,
+    formats: Sequence[str] | None = None,
+    rejects: bool = False,
 ) -> DataFrame:
     """Order lines in the common schema; only the columns in use are parsed.
 
     Files are read in splits that Spark orders by size, so the recorded order is
     (file, offset of the split, row within it); ``pos`` carries these three. With
     ``cfg.multi_line`` quoted fields may span lines and a file is one split. A time
-    or order or item id that cannot be read stops the job; blank ones are null.
+    or an order, profile or item id that cannot be read stops the job; blank ones are null.
+    With ``rejects`` such lines are left out instead: ``rejected_order_lines`` has them.
+    Times are read by their shape, or by the given formats in turn.
     """
-    raw = _header_frame(spark, path, cfg.separator, cfg.multi_line)
-    require_columns(raw, [*ORDER_COLUMNS, cfg.item_id_column, cfg.date_column], path)
+    raw = _raw_lines(spark, path, cfg)
+    parsed = _parsed(cfg, formats)
+    if rejects:
+        for name, value in parsed.values():
+            raw = raw.where(~F.coalesce(_lost(name, value), F.lit(False)))
+    values = {to: value if rejects else _or_raise(name, value) for to, (name, value) in parsed.items()}
     return raw.select(
-        _or_raise("order_oms_id", _integer("order_oms_id")).alias("order_id"),
-        _integer("profile_id").alias("profile_id"),
-        _or_raise(cfg.date_column, parse_timestamp(F.col(f"`{cfg.date_column}`"), formats)).alias("created_at"),
-        _or_raise(cfg.item_id_column, _integer(cfg.item_id_column)).alias("item_id"),
+        *[values[to].alias(to) for to in ("order_id", "profile_id", "created_at", "item_id")],
         F.col("order_item_title").alias("title"),
         F.col("order_status_title").alias("status"),
         F.struct(
@@ -97,6 +109,28 @@ def read_order_lines(
     )
 
 
+def rejected_order_lines(
+    spark: SparkSession, path: str, cfg: DataConfig = DataConfig(), formats: Sequence[str] | None = None
+) -> DataFrame:
+    """What cannot be read, one row per value: file, column, value, and the order's and item's text."""
+    raw = _raw_lines(spark, path, cfg)
+    found = [
+        F.when(_lost(name, value), F.struct(F.lit(name).alias("column"), F.col(f"`{name}`").alias("value")))
+        for name, value in _parsed(cfg, formats).values()
+    ]
+    return raw.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("order_oms_id").alias("order_text"),
+        F.col(f"`{cfg.item_id_column}`").alias("item_text"),
+        F.explode(F.array_compact(F.array(*found))).alias("r"),
+    ).select("file", "r.column", "r.value", "order_text", "item_text")
+
+
+def reject_counts(rejected: DataFrame) -> DataFrame:
+    """column, value, n: what is unreadable and how often."""
+    return rejected.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

@@ -6,10 +6,9 @@ from conftest import TOY, queries_of
 from pyspark.sql import functions as F
 
 from pannier.config import TextConfig
-from pannier.functions.scalar import STOPWORDS, ngrams, parse_timestamp, strip_tags, words
+from pannier.functions.scalar import STOPWORDS, ngrams, parse_mixed, strip_tags, words
 from pannier.operators import content, features
 from pannier.operators.pairs import item_counts
-from pannier.sources.csv import TIMESTAMP_FORMATS
 
 
 def one(spark, expr, *values):
@@ -38,9 +37,9 @@ def test_strip_tags(spark):
     "text", ["2025-03-01 10:20:30", "2025-03-01T10:20:30", "01.03.2025 10:20:30", "2025-03-01 10:20:30.000"]
 )
 def test_mixed_timestamps(spark, text):
-    got = one(spark, F.date_format(parse_timestamp(F.col("c0"), TIMESTAMP_FORMATS), "yyyy-MM-dd HH:mm:ss"), text)
+    got = one(spark, F.date_format(parse_mixed(F.col("c0")), "yyyy-MM-dd HH:mm:ss"), text)
     assert got == "2025-03-01 10:20:30"
-    assert one(spark, parse_timestamp(F.col("c0"), TIMESTAMP_FORMATS), "soon") is None
+    assert one(spark, parse_mixed(F.col("c0")), "soon") is None
 
 
 def tables(spark, texts, **kw):
