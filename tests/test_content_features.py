@@ -96,7 +96,7 @@ def test_user_features(spark, toy, catalog):
     first = rows[0]
     assert (first["basket_size"], first["history_length"], first["history_unique_items"]) == (2, 3, 3)
     assert first["repeat_ratio"] == 0 and first["category_overlap"] == 0
-    assert (first["avg_item_popularity"], first["max_item_popularity"], first["min_item_popularity"]) == (6.5, 7, 6)
+    assert (first["avg_item_popularity"], first["max_item_popularity"], first["min_item_popularity"]) == (4, 6, 2)
     assert rows[1]["history_length"] == 0 and rows[1]["repeat_ratio"] == 0
     last = rows[2]
     assert last["min_item_popularity"] == 0 and last["repeat_ratio"] == 0.5
@@ -107,11 +107,11 @@ def test_user_features(spark, toy, catalog):
 def test_item_features(spark, toy, catalog):
     rows = {r["item_id"]: r for r in features.item_features(toy, catalog).collect()}
     assert len(rows) == 10
-    one_ = rows[1]
+    one_ = rows[5]
     assert one_["item_popularity"] == 6 and one_["item_popularity_log"] == pytest.approx(math.log1p(6))
-    assert one_["item_popularity_rank"] == 2 and one_["item_popularity_rank"] < rows[10]["item_popularity_rank"]
-    assert one_["cooccurrence_diversity"] == len({i for b in TOY if 1 in b for i in b} - {1})
-    assert one_["avg_basket_size"] == pytest.approx(np.mean([len(b) for b in TOY if 1 in b]))
+    assert one_["item_popularity_rank"] == 1 and one_["item_popularity_rank"] < rows[10]["item_popularity_rank"]
+    assert one_["cooccurrence_diversity"] == len({i for b in TOY if 5 in b for i in b} - {5})
+    assert one_["avg_basket_size"] == pytest.approx(np.mean([len(b) for b in TOY if 5 in b]))
     assert rows[10]["has_description"] == 0 and rows[4]["category_size"] == 3
 
 

@@ -23,16 +23,16 @@ def as_dict(df):
 def test_toy_values(spark, toy):
     counts = pr.item_counts(toy)
     assert {r["item_id"]: r["freq"] for r in counts.collect()} == {
-        1: 6, 2: 7, 3: 7, 4: 3, 5: 4, 6: 2, 7: 1, 8: 1, 9: 1, 10: 1
+        1: 2, 2: 6, 3: 3, 4: 2, 5: 6, 6: 2, 7: 3, 8: 1, 9: 4, 10: 2
     }
     got = as_dict(pr.pair_counts(toy))
     assert got == dict(brute(TOY))
-    assert got[1, 2] == 5 and got[3, 5] == 3 and got[2, 5] == 1
+    assert got[2, 5] == 4 and got[5, 9] == 3 and got[3, 7] == 2
     total = pr.basket_total(toy)
-    for metric, want in (("lift", 0.5 / 0.42), ("pmi", math.log2(0.5 / 0.42)), ("npmi", math.log2(0.5 / 0.42))):
+    for metric, want in (("lift", 0.4 / 0.36), ("pmi", math.log2(0.4 / 0.36)), ("npmi", -math.log2(0.4 / 0.36) / math.log2(0.4))):
         table = pr.association_table(toy, counts, total, metric, 1)
         rows = {(r["item_id"], r["other_id"]): r["score"] for r in table.collect()}
-        assert rows[1, 2] == pytest.approx(want) and rows[2, 1] == rows[1, 2]
+        assert rows[2, 5] == pytest.approx(want) and rows[5, 2] == rows[2, 5]
         assert all(v > 0 and rows[b, a] == v for (a, b), v in rows.items())
 
 
@@ -85,7 +85,7 @@ def test_category_affinity(spark, toy, catalog):
         (r["cat_a"], r["cat_b"]): r["affinity"]
         for r in pr.category_affinity(toy, catalog, pr.basket_total(toy)).collect()
     }
-    assert rows["Рыба", "Рыба"] == 1.5
-    # 6 baskets with item 1, 7 with item 2, 5 with both, of 10
-    assert rows["Рыба", "Крупы"] == pytest.approx(0.5 / 0.42)
+    assert rows["Сыры", "Сыры"] == 1.5
+    # 6 baskets with item 2, 6 with item 5, 4 with both, of 10
+    assert rows["Сыры", "Хлеб"] == pytest.approx(0.4 / 0.36)
     assert all(rows[b, a] == v for (a, b), v in rows.items())

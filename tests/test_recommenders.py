@@ -16,7 +16,7 @@ from pannier.recommend.fusion import EnsembleRRF, PopularityRerank
 from pannier.recommend.popular import TopPopular
 from pannier.recommend.ranker import LambdaRanker
 
-BASKETS = [[1, 2], [4, 5], [1, 3]]
+BASKETS = [[2, 9], [5, 4], [7, 3]]
 SMALL = EmbeddingConfig(vector_size=8, min_count=1, epochs=2)
 
 
@@ -75,7 +75,7 @@ def test_without_catalog_only_associations_count(toy, toy_queries):
 
 
 def test_dense_boost_prefers_the_similar_vector(spark, toy, catalog, toy_queries):
-    vecs = [(i, [1.0, 0.0] if i in (1, 2, 10) else [0.0, 1.0]) for i in range(1, 11)]
+    vecs = [(i, [1.0, 0.0] if i in (2, 9, 10) else [0.0, 1.0]) for i in range(1, 11)]
     vectors = spark.createDataFrame(vecs, "item_id long, vec array<float>")
     model = DenseBoost.fit(toy, catalog.fillna("x").replace("", "x"), vectors, BoostConfig(0.0, 0.0, 1.0, 1, "lift"))
     assert lists_of(model.recommend(toy_queries, 5))[0][0] == 10
