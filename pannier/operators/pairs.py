@@ -242,9 +242,16 @@ def association_table(
     metric: str,
     min_support: int = 2,
     group: str = "order_id",
+    mined: DataFrame | None = None,
 ) -> DataFrame:
-    """Positive associations in both directions: item_id, other_id, pair_count, score."""
-    pairs = pair_counts(items, group, "item_id", min_support)
+    """Positive associations in both directions: item_id, other_id, pair_count, score.
+
+    ``mined`` are the pair counts of these items, where they are stored already.
+    """
+    if mined is None:
+        pairs = pair_counts(items, group, "item_id", min_support)
+    else:
+        pairs = mined.where(F.col("pair_count") >= min_support)
     kept = scored_pairs(pairs, counts, total, metric).where("score > 0")
     return both_ways(kept, "item_a", "item_b", ("item_id", "other_id"))
 

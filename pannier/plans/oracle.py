@@ -381,6 +381,11 @@ def oracle_sql() -> dict[str, str]:
         """SELECT order_id, item_id, min(pos) AS pos, arg_min(profile_id, pos) AS profile_id
            FROM good GROUP BY 1, 2""",
     )
+    out["stream_pairs"] = s.q(
+        "oi",
+        """SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS pair_count
+           FROM oi a JOIN oi b ON a.order_id = b.order_id AND a.item_id < b.item_id GROUP BY 1, 2""",
+    )
     out["item_frequency"] = s.q("counts", "SELECT item_id, freq FROM counts")
     out["popularity_rank"] = s.q("ranks", "SELECT item_id, freq, rank FROM ranks")
     out["pair_counts"] = s.q("pairs", "SELECT item_a, item_b, pair_count FROM pairs")

@@ -42,6 +42,7 @@ from pannier.recommend.ranker import LambdaRanker
 from pannier.session import materialise, run_dir
 from pannier.sources import csv, tpch
 from pannier.streaming.baskets import append_partial_baskets, merged_baskets
+from pannier.streaming.pairs import PairStore, advance_pairs
 
 DATA = DataConfig(success_statuses=("F", "O"), train_days=1825, test_days=210, oot_days=210)
 OVERLAP = DataConfig(success_statuses=("F", "O"), train_days=1825, test_days=600, oot_days=210)
@@ -314,6 +315,17 @@ def stream_baskets(spark, d):
     return merged.select("order_id", "item_id", "pos", "profile_id")
 
 
+def stream_pairs(spark, d):
+    """Pairs of all successful orders, mined batch by batch: the lines of an order arrive in any of eight files."""
+    base = f"{run_dir(spark)}/stream-pairs-{uuid.uuid4().hex[:12]}"
+    lines = tpch.order_lines(spark, d, titles=False).select("order_id", "item_id", "status")
+    lines.repartition(8).write.parquet(f"{base}/lines")
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/lines")
+    store = PairStore(spark, f"{base}/store")
+    advance_pairs(arriving, DATA.success_statuses, store, f"{base}/checkpoint").awaitTermination()
+    return store.pairs()
+
+
 # ---- associations --------------------------------------------------------------------
 
 
@@ -750,6 +762,7 @@ QUERIES: dict[str, Query] = {
     "csv_rejects": csv_rejects,
     "mixed_timestamps": mixed_timestamps,
     "stream_baskets": stream_baskets,
+    "stream_pairs": stream_pairs,
     "item_frequency": item_frequency,
     "popularity_rank": popularity_order,
     "pair_counts": pair_counts,
