@@ -99,26 +99,31 @@ class Workspace:
     def counts(self) -> DataFrame:
         return materialise(pairs.item_counts(self.train), "counts")
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Pairs of the training baskets, mined once for all models."""
+        return materialise(pairs.pair_counts(self.train), "mined_pairs")
+
     @cached_property
     def popular(self) -> TopPopular:
         return TopPopular.fit(self.train)
 
     @cached_property
     def cooc(self) -> CooccurrenceLift:
-        return CooccurrenceLift.fit(self.train, 1, "npmi")
+        return CooccurrenceLift.fit(self.train, 1, "npmi", self.pairs)
 
     @cached_property
     def session(self) -> SessionCooccurrence:
-        return SessionCooccurrence.fit(self.train, self.prepared.histories, 0.3, 1)
+        return SessionCooccurrence.fit(self.train, self.prepared.histories, 0.3, 1, self.pairs)
 
     @cached_property
     def content(self) -> ContentBoost:
-        return ContentBoost.fit(self.train, self.catalog, BoostConfig(min_support=1))
+        return ContentBoost.fit(self.train, self.catalog, BoostConfig(min_support=1), mined=self.pairs)
 
     @cached_property
     def dense(self) -> DenseBoost:
         cfg = BoostConfig(0.5, 0.2, 0.3, min_support=1)
-        return DenseBoost.fit(self.train, self.catalog, self.vectors, cfg)
+        return DenseBoost.fit(self.train, self.catalog, self.vectors, cfg, self.pairs)
 
     @cached_property
     def cooc_recs(self) -> DataFrame:
@@ -462,7 +467,7 @@ def bpr_recs(spark, d):
 
 def graph_walk_recs(spark, d):
     ws = Workspace.of(spark, d)
-    return _recs(ItemGraphNode2Vec.fit(ws.train, GraphConfig()).recommend(ws.test, K))
+    return _recs(ItemGraphNode2Vec.fit(ws.train, GraphConfig(), ws.pairs).recommend(ws.test, K))
 
 
 def graph_walks(spark, d):

@@ -13,7 +13,7 @@ from pannier.config import BoostConfig, TrainConfig
 from pannier.operators import evaluate as ev
 from pannier.operators import tune
 from pannier.operators.baskets import Prepared
-from pannier.operators.pairs import item_counts
+from pannier.operators.pairs import item_counts, pair_counts
 from pannier.operators.sampling import leave_one_out, sample_cases, train_val_split
 from pannier.operators.topk import Queries
 from pannier.recommend.base import Model
@@ -39,6 +39,9 @@ BASE_MODELS = (
     "STBoost",
 )
 
+#: Models that start from pair counts; those of one item table are mined once a run.
+PAIR_MODELS = ("CooccurrenceLift", "SessionCooccurrence", "ContentBoost", "ItemGraphNode2Vec", "STBoost")
+
 
 def chosen_models(cfg: TrainConfig) -> list[str]:
     """Base models of this run; ``only`` must name one of them."""
@@ -72,12 +75,22 @@ def fit_base(
     catalog: DataFrame | None,
     vectors: DataFrame | None,
     tune_on: Queries,
+    mined: dict[str, DataFrame] | None = None,
 ) -> Model:
-    items = prepared.profile_baskets if name in cfg.profile_models else prepared.train
+    """One model; ``mined`` keeps the pair counts of each item table for the models that follow."""
+    level = "profiles" if name in cfg.profile_models else "orders"
+    items = prepared.profile_baskets if level == "profiles" else prepared.train
+    mined = {} if mined is None else mined
+    if name in PAIR_MODELS and level not in mined:
+        least = min(
+            cfg.cooc_min_support, cfg.session_min_support, cfg.graph.min_support, cfg.content.min_support, cfg.dense.min_support
+        )
+        mined[level] = materialise(pair_counts(items, min_support=least), "mined_pairs")
+    pairs = mined.get(level)
     if name == "TopPopular":
         return TopPopular.fit(items)
     if name == "CooccurrenceLift":
-        return CooccurrenceLift.fit(items, cfg.cooc_min_support, cfg.cooc_metric)
+        return CooccurrenceLift.fit(items, cfg.cooc_min_support, cfg.cooc_metric, pairs)
     if name == "Item2Vec":
         return Item2Vec.fit(items, cfg.item2vec)
     if name == "ImplicitALS":
@@ -86,17 +99,17 @@ def fit_base(
         return ImplicitBPR.fit(items, cfg.bpr, cfg.seed)
     if name == "SessionCooccurrence":
         return SessionCooccurrence.fit(
-            items, prepared.histories, cfg.history_weight, cfg.session_min_support
+            items, prepared.histories, cfg.history_weight, cfg.session_min_support, pairs
         )
     if name == "ItemGraphNode2Vec":
-        return ItemGraphNode2Vec.fit(items, cfg.graph)
+        return ItemGraphNode2Vec.fit(items, cfg.graph, pairs)
     if name == "ContentBoost":
-        model = ContentBoost.fit(items, catalog, cfg.content, cfg.text)
+        model = ContentBoost.fit(items, catalog, cfg.content, cfg.text, pairs)
         return tuned(model, cfg.content, tune_on, cfg.seed)
     if name == "STBoost":
         if vectors is None and catalog is not None:
             vectors = text_vectors(catalog, replace(cfg.item2vec, min_count=1))
-        model = DenseBoost.fit(items, catalog, vectors, cfg.dense)
+        model = DenseBoost.fit(items, catalog, vectors, cfg.dense, pairs)
         return tuned(model, cfg.dense, tune_on, cfg.seed)
     raise ValueError(f"unknown model {name!r}")
 
@@ -147,9 +160,10 @@ def train(
         if models_dir and (not cfg.skip_zero_models or worth_saving(own, model.name)):
             save_model(model, model_path(models_dir, model.name))
 
+    mined: dict[str, DataFrame] = {}
     for name in names:
         start = time.perf_counter()
-        model = fit_base(name, prepared, cfg, catalog, vectors, batches["test"])
+        model = fit_base(name, prepared, cfg, catalog, vectors, batches["test"], mined)
         judge(model, time.perf_counter() - start)
 
     if not cfg.only:

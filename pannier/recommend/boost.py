@@ -91,7 +91,7 @@ def blend(parts: DataFrame, weights: Sequence[float]) -> DataFrame:
 
 
 def _fit_common(
-    items: DataFrame, catalog: DataFrame | None, cfg: BoostConfig
+    items: DataFrame, catalog: DataFrame | None, cfg: BoostConfig, mined: DataFrame | None
 ) -> tuple[dict, dict[str, DataFrame]]:
     params = {
         "cooc_weight": cfg.cooc_weight,
@@ -100,7 +100,7 @@ def _fit_common(
         "min_support": cfg.min_support,
         "score_metric": cfg.score_metric,
     }
-    tables = fit_associations(items, cfg.score_metric, cfg.min_support)
+    tables = fit_associations(items, cfg.score_metric, cfg.min_support, mined=mined)
     if catalog is not None:
         tables["catalog"] = materialise(
             catalog.select("item_id", "category"), "boost_catalog"
@@ -121,8 +121,9 @@ class ContentBoost(BlendedPool):
         catalog: DataFrame | None = None,
         cfg: BoostConfig = BoostConfig(score_metric="lift"),
         text: TextConfig = TextConfig(),
+        mined: DataFrame | None = None,
     ) -> ContentBoost:
-        params, tables = _fit_common(items, catalog, cfg)
+        params, tables = _fit_common(items, catalog, cfg, mined)
         if catalog is not None:
             texts = content.with_text(catalog)
             counts = materialise(content.term_counts(texts, text), "term_counts")
@@ -151,8 +152,9 @@ class DenseBoost(BlendedPool):
         catalog: DataFrame | None = None,
         vectors: DataFrame | None = None,
         cfg: BoostConfig = BoostConfig(0.5, 0.2, 0.3, score_metric="lift"),
+        mined: DataFrame | None = None,
     ) -> DenseBoost:
-        params, tables = _fit_common(items, catalog, cfg)
+        params, tables = _fit_common(items, catalog, cfg, mined)
         if catalog is not None and vectors is not None:
             described = content.with_text(catalog).select("item_id")
             tables["vectors"] = materialise(

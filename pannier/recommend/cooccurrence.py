@@ -24,11 +24,11 @@ SHARED = 100_000
 
 
 def fit_associations(
-    items: DataFrame, metric: str, min_support: int, group: str = "order_id"
+    items: DataFrame, metric: str, min_support: int, group: str = "order_id", mined: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """Ranked associations of every item, in blocks."""
+    """Ranked associations of every item, in blocks; ``mined`` are the items' pair counts where stored already."""
     counts = materialise(item_counts(items), "item_counts")
-    table = association_table(items, counts, basket_total(items, group), metric, min_support, group)
+    table = association_table(items, counts, basket_total(items, group), metric, min_support, group, mined)
     lists = table.select(
         F.lit(ITEM).alias("kind"), F.col("item_id").alias("list_id"), F.col("other_id").alias("item_id"), "score"
     )
@@ -93,11 +93,11 @@ class CooccurrenceLift(Model):
 
     @classmethod
     def fit(
-        cls, items: DataFrame, min_support: int = 2, score_metric: str = "lift"
+        cls, items: DataFrame, min_support: int = 2, score_metric: str = "lift", mined: DataFrame | None = None
     ) -> CooccurrenceLift:
         return cls(
             {"min_support": min_support, "score_metric": score_metric},
-            fit_associations(items, score_metric, min_support),
+            fit_associations(items, score_metric, min_support, mined=mined),
         )
 
     def recommend(self, queries: Queries, k: int = 10) -> DataFrame:
@@ -122,11 +122,12 @@ class SessionCooccurrence(Model):
         histories: DataFrame,
         history_weight: float = 0.3,
         min_support: int = 2,
+        mined: DataFrame | None = None,
     ) -> SessionCooccurrence:
         return cls(
             {"history_weight": history_weight, "min_support": min_support},
             {
-                **fit_associations(items, "lift", min_support),
+                **fit_associations(items, "lift", min_support, mined=mined),
                 "histories": materialise(
                     histories.select("profile_id", "item_id").distinct(), "session_histories"
                 ),

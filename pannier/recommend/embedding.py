@@ -87,9 +87,11 @@ class Item2Vec(VectorModel):
         return cls(tables={"vectors": materialise(item_vectors(lines, cfg), "item_vectors")})
 
 
-def graph_edges(items: DataFrame, min_support: int = 2) -> DataFrame:
-    """Co-purchase graph in both directions: src, dst, weight."""
-    pairs = pair_counts(items, min_support=min_support).withColumnRenamed("pair_count", "weight")
+def graph_edges(items: DataFrame, min_support: int = 2, mined: DataFrame | None = None) -> DataFrame:
+    """Co-purchase graph in both directions: src, dst, weight; ``mined`` are the items' stored pair counts."""
+    if mined is None:
+        mined = pair_counts(items, min_support=min_support)
+    pairs = mined.where(F.col("pair_count") >= min_support).withColumnRenamed("pair_count", "weight")
     return both_ways(pairs, "item_a", "item_b", ("src", "dst"))
 
 
@@ -97,8 +99,10 @@ class ItemGraphNode2Vec(VectorModel):
     name: ClassVar[str] = "ItemGraphNode2Vec"
 
     @classmethod
-    def fit(cls, items: DataFrame, cfg: GraphConfig = GraphConfig()) -> ItemGraphNode2Vec:
-        edges = materialise(graph_edges(items, cfg.min_support), "graph_edges")
+    def fit(
+        cls, items: DataFrame, cfg: GraphConfig = GraphConfig(), mined: DataFrame | None = None
+    ) -> ItemGraphNode2Vec:
+        edges = materialise(graph_edges(items, cfg.min_support, mined), "graph_edges")
         walks = random_walks(edges, cfg.walk_length, cfg.num_walks, cfg.embedding.seed)
         lines = walks.select(
             F.struct("start", "walk").alias("line"), F.col("step").cast("long").alias("at"), F.col("node").alias("word")

@@ -14,6 +14,7 @@ from pannier.config import (
     TrainConfig,
 )
 from pannier.operators import baskets as bk
+from pannier.operators.pairs import pair_counts
 from pannier.plans import training
 from pannier.recommend.cooccurrence import CooccurrenceLift
 from pannier.recommend.fusion import EnsembleRRF, PopularityRerank
@@ -147,7 +148,7 @@ def test_only_must_name_an_enabled_model():
         training.chosen_models(TrainConfig(only="Nothing"))
 
 
-def test_whole_run(spark, tmp_path, catalog):
+def test_whole_run(spark, tmp_path, catalog, monkeypatch):
     prepared = bk.prepare(lines_of(spark), CFG)
     small = EmbeddingConfig(vector_size=4, min_count=1, epochs=1)
     boost = BoostConfig(min_support=1)
@@ -162,11 +163,13 @@ def test_whole_run(spark, tmp_path, catalog):
         ranker=RankerConfig(n_candidates=5, rounds=1, max_depth=1, min_rows_per_leaf=1),
         ensemble_min_hit5=0.0,
         profile_models=(),  # every profile here bought everything, which ties nothing
-        models=("TopPopular", "CooccurrenceLift", "EnsembleRRF", "LGBMEnsemble"),
     )
+    mined = []
+    monkeypatch.setattr(training, "pair_counts", lambda *a, **b: mined.append(1) or pair_counts(*a, **b))
     out = str(tmp_path / "models")
     models, metrics = training.train(prepared, cfg, catalog, models_dir=out)
-    assert set(models) == set(cfg.models)
+    assert set(models) == set(cfg.models) and len(models) == 12
+    assert len(mined) == 1  # one pair job for the five models that need pairs
     table = {(r["model"], r["split"], r["scope"], r["bucket"], r["metric"]): r["value"] for r in metrics.collect()}
     for name in models:
         for split in ("test", "oot"):
