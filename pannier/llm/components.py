@@ -10,13 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from pannier.session import materialise
 
-#: As many links are closed on the driver unless told otherwise, with the same result; more stay tables.
-_FEW = 200_000
-
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Hang neighbours of ``u`` on its least neighbour (or itself).
@@ -34,27 +30,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def _closed(links: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-    """(node, root) of every node in a list of links; the root is the least node."""
-    over: dict[bytes, bytes] = {}
-
-    def top(node: bytes) -> bytes:
-        over.setdefault(node, node)
-        while over[node] != node:
-            over[node] = node = over[over[node]]
-        return node
-
-    for u, v in links:
-        a, b = sorted((top(u), top(v)))
-        over[b] = a
-    return [(node, top(node)) for node in list(over)]
-
-
-def components(links: DataFrame, rounds: int = 50, few: int = _FEW) -> DataFrame:
+def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node in ``links(u, v)``; the root is the least node.
 
     Empty links give an empty table; loops and repeated links are harmless.
-    With ``few`` = 0 links never leave the executors.
+    Links never leave the executors.
     Raises if the links have not settled after ``rounds``, never returns a part.
     """
     now = materialise(
@@ -70,10 +50,6 @@ def components(links: DataFrame, rounds: int = 50, few: int = _FEW) -> DataFrame
         ).first()
         if state == before or state["n"] == 0:
             break
-        if state["n"] <= few:
-            pairs = _closed([(r["u"], r["v"]) for r in now.collect()])
-            schema = StructType([StructField("node", now.schema["u"].dataType), StructField("root", now.schema["u"].dataType)])
-            return now.sparkSession.createDataFrame(pairs, schema)
         before = state
         wide = _star(now, large=True)
         now = materialise(

@@ -9,19 +9,21 @@
    hash functions and, for texts of up to ``BRIEF`` words, an exact prefix filter
    (edits of a fifth of the words cannot reach all shingles of the prefix).
 3. Nodes that share a key form a bucket. Its members are aligned with one
-   leader, and those left apart once more with a second one, which settles most
-   of a bucket of n in n - 1 pairs. What is then still in different classes is
+   leader. In ``ROUNDS`` further rounds the members outside of a bucket's largest class
+   are aligned with a member of that class, another one in every bucket and round,
+   so a family of n versions settles in a few times n pairs. What is then still in different classes is
    compared exactly: every two members of a bucket of either set, block against block, are
-   bounded by length and word counts, and pairs that pass are aligned, those of
+   bounded by length and counts, and pairs that pass are aligned, those of
    the members with most such partners first. So classes are what aligning all
    pairs of all buckets would give.
 4. A pair counts if the word edit distance is at most ``1 - threshold`` of the
-   longer text. Alignment runs in a band that doubles until the distance fits,
+   longer text. Counts of words and of word pairs bound the distance from below before
+   any text is fetched. Alignment runs in a band that doubles until the distance fits,
    after common ends are cut off; a column of the band is one number's bits.
 5. Links are closed to classes by star contractions.
 
-Edge cases: a null text is an empty one; texts without words are all equal in
-words, so they form one class; texts of 1 to 4 words have a single shingle;
+Edge cases: a null text is an empty one; a text without words is compared by its
+characters that are not blank, and texts without any form one class; texts of 1 to 4 words have a single shingle;
 repeated rows are exact copies; a class is named by its least doc_id (null if
 it has none); extra columns pass untouched.
 """
@@ -32,18 +34,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pannier.llm.components import components
 from pannier.llm.words import (
+    filled,
     group_min,
+    hashed,
     mix,
     occurrences,
     owners,
+    plain,
     shingles,
     slices,
-    words,
+    split,
 )
 from pannier.session import materialise
 
@@ -59,10 +65,23 @@ _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Columns of an alignment whose words are looked up together, and the first width of a band.
 _COLUMNS = 1024
 _WIDTH = 256
-#: Counters of a text's words; members of a bucket that are compared at once with as many others.
+#: Rounds in which members left apart follow a member of the largest class.
+ROUNDS = 2
+#: Counters of a text's words, and as many of its word pairs; members of a bucket that are compared at once with as many others.
 _BINS = 256
 _BLOCK = 64
-_MEMBER = np.dtype([("node", "V16"), ("root", ">u8", 2), ("n", ">i8"), ("counts", "u1", _BINS)])
+_MEMBER = np.dtype([("node", "V16"), ("root", ">u8", 2), ("n", ">i8"), ("counts", "u1", 2 * _BINS)])
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes over all texts and offsets per text; for a text without words, hashes of its characters that are not blank."""
+    cleaned = plain(texts)
+    bare = pc.equal(pc.binary_length(cleaned), 0)
+    if pc.any(bare).as_py():
+        spaced = pc.replace_substring_regex(filled(texts), r"(\S)", r"\1 ")
+        cleaned = pc.if_else(bare, spaced, cleaned)
+    flat, offsets = split(cleaned)
+    return hashed(flat), offsets
 
 
 def order_minhash(values: np.ndarray, offsets: np.ndarray, tables: int = TABLES) -> np.ndarray:
@@ -138,11 +157,31 @@ def second_keys(codes: np.ndarray, at: np.ndarray, threshold: float = THRESHOLD)
     return np.concatenate(keys)[np.argsort(of_, kind="stable")], ends
 
 
-def word_counts(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How often a text has words of each of ``_BINS`` kinds, 255 at most; one row per text."""
+def counts_of(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often a text has words, then word pairs, of each of ``_BINS`` kinds, 255 at most; one row per text."""
     n = len(offsets) - 1
-    at = owners(offsets) * _BINS + (codes >> np.uint64(56)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=n * _BINS), 255).astype(np.uint8).reshape(n, _BINS)
+    sides = []
+    for values, at in ((codes, offsets), shingles(codes, offsets, 2, short=False)):
+        kind = owners(at) * _BINS + (values >> np.uint64(56)).astype(np.int64)
+        sides.append(np.minimum(np.bincount(kind, minlength=n * _BINS), 255).astype(np.uint8).reshape(n, _BINS))
+    return np.hstack(sides)
+
+
+def within_counts(a: np.ndarray, b: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Which rows of counts leave a distance of ``limits`` possible.
+
+    An edit changes one word for another, adds one or takes one away, so what one text
+    has more of any words is a lower bound of the distance. It changes two word pairs at most, so
+    what it has more of any pairs is at most twice the distance.
+    """
+    ok = np.ones(len(a), bool)
+    for side, most in ((slice(_BINS, None), 2 * limits), (slice(0, _BINS), limits)):
+        at = np.flatnonzero(ok)
+        x, y = a[at, side], b[at, side]
+        high = np.maximum(x, y)
+        more = np.maximum((high - x).sum(axis=1, dtype=np.int64), (high - y).sum(axis=1, dtype=np.int64))
+        ok[at] = more <= most[at]
+    return ok
 
 
 def signatures(docs: DataFrame, tables: int = TABLES, threshold: float = THRESHOLD) -> DataFrame:
@@ -151,14 +190,14 @@ def signatures(docs: DataFrame, tables: int = TABLES, threshold: float = THRESHO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                codes, at = words(part.column("text"))
+                codes, at = tokens(part.column("text"))
                 values, offsets = shingles(codes, at, SHINGLE)
                 times = occurrences(values, offsets).astype(np.uint64)
                 values = mix(values + times * np.uint64(0x2545F4914F6CDD1D))
                 keys = order_minhash(values, offsets, tables).view(np.int64)
                 ends = pa.array(np.arange(len(keys) + 1) * tables, pa.int32())
                 others, ends_ = second_keys(codes, at, threshold)
-                counts = pa.array([row.tobytes() for row in word_counts(codes, at)], pa.binary())
+                counts = pa.array([row.tobytes() for row in counts_of(codes, at)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -292,11 +331,10 @@ def aligned(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "a"):
-                a, a_at = words(part.column("a"))
-                b, b_at = words(part.column("b"))
+                a, a_at = tokens(part.column("a"))
+                b, b_at = tokens(part.column("b"))
                 each = [(a[a_at[p] : a_at[p + 1]], b[b_at[p] : b_at[p + 1]]) for p in range(part.num_rows)]
-                longest = np.maximum(np.diff(a_at), np.diff(b_at))
-                limits = np.floor((1 - threshold) * longest + 1e-9).astype(np.int64)
+                limits = _limits(np.maximum(np.diff(a_at), np.diff(b_at)), threshold)
                 ok = pa.array(edit_within(each, limits))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("u").filter(ok), part.column("v").filter(ok)], ["u", "v"]
@@ -305,6 +343,28 @@ def aligned(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
+def likely(pairs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (u, v) that lengths and counts do not rule out."""
+    side = lambda node, n, c: nodes.select(F.col("node").alias(node), F.col("n_words").alias(n), F.col("counts").alias(c))
+    both = pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 2 * _BINS) for c in ("a", "b"))
+            limits = _limits(np.maximum(batch.column("n").to_numpy(), batch.column("m").to_numpy()), threshold)
+            ok = pa.array(within_counts(a, b, limits))
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(ok), batch.column("v").filter(ok)], ["u", "v"])
+
+    return both.select("u", "v", "n", "m", "a", "b").mapInArrow(run, "u binary, v binary")
+
+
+def _limits(longest: np.ndarray, threshold: float) -> np.ndarray:
+    """Most edits between similar texts of which the longer has so many words."""
+    return np.floor((1 - threshold) * longest + 1e-9).astype(np.int64)
+
+
 def _bucketed(nodes: DataFrame, keys: str) -> DataFrame:
     """(key, node, n_words) for every key that several nodes hold."""
     keyed = nodes.select("node", "n_words", F.explode(keys).alias("key"))
@@ -312,16 +372,31 @@ def _bucketed(nodes: DataFrame, keys: str) -> DataFrame:
     return keyed.join(shared, "key").select("key", "node", "n_words")
 
 
-def _led(buckets: DataFrame, order: Column) -> DataFrame:
-    """Every member of a bucket but its leader, the least by ``order``, with the leader's node."""
+def _led(buckets: DataFrame) -> DataFrame:
+    """Every member of a bucket but its leader, the least node, with the leader's node."""
     leaders = (
         buckets.groupBy("key")
-        .agg(F.min(F.struct(order.alias("o"), "node", "n_words")).alias("l"))
+        .agg(F.min(F.struct("node", "n_words")).alias("l"))
         .select("key", F.col("l.node").alias("u"), F.col("l.n_words").alias("u_words"))
     )
     return buckets.join(leaders, "key").where("node <> u")
 
 
+def _outside(buckets: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Every member outside of its bucket's largest class, with a member of that class: another one by bucket and ``turn``."""
+    members = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chosen = F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("o"), "node", "n_words"))
+    largest = (
+        members.groupBy("key", "root")
+        .agg(F.count(F.lit(1)).alias("n"), chosen.alias("l"))
+        .groupBy("key")
+        .agg(F.max(F.struct("n", "root", "l")).alias("m"), F.count(F.lit(1)).alias("classes"))
+        .where("classes > 1")
+        .select("key", F.col("m.root").alias("u_root"), F.col("m.l.node").alias("u"), F.col("m.l.n_words").alias("u_words"))
+    )
+    return members.join(largest, "key").where("root <> u_root")
+
+
 def _close(led: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs whose lengths alone do not rule them out."""
     return (
@@ -332,18 +407,12 @@ def _close(led: DataFrame, threshold: float) -> DataFrame:
 
 
 def _between(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``a`` and ``b`` of members of different classes that may be similar.
-
-    An edit changes one word for another, adds one or takes one away, so what one
-    text has more of any words than the other is a lower bound of their distance.
-    """
-    limits = np.floor((1 - threshold) * np.maximum(a["n"][:, None], b["n"][None, :]) + 1e-9)
+    """Places in ``a`` and ``b`` of members of different classes that may be similar."""
+    limits = _limits(np.maximum(a["n"][:, None], b["n"][None, :]), threshold)
     open_ = (a["root"][:, None, :] != b["root"][None, :, :]).any(axis=2)
     open_ &= np.abs(a["n"][:, None] - b["n"][None, :]) <= limits
     i, j = np.nonzero(np.triu(open_, 1) if same else open_)
-    more = a["counts"][i].astype(np.int16) - b["counts"][j]
-    bound = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
-    near = bound <= limits[i, j]
+    near = within_counts(a["counts"][i], b["counts"][j], limits[i, j])
     return i[near], j[near]
 
 
@@ -447,29 +516,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES)
         ).select("node", "text"),
         "texts",
     )
-    first = materialise(_close(_led(buckets, F.lit(0)), threshold), "pairs")
-    links = materialise(aligned(first, texts, threshold), "found")
-    roots = materialise(components(links), "roots")
-    # members that their first leader left apart follow another one, by another order
-    apart = (
-        _led(buckets, F.lit(0))
-        .join(roots.select("node", F.col("root").alias("mine")), "node", "left")
-        .join(roots.select(F.col("node").alias("u"), F.col("root").alias("theirs")), "u", "left")
-        .where(F.coalesce("mine", "node") != F.coalesce("theirs", "u"))
-        .select("key", "node", "n_words")
-    )
-    apart = materialise(apart, "apart")
-    second = _close(_led(apart, F.xxhash64("key", "node")), threshold).join(first, ["u", "v"], "left_anti")
-    second = materialise(second, "pairs")
-    roots = _joined(roots, materialise(aligned(second, texts, threshold), "found"))
+    def links(pairs: DataFrame) -> DataFrame:
+        return materialise(aligned(pairs, texts, threshold), "found")
+
+    first = materialise(likely(_close(_led(buckets), threshold), nodes, threshold), "pairs")
+    roots = materialise(components(links(first)), "roots")
+    for turn in range(ROUNDS):  # members left apart follow another one
+        more_pairs = materialise(likely(_close(_outside(buckets, roots, turn), threshold), nodes, threshold), "pairs")
+        roots = _joined(roots, links(more_pairs))
     # whatever is still apart is compared in full
-    rest = _rest(buckets.union(more), nodes, roots, threshold).join(_ordered(first.union(second)), ["u", "v"], "left_anti")
-    rest = materialise(rest, "rest")
+    rest = materialise(_rest(buckets.union(more), nodes, roots, threshold), "rest")
     if not rest.isEmpty():
         best = materialise(_foremost(rest), "pairs")
-        roots = _joined(roots, materialise(aligned(best, texts, threshold), "found"))
+        roots = _joined(roots, links(best))
         last = _apart(rest.join(best, ["u", "v"], "left_anti"), roots)
-        roots = _joined(roots, materialise(aligned(materialise(last, "pairs"), texts, threshold), "found"))
+        roots = _joined(roots, links(materialise(last, "pairs")))
     named = nodes.select("node", "first_id", "copies").join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_rows"))

@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Every row with its fingerprint (16 hex digits) and its component: doc_id, fingerprint, component_id."""
     rows = materialise(fingerprinted(docs), "fingerprints")
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(links(distinct, distance), few=0)
+    roots = components(links(distinct, distance))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = named.select("fp", "root").join(least, "root").select("fp", "component_id")

@@ -7,7 +7,6 @@ import random
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from pannier.llm import components, near_dedup
 from pannier.llm.words import mix, occurrences, shingles, words
@@ -85,9 +84,7 @@ def test_hub_families_equal_brute_force_in_buckets(spark):
     assert all(c <= whole[min(c)] for c in want)
 
 
-@pytest.mark.parametrize("few", [0, 200_000])
-def test_components_by_tables_and_on_the_driver(spark, monkeypatch, few):
-    monkeypatch.setattr(components, "_FEW", few)
+def test_components_equal_plain_closure(spark):
     rng = random.Random(2)
     links = [(bytes([a]), bytes([b])) for a, b in ((rng.randrange(90), rng.randrange(90)) for _ in range(50))]
     rows = spark.createDataFrame(links, "u binary, v binary")
@@ -130,3 +127,24 @@ def test_prefix_keys_meet_for_every_similar_pair():
                 keys, ends = near_dedup.second_keys(*words(pa.array([" ".join(base), " ".join(other)])))
                 a, b = keys[: ends[1]], keys[ends[1] :]
                 assert set(a[near_dedup.SINGLES :]) & set(b[near_dedup.SINGLES :]) or base == other
+
+
+def test_texts_without_words_are_compared_by_their_characters(spark):
+    texts = ["!!! ???", "--- *** ---", "\U0001f600\U0001f601", "", " \t ", "!!! ???", "a b", "! ! ! ? ? ?"]
+    assert found(spark, [t.split(" ") for t in texts]) == {
+        frozenset(c) for c in ({0, 5, 7}, {1}, {2}, {3, 4}, {6})
+    }
+
+
+def test_counts_never_rule_out_a_similar_pair():
+    rng = random.Random(5)
+    for n in (5, 12, 40, 300, 1500):
+        pairs = [scattered(rng, n, share) for share in (0.0, 0.1, 0.2, 0.2)]
+        pairs += [(base, base[n // 6 :]) for base, _ in pairs] + [([f"x{rng.random()}" for _ in base], base) for base, _ in pairs]
+        limits = np.array([int(0.2 * max(map(len, p)) + 1e-9) for p in pairs])
+        counted = [
+            near_dedup.counts_of(*near_dedup.tokens(pa.array([" ".join(p[side]) for p in pairs]))) for side in (0, 1)
+        ]
+        passed = near_dedup.within_counts(*counted, limits)
+        assert all(ok for ok, pair in zip(passed, pairs) if similar(*pair))
+        assert not passed[-4:].any()
