@@ -67,10 +67,12 @@ _COLUMNS = 1024
 _WIDTH = 256
 #: Rounds in which members left apart follow a member of the largest class.
 ROUNDS = 2
-#: Counters of a text's words, and as many of its word pairs; members of a bucket that are compared at once with as many others.
-_BINS = 256
+#: Counters of a text's words and of its word pairs; members of a bucket that are compared at once with as many others.
+_WORDS = 64
+_PAIRS = 256
+_BINS = _WORDS + _PAIRS
 _BLOCK = 64
-_MEMBER = np.dtype([("node", "V16"), ("root", ">u8", 2), ("n", ">i8"), ("counts", "u1", 2 * _BINS)])
+_MEMBER = np.dtype([("node", "V16"), ("root", ">u8", 2), ("n", ">i8"), ("counts", "u1", _BINS)])
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -158,12 +160,12 @@ def second_keys(codes: np.ndarray, at: np.ndarray, threshold: float = THRESHOLD)
 
 
 def counts_of(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How often a text has words, then word pairs, of each of ``_BINS`` kinds, 255 at most; one row per text."""
+    """How often a text has words of ``_WORDS`` kinds, then word pairs of ``_PAIRS`` kinds, 255 at most; one row per text."""
     n = len(offsets) - 1
     sides = []
-    for values, at in ((codes, offsets), shingles(codes, offsets, 2, short=False)):
-        kind = owners(at) * _BINS + (values >> np.uint64(56)).astype(np.int64)
-        sides.append(np.minimum(np.bincount(kind, minlength=n * _BINS), 255).astype(np.uint8).reshape(n, _BINS))
+    for bins, (values, at) in ((_WORDS, (codes, offsets)), (_PAIRS, shingles(codes, offsets, 2, short=False))):
+        kind = owners(at) * bins + ((values >> np.uint64(40)) % np.uint64(bins)).astype(np.int64)
+        sides.append(np.minimum(np.bincount(kind, minlength=n * bins), 255).astype(np.uint8).reshape(n, bins))
     return np.hstack(sides)
 
 
@@ -175,7 +177,7 @@ def within_counts(a: np.ndarray, b: np.ndarray, limits: np.ndarray) -> np.ndarra
     what it has more of any pairs is at most twice the distance.
     """
     ok = np.ones(len(a), bool)
-    for side, most in ((slice(_BINS, None), 2 * limits), (slice(0, _BINS), limits)):
+    for side, most in ((slice(_WORDS, None), 2 * limits), (slice(0, _WORDS), limits)):
         at = np.flatnonzero(ok)
         x, y = a[at, side], b[at, side]
         high = np.maximum(x, y)
@@ -322,10 +324,16 @@ def edit_within(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray)
     return ok
 
 
+def _held(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose node is in a pair, so that no other is shuffled to both ends."""
+    return rows.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
+
+
 def aligned(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (u, v) whose texts have an edit similarity of at least ``threshold``."""
-    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(
-        texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v"
+    held = _held(texts, pairs)
+    both = pairs.join(held.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(
+        held.select(F.col("node").alias("v"), F.col("text").alias("b")), "v"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,14 +353,15 @@ def aligned(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (u, v) that lengths and counts do not rule out."""
-    side = lambda node, n, c: nodes.select(F.col("node").alias(node), F.col("n_words").alias(n), F.col("counts").alias(c))
+    held = _held(nodes, pairs)
+    side = lambda node, n, c: held.select(F.col("node").alias(node), F.col("n_words").alias(n), F.col("counts").alias(c))
     both = pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 2 * _BINS) for c in ("a", "b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _BINS) for c in ("a", "b"))
             limits = _limits(np.maximum(batch.column("n").to_numpy(), batch.column("m").to_numpy()), threshold)
             ok = pa.array(within_counts(a, b, limits))
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(ok), batch.column("v").filter(ok)], ["u", "v"])
@@ -367,7 +376,7 @@ def _limits(longest: np.ndarray, threshold: float) -> np.ndarray:
 
 def _bucketed(nodes: DataFrame, keys: str) -> DataFrame:
     """(key, node, n_words) for every key that several nodes hold."""
-    keyed = nodes.select("node", "n_words", F.explode(keys).alias("key"))
+    keyed = nodes.select("node", "n_words", F.explode(keys).alias("key")).repartition("key")  # one shuffle for count and join
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     return keyed.join(shared, "key").select("key", "node", "n_words")
 
@@ -425,30 +434,37 @@ def _rest(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: flo
         .where("lo <> hi")
         .select("key", F.ceil(F.col("n") / _BLOCK).cast("long").alias("blocks"))
     )
+    members = materialise(members.join(split, "key"), "members")
     length = F.unhex(F.lpad(F.hex("n_words"), 16, "0"))
-    blocks = materialise(
-        members.join(split, "key")
-        .join(nodes.select("node", "counts"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-        .groupBy("key", "block")
-        .agg(F.collect_list(F.concat("node", "root", length, "counts")).alias("members")),
-        "blocks",
-    )
-    others = blocks.select("key", F.col("block").alias("other"), F.col("members").alias("b"))
-    both = blocks.withColumnRenamed("members", "a").join(others, "key").where("block <= other")
+
+    def packed(some: DataFrame) -> DataFrame:
+        return (
+            some.join(nodes.select("node", "counts"), "node")
+            .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+            .groupBy("key", "block")
+            .agg(F.collect_list(F.concat("node", "root", length, "counts")).alias("members"))
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                a, b = (np.frombuffer(b"".join(batch.column(c)[row].as_py()), _MEMBER) for c in ("a", "b"))
-                i, j = _between(a, b, batch.column("same")[row].as_py(), threshold)
+                a = np.frombuffer(b"".join(batch.column("a")[row].as_py()), _MEMBER)
+                other = batch.column("b")[row].as_py()
+                b = a if other is None else np.frombuffer(b"".join(other), _MEMBER)
+                i, j = _between(a, b, other is None, threshold)
                 if len(i):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x.tobytes() for x in m["node"][at]], pa.binary()) for m, at in ((a, i), (b, j))],
                         ["u", "v"],
                     )
 
-    found = both.select("a", "b", F.expr("block = other").alias("same")).mapInArrow(run, "u binary, v binary")
+    # most buckets are one block, compared where it is gathered; only larger ones meet block against block
+    blocks = materialise(packed(members.where("blocks > 1")), "blocks")
+    others = blocks.select("key", F.col("block").alias("other"), F.col("members").alias("b"))
+    across = blocks.withColumnRenamed("members", "a").join(others, "key").where("block < other").select("a", "b")
+    alone = packed(members.where("blocks = 1")).select("members").union(blocks.select("members"))
+    itself = alone.select(F.col("members").alias("a"), F.lit(None).cast("array<binary>").alias("b"))
+    found = itself.mapInArrow(run, "u binary, v binary").union(across.mapInArrow(run, "u binary, v binary"))
     return _ordered(found).distinct()
 
 
@@ -465,10 +481,18 @@ def _foremost(pairs: DataFrame) -> DataFrame:
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes after further links; stars stand for the links they closed."""
+    """Classes after further links, which are closed between classes."""
     if links.isEmpty():
         return roots
-    return materialise(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)), "roots")
+    named = roots.select("node", F.col("root").alias("of"))
+    ends = links.join(named.withColumnsRenamed({"node": "u", "of": "__u"}), "u", "left").join(
+        named.withColumnsRenamed({"node": "v", "of": "__v"}), "v", "left"
+    )
+    merged = components(ends.select(F.coalesce("__u", "u").alias("u"), F.coalesce("__v", "v").alias("v")))
+    merged = materialise(merged, "merged")
+    moved = named.join(merged.withColumnsRenamed({"node": "of", "root": "to"}), "of", "left")
+    fresh = merged.join(named.select("node"), "node", "left_anti").select("node", "root")
+    return materialise(moved.select("node", F.coalesce("to", "of").alias("root")).union(fresh), "roots")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
