@@ -68,7 +68,7 @@ _WIDTH = 256
 #: Rounds in which members left apart follow a member of the largest class.
 ROUNDS = 2
 #: Counters of a text's words and of its word pairs; members of a bucket that are compared at once with as many others.
-_WORDS = 64
+_WORDS = 256
 _PAIRS = 256
 _BINS = _WORDS + _PAIRS
 _BLOCK = 64
