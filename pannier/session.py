@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+# Drops a statement's shuffle files at its end; otherwise they stay until the driver collects garbage.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,16 +43,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def materialise(
     df: DataFrame, name: str, partition_by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Write a derived table once to the shared folder and read it back."""
+    """Write a derived table once to the shared folder and read it back.
+
+    The shuffle files behind it have served their purpose and go with the write.
+    """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with _shuffles_dropped(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
