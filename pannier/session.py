@@ -44,13 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_DROP_SHUFFLES, "false")
-    spark.conf.set(_DROP_SHUFFLES, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Spark SQL settings for the jobs started inside; afterwards they are as before."""
+    before = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_DROP_SHUFFLES, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def materialise(
@@ -65,7 +68,7 @@ def materialise(
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with _shuffles_dropped(spark):
+    with settings(spark, {_DROP_SHUFFLES: "true"}):
         writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
