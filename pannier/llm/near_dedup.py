@@ -51,7 +51,7 @@ from pannier.llm.words import (
     slices,
     split,
 )
-from pannier.session import materialise
+from pannier.session import materialise, settings
 
 SHINGLE = 5
 TABLES = 32
@@ -65,6 +65,8 @@ _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Columns of an alignment whose words are looked up together, and the first width of a band.
 _COLUMNS = 1024
 _WIDTH = 256
+#: Rows of counts and of block members are wide; batches of the default size, twice over, are much of an executor's memory.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Rounds in which members left apart follow a member of the largest class.
 ROUNDS = 2
 #: Counters of a text's words and of its word pairs; members of a bucket that are compared at once with as many others.
@@ -516,6 +518,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES)
     ``first_id`` is the least doc_id with exactly this text, ``class_id`` that of
     the class, ``class_rows`` the number of documents in it.
     """
+    with settings(docs.sparkSession, _BATCHES):
+        nodes, roots = _closed(docs, threshold, tables)
+    named = nodes.select("node", "first_id", "copies").join(roots, "node", "left")
+    named = named.withColumn("root", F.coalesce("root", "node"))
+    ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_rows"))
+    return named.drop("copies").join(ids, "root")
+
+
+def _closed(docs: DataFrame, threshold: float, tables: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts, and (node, root) of those with a partner; both stored."""
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", node_of())
     nodes = materialise(
         signatures(marked, tables, threshold)
@@ -540,6 +552,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES)
         ).select("node", "text"),
         "texts",
     )
+
     def links(pairs: DataFrame) -> DataFrame:
         return materialise(aligned(pairs, texts, threshold), "found")
 
@@ -555,10 +568,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES)
         roots = _joined(roots, links(best))
         last = _apart(rest.join(best, ["u", "v"], "left_anti"), roots)
         roots = _joined(roots, links(materialise(last, "pairs")))
-    named = nodes.select("node", "first_id", "copies").join(roots, "node", "left")
-    named = named.withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_rows"))
-    return named.drop("copies").join(ids, "root")
+    return nodes, roots
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
