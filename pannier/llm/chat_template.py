@@ -17,8 +17,9 @@ the ``<`` of anything that looks like a turn mark. ``unescaped`` undoes it exact
 
 Edge cases: a null role or text is empty; rows of equal turn follow role and text, null turns
 come first; rows without conv_id form one conversation; repeated rows are turns of their
-own; an empty table gives an empty one; extra columns are left out. A
-conversation's digest is sequential by definition, so its turns pass through one task as
+own; an empty table gives an empty one; extra columns are left out. ``compile_template`` loops
+over a list as often as the template says; ``formatted`` streams turns and refuses a template that
+reads ``messages`` more than once. A conversation's digest is sequential by definition, so its turns pass through one task as
 a stream, sorted on disk by Spark, never held together.
 """
 
@@ -28,7 +29,7 @@ import hashlib
 import itertools
 import re
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -429,6 +430,20 @@ def compile_template(source: str) -> Callable[[Iterable[dict]], Iterator[tuple[s
     return lambda messages, **more: body({**more, "messages": messages}, False)
 
 
+def _readings(node) -> int:
+    """How often a rendering may go through ``messages``; a use outside of a loop's head counts as two."""
+    if isinstance(node, tuple):
+        return sum(map(_readings, node))
+    if isinstance(node, If):
+        conditions, bodies = zip(*node.cases) if node.cases else ((), ())
+        return _readings(conditions) + max(map(_readings, bodies), default=0)
+    if isinstance(node, For):
+        return (node.source == "messages") + 2 * _readings(node.body)
+    if isinstance(node, Name):
+        return 2 * (node.name == "messages")
+    return sum(_readings(getattr(node, f.name)) for f in fields(node)) if is_dataclass(node) else 0
+
+
 # ---- Spark ---------------------------------------------------------------------------
 
 
@@ -444,6 +459,8 @@ def formatted(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     ``masks`` the (start, end) of trained text inside ``text``, in code points.
     """
     compile_template(template)  # a faulty template fails here, not in tasks
+    if _readings(fold(parse(template))) > 1:
+        raise TemplateError("turns are streamed: a template can loop over messages once")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)

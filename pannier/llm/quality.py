@@ -11,8 +11,9 @@ are never features.
 Edge cases: a null text is an empty one and is scored like any text (it has
 structure features only); labels that are null do not take part; a document
 labelled more than once counts as good only if all its labels say so; without
-any labelled row every score is 0.5. Repeated rows are scored each; extra
-columns pass untouched.
+any labelled row every score is 0.5. Ids may be of any type; a null id takes no part in the
+fit. Repeated rows are scored each; extra columns pass untouched, but for one with the
+name that ``score`` is to add, which gives way.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pannier.llm.words import filled, group_sum, hashed, mix, owners, slices, split, utf8
 
@@ -38,6 +40,8 @@ class FmConfig:
     rate: float = 0.08
     decay: float = 1e-5
     batch: int = 256
+    #: Fewest steps of a fit: few labelled rows are gone through more often.
+    least_steps: int = 400
     seed: int = 17
     #: Most labelled documents used to fit; taken in hash order of their ids.
     max_train_rows: int = 20_000
@@ -196,13 +200,14 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(ids, values, at)[0].astype(float), -35, 35)))
 
     def fit(self, ids, values, at, labels, cfg: FmConfig) -> None:
-        """AdaGrad over mini-batches in a seeded order."""
+        """AdaGrad over mini-batches in a seeded order, ``least_steps`` of them at the least."""
         rng = np.random.default_rng(cfg.seed)
+        epochs = max(cfg.epochs, -(-cfg.least_steps // max(1, len(labels) // cfg.batch)))
         seen_w = np.full(len(self.weights), 1e-2, np.float32)
         seen_v = np.full(self.factors.shape, 1e-2, np.float32)
         seen_b = 1e-2
         n, counts = len(labels), np.diff(at)
-        for _ in range(cfg.epochs):
+        for _ in range(epochs):
             for rows in np.array_split(rng.permutation(n), max(1, n // cfg.batch)):
                 local = np.concatenate([[0], np.cumsum(counts[rows])])
                 owner = owners(local)
@@ -257,8 +262,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, cfg: FmConfig | None = N
     """
     cfg = cfg or FmConfig()
     chosen = training_ids(labels, label, cfg, held_out)
-    rows = docs.select("doc_id", "text").join(
-        F.broadcast(chosen), F.col("doc_id") == F.col("_train_id")
+    rows = (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(chosen), F.col("doc_id") == F.col("_train_id"))
+        .select(F.xxhash64("doc_id").alias("place"), "text", "_label")
     )
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,12 +274,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, cfg: FmConfig | None = N
                 ids, values, at = features(part.column("text"), cfg)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").cast(pa.int64()),
+                        part.column("place"),
                         part.column("_label").cast(pa.int32()),
                         pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())),
                         pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.float32())),
                     ],
-                    ["doc_id", "label", "ids", "vals"],
+                    ["place", "label", "ids", "vals"],
                 )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,9 +297,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, cfg: FmConfig | None = N
         yield pa.RecordBatch.from_arrays([pa.array([machine.to_bytes()], pa.binary())], ["model"])
 
     made = (
-        rows.mapInArrow(featurise, "doc_id long, label int, ids array<int>, vals array<float>")
+        rows.mapInArrow(featurise, "place long, label int, ids array<int>, vals array<float>")
         .repartition(1)
-        .sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label", F.size("ids"))
+        .sortWithinPartitions("place", "label", F.size("ids"), F.xxhash64("ids", "vals"))
         .mapInArrow(learn, "model binary")
         .first()
     )
@@ -303,21 +310,46 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, cfg: FmConfig | None = N
 
 
 def score(docs: DataFrame, machine: Machine, cfg: FmConfig | None = None, text: str = "text", name: str = "score") -> DataFrame:
-    """Add ``name``, the probability that a text is good; all other columns stay."""
+    """Add ``name``, the probability that a text is good; all other columns stay.
+
+    A column that is already called ``name`` gives way to the new one.
+    """
+    narrow = docs.drop(name)
+    names = narrow.columns
+    numbered, at = _numbered(narrow, text)
+
+    def add(part: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, "score"])
+
+    schema = StructType([*numbered.schema.fields, StructField("score", DoubleType())])
+    return numbered.mapInArrow(_judge(docs, machine, cfg, at, add), schema).toDF(*names, name)
+
+
+def kept(docs: DataFrame, machine: Machine, cfg: FmConfig | None = None, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents with a score of at least ``least``, all columns as they came, whatever their names."""
+    numbered, at = _numbered(docs, text)
+
+    def choose(part: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
+        return part.filter(pa.array(scores >= least))
+
+    return numbered.mapInArrow(_judge(docs, machine, cfg, at, choose), numbered.schema).toDF(*docs.columns)
+
+
+def _numbered(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """Columns under plain names, since a name with a dot cannot go to a batch function, and the text's."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index(text)]
+
+
+def _judge(docs: DataFrame, machine: Machine, cfg: FmConfig | None, text: str, then):
+    """A function of batches that hands every part and its scores to ``then``."""
     cfg = cfg or FmConfig()
     data = docs.sparkSession.sparkContext.broadcast(machine.to_bytes())
-    keep = [c for c in docs.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine.from_bytes(data.value, cfg)
         for batch in batches:
             for part in slices(batch, text):
-                ids, values, at = features(part.column(text), cfg)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(machine.score(ids, values, at))],
-                    [*part.schema.names, name],
-                )
+                yield then(part, machine.score(*features(part.column(text), cfg)))
 
-    narrow = docs.select(*keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema)
-    return narrow.mapInArrow(run, f"{fields}, `{name}` double")
+    return run

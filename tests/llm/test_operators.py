@@ -214,6 +214,19 @@ def test_template_language():
             chat_template.compile_template(wrong)
 
 
+def test_messages_are_streamed_once(spark):
+    once = "{% for m in messages %}{{ m.text }}{% endfor %}"
+    turns = spark.createDataFrame([(1, 0, "user", "ab"), (1, 1, "user", "cd")], "conv_id long, turn int, role string, text string")
+    twice = "".join(t for t, _ in chat_template.compile_template(once + "|" + once)([{"text": "ab"}, {"text": "cd"}]))
+    assert twice == "abcd|abcd"
+    either = "{% if 'x' == y %}" + once + "{% else %}|" + once + "{% endif %}"
+    assert [r["text"] for r in chat_template.formatted(turns, either).collect()] == ["|abcd"]
+    inside = "{% for m in messages %}" + once + "{% endfor %}"
+    for wrong in (once + once, inside, "{{ messages }}", "{% if messages %}" + once + "{% endif %}"):
+        with pytest.raises(chat_template.TemplateError):
+            chat_template.formatted(turns, wrong)
+
+
 def test_url_rules(spark):
     urls = [
         "HTTP://Sub.Example.ORG/es/x?q#f", "http://example.org/en/12", "http://notexample.org/en/1", "http://a.com/de/", "http://a.com/fr/x",
@@ -248,6 +261,37 @@ def test_quality_learns_structure(spark, docs, nothing):
     assert {r["score"] for r in quality.score(docs, quality.fit(nothing, labels, "quality")).collect()} == {0.5}
 
 
+def test_quality_of_few_labels_and_odd_columns(spark):
+    rng = random.Random(3)
+    rows = [(f"d{i}", prose(rng, 60) if i % 8 else (rng.choice(VOCABULARY).upper() + "!! ") * 60, int(i % 8 > 0)) for i in range(160)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, `a.b` int").selectExpr("*", "`a.b` as score")
+    labels = table.selectExpr("doc_id", "`a.b` as quality").where("crc32(doc_id) % 2 = 0")
+    machine = quality.fit(table, labels, "quality")
+    got = quality.score(table, machine, name="p").collect()
+    assert {(r["a.b"], r["score"], r["p"] >= 0.5) for r in got} == {(0, 0, False), (1, 1, True)}
+    kept = quality.kept(table, machine)
+    assert kept.schema == table.schema
+    assert sorted(map(tuple, kept.collect())) == sorted(tuple(r)[:4] for r in got if r["p"] >= 0.5)
+    assert quality.score(table, machine).columns == ["doc_id", "text", "a.b", "score"]
+
+
+def test_score_equals_plain_sums(docs, spark):
+    """Every score of a fitted machine, worked out pair by pair."""
+    rows = [(i, "good words here " * (1 + i % 3) if i % 2 else "BAD !! " * (2 + i % 5), i % 2) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, good int")
+    cfg = quality.FmConfig(buckets=64, rank=3, least_steps=20)
+    machine = quality.fit(table, table, "good", cfg)
+    texts = docs.select("text").dropDuplicates(["text"])
+    for r in quality.score(texts, machine, cfg).collect():
+        ids, values, _ = quality.features(pa.array([r["text"]], pa.string()), cfg)
+        raw = machine.bias + sum(float(machine.weights[i]) * float(x) for i, x in zip(ids, values))
+        v = machine.factors.astype(float)
+        for a in range(len(ids)):
+            for b in range(a):
+                raw += float(v[ids[a]] @ v[ids[b]]) * float(values[a]) * float(values[b])
+        assert abs(r["score"] - 1 / (1 + np.exp(-raw))) < 1e-4
+
+
 def test_interactions_in_linear_time():
     machine = quality.Machine(0.3, np.array([1, 2, 3], np.float32), np.random.default_rng(0).normal(size=(3, 4)).astype(np.float32))
     x = np.array([0.5, 1.0, 2.0])
