@@ -18,7 +18,7 @@ from pannier.session import materialise
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good (score of 0.5 or more)."""
     machine = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
-    return quality.score(docs, machine, name="__score").where("__score >= 0.5").drop("__score")
+    return quality.kept(docs, machine)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
