@@ -9,6 +9,7 @@ import random
 import pytest
 
 from pannier.operators import threshold
+from pannier.recommend import cooccurrence
 
 
 def lists_table(spark, lists):
@@ -136,3 +137,26 @@ def test_blocks_cover_a_list_in_order(spark, monkeypatch):
 
 def test_no_asks_give_nothing(spark):
     assert run(spark, {1: {1: 1.0}}, {}, {}, 3) == {}
+
+
+def test_lists_known_to_be_short_are_cut_in_one_reading(spark, monkeypatch):
+    """No table of lengths is made, and the blocks are those of lists of unknown length."""
+    stored = []
+    kept = threshold.materialise
+    monkeypatch.setattr(threshold, "materialise", lambda df, name, *by: stored.append(name) or kept(df, name, *by))
+    monkeypatch.setattr(threshold, "FIRST", 4)
+    rows = [(0, i, j, 1.0 + (i * j) % 5) for i in range(6) for j in range(30)]
+    entries = spark.createDataFrame(rows, "kind int, list_id long, item_id long, score double")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    short = key(threshold.list_blocks(entries, 30))
+    assert not stored
+    assert short == key(threshold.list_blocks(entries))
+    monkeypatch.setattr(threshold, "LONG", 20)
+    assert short == key(threshold.list_blocks(entries, 30)) and stored
+
+
+@pytest.mark.parametrize("baskets, most", [([[1, 2, 3], [1, 4], [5, 6]], 3), ([], 0)])
+def test_partners_have_a_bound(spark, baskets, most):
+    from conftest import items_of
+
+    assert cooccurrence._most_partners(items_of(spark, baskets), "order_id") == most
