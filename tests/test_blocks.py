@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pannier.config import EmbeddingConfig, FactorConfig, GraphConfig
 from pannier.operators import context
 from pannier.operators.numbering import place_rows
-from pannier.recommend import blocks, embedding
+from pannier.recommend import blocks, embedding, factors
 from pannier.recommend.blocks import BlockConfig, train_blocks
 from pannier.recommend.embedding import Item2Vec, ItemGraphNode2Vec
 from pannier.recommend.factors import ImplicitBPR
@@ -204,3 +205,11 @@ def test_text_vectors_are_means_of_word_vectors(spark, monkeypatch):
     for i, x in got.items():
         mean = np.mean([known[w] for w in lists[i] if w in known], axis=0)
         assert np.allclose(x, mean / np.linalg.norm(mean), atol=1e-5)
+
+
+def test_als_drops_the_shuffle_files_of_each_iteration(spark, monkeypatch):
+    seen = {}
+    real = factors.ALS
+    monkeypatch.setattr(factors, "ALS", lambda **kw: seen.update(kw) or real(**kw))
+    model = factors.ImplicitALS.fit(items_of(spark, BASKETS[:40]), FactorConfig(factors=4, iterations=3))
+    assert seen["checkpointInterval"] == 1 and model.tables["vectors"].count() > 0
