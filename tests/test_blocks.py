@@ -207,6 +207,32 @@ def test_text_vectors_are_means_of_word_vectors(spark, monkeypatch):
         assert np.allclose(x, mean / np.linalg.norm(mean), atol=1e-5)
 
 
+def test_pairs_alone_do_not_multiply_the_turns():
+    """A turn moves every vector: sixty times as many pairs of few vectors need no more turns."""
+    assert blocks.blocks_for(1_000, 450_000) == 6
+    assert blocks.blocks_for(1_000, 27_000_000) == blocks.blocks_for(1_000, 160_000_000) == blocks.CELL_BLOCKS
+    assert blocks.blocks_for(6_750_000, 27_000_000) < 30
+    assert blocks.blocks_for(10**9, 10**9) == blocks.MOST_BLOCKS
+
+
+def test_a_fit_keeps_one_state_on_disk(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(blocks, "CUT_TURNS", 2)
+    kept = blocks.materialise
+    stored = []
+
+    def noted(df, name, *by):
+        out = kept(df, name, *by)
+        if name == "blocks":
+            stored.append(out.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://"))
+        return out
+
+    monkeypatch.setattr(blocks, "materialise", noted)
+    pairs = spark.createDataFrame([(u, i, 1) for u in range(40) for i in range(3)], "u long, i long, weight long")
+    assert train_blocks(pairs, BlockConfig(factors=4, iterations=4)).count() == 3
+    assert len(stored) > 4 and [os.path.exists(s) for s in stored] == [False] * (len(stored) - 1) + [True]
+
+
 def test_als_drops_the_shuffle_files_of_each_iteration(spark, monkeypatch):
     seen = {}
     real = factors.ALS

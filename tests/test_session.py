@@ -1,5 +1,7 @@
 """Derived tables: what stays on disk after one is written."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +41,14 @@ def test_the_setting_stays_as_it_was(spark, value):
         assert spark.conf.get(KEY) == value
     finally:
         spark.conf.set(KEY, held)
+
+
+def test_a_replaced_table_is_deleted_and_no_other(spark, tmp_path):
+    first, second = (session.materialise(spark.range(n), "blocks") for n in (3, 4))
+    folder = first.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    session.discard(first)
+    assert not os.path.exists(folder) and second.count() == 4
+    spark.range(2).write.parquet(f"{tmp_path}/given")
+    with pytest.raises(ValueError, match="no stored table"):
+        session.discard(spark.read.parquet(f"{tmp_path}/given"))
+    assert spark.read.parquet(f"{tmp_path}/given").count() == 2
