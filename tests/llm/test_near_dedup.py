@@ -148,3 +148,23 @@ def test_counts_never_rule_out_a_similar_pair():
         passed = near_dedup.within_counts(*counted, limits)
         assert all(ok for ok, pair in zip(passed, pairs) if similar(*pair))
         assert not passed[-4:].any()
+
+
+def test_members_left_apart_leave_a_task_once_not_by_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    chunks = [[f"w{rng.randrange(3000)}" for _ in range(5)] for _ in range(24)]
+    texts = [sum(rng.sample(chunks, len(chunks)), []) for _ in range(150)]  # same words and few other word pairs, another order
+    texts += [edited(rng, texts[7], 20), edited(rng, texts[90], 20)]
+    monkeypatch.setattr(near_dedup, "_BLOCK", 16)
+    stored = []
+    keep = near_dedup.materialise
+
+    def counted(df, name, *by):
+        out = keep(df, name, *by)
+        stored.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", counted)
+    got = found(spark, texts)
+    assert {c for c in got if len(c) > 1} == {frozenset({7, 150}), frozenset({90, 151})}
+    assert max(n for name, n in stored if "buckets" not in name) < len(texts) * (near_dedup.TABLES + near_dedup.SINGLES)
