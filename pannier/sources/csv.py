@@ -126,6 +126,30 @@ def rejected_order_lines(
     ).select("file", "r.column", "r.value", "order_text", "item_text")
 
 
+def line_counts(
+    spark: SparkSession, path: str, cfg: DataConfig = DataConfig(), formats: Sequence[str] | None = None
+) -> DataFrame:
+    """column, value, n as ``reject_counts`` has them, and a row (kept, "", n) of the lines with an order id that
+    ``read_order_lines`` keeps with ``rejects``; the files are read once.
+    """
+    raw = _raw_lines(spark, path, cfg)
+    parsed = _parsed(cfg, formats)
+    row = lambda column, value: F.struct(column.alias("column"), value.alias("value"))
+    found = F.array_compact(
+        F.array(*[F.when(_lost(name, value), row(F.lit(name), F.col(f"`{name}`"))) for name, value in parsed.values()])
+    )
+    ordered = parsed["order_id"][1].isNotNull().alias("ordered")
+    kept = F.when(F.col("ordered"), F.array(row(F.lit("kept"), F.lit(""))))
+    counts = (
+        raw.select(found.alias("found"), ordered)
+        .select(F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(kept)).alias("r"))
+        .groupBy("r.column", "r.value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    none = spark.range(1).select(F.lit("kept").alias("column"), F.lit("").alias("value"), F.lit(0).cast("long").alias("n"))
+    return counts.unionByName(none).groupBy("column", "value").agg(F.sum("n").alias("n"))
+
+
 def reject_counts(rejected: DataFrame) -> DataFrame:
     """column, value, n: what is unreadable and how often."""
     return rejected.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))

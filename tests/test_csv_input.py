@@ -77,3 +77,16 @@ def test_rejected_lines_are_counted_and_left_out(spark, tmp_path):
     assert {(r["column"], r["value"]): r["n"] for r in counts} == {
         ("created_at", "soon"): 2, ("profile_id", "1.5"): 1, ("order_item_oms_id", "x3"): 1,
     }
+
+
+def test_lines_and_rejects_are_counted_in_one_reading(spark, tmp_path):
+    path = tmp_path / "mixed.csv"
+    rows = "soon,1,7,3,t,F\n2025-01-02,1.5,7,x3,t,F\n2025-01-02,,8.0,4,t,F\nsoon,1,9,5,t,F\n,2,10,,t,F\n,2,,4,t,F\n"
+    path.write_text(HEADER + rows)
+    counts = csv.line_counts(spark, str(path))
+    assert {(r["column"], r["value"]): r["n"] for r in counts.collect()} == {
+        ("created_at", "soon"): 2, ("profile_id", "1.5"): 1, ("order_item_oms_id", "x3"): 1, ("kept", ""): 2,
+    }
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    path.write_text(HEADER + "soon,1,7,3,t,F\n")
+    assert {(r["column"], r["n"]) for r in csv.line_counts(spark, str(path)).collect()} == {("created_at", 1), ("kept", 0)}
