@@ -65,6 +65,18 @@ def test_vocabulary_is_cut_by_count_then_term(spark):
     assert {r["term"] for r in vocab.collect()} == {"aa", "bb"}
 
 
+def test_only_terms_of_the_vocabulary_are_counted_by_text(spark):
+    cfg = TextConfig(max_features=3, use_stopwords=False)
+    rows = [(1, "aa bb aa bb"), (2, "bb cc"), (2, "bb aa bb"), (3, "dd"), (4, "")]
+    texts = content.with_text(spark.createDataFrame(rows, "item_id long, description string"))
+    counts, vocab = content.text_tables(texts, cfg)
+    whole = content.term_counts(texts, cfg)
+    want = content.vocabulary(whole, cfg.max_features)
+    assert sorted(vocab.collect()) == sorted(want.collect())
+    kept = whole.join(want.select("term"), "term").select("item_id", "term", "n")
+    assert sorted(counts.collect()) == sorted(kept.collect()) and counts.count() < whole.count()
+
+
 def test_similarities(spark):
     weights, _ = tables(spark, ["aa bb", "aa", "cc", "bb dd"])
     q = queries_of(spark, [[0, 1]])
