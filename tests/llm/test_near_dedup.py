@@ -168,3 +168,43 @@ def test_members_left_apart_leave_a_task_once_not_by_pairs(spark, monkeypatch):
     got = found(spark, texts)
     assert {c for c in got if len(c) > 1} == {frozenset({7, 150}), frozenset({90, 151})}
     assert max(n for name, n in stored if "buckets" not in name) < len(texts) * (near_dedup.TABLES + near_dedup.SINGLES)
+
+
+def test_texts_and_keys_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(bytes([i]) * 16, f"one two three {i}", 4, [7, i % 3]) for i in range(9)], "node binary, text string, n_words long, keys array<long>")
+    nodes = near_dedup.dealt(rows, "test_nodes", "node")
+    pairs = spark.createDataFrame([(bytes([1]) * 16, bytes([2]) * 16)], "u binary, v binary")
+    with near_dedup.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        plan = near_dedup.aligned(pairs, nodes)._jdf.queryExecution().executedPlan().toString()
+        buckets = near_dedup._bucketed(nodes, "keys")
+        keyed = buckets._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # pairs to the first text, then to the second one
+    assert "ReusedExchange" in keyed
+    assert {tuple(r) for r in buckets.select("key", "n_words").collect()} == {(7, 4), (0, 4), (1, 4), (2, 4)}
+    assert buckets.count() == 18
+
+
+def test_finer_counts_narrow_members_to_the_first_bucket_they_share(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    texts = [base, edited(rng, base, 200), *([f"v{rng.randrange(10**6)}" for _ in range(1500)] for _ in range(4))]
+    node = [bytes([i]) * 16 for i in range(len(texts))]
+    stored = near_dedup.dealt(
+        spark.createDataFrame([(n, " ".join(t)) for n, t in zip(node, texts)], "node binary, text string"), "test_texts", "node"
+    )
+    partners = spark.createDataFrame(
+        [(key, n, 1500, 5) for key in (3, 9) for n in node], "key long, node binary, n_words long, partners long"
+    )
+    none = spark.createDataFrame([], "node binary, root binary")
+    kept = near_dedup._narrowed(partners, stored, none, 0.8).collect()
+    assert {(r["key"], bytes(r["node"]), r["partners"]) for r in kept} == {(3, node[0], 1), (3, node[1], 1)}
+
+
+def test_packed_counts_are_the_counts():
+    words_ = np.random.default_rng(3).integers(0, 1 << 63, 300, dtype=np.uint64)
+    codes = mix(np.concatenate([words_, words_[:1].repeat(400)]))
+    at = np.array([0, len(codes)])
+    kinds = near_dedup._kinds(codes, near_dedup._FINE).astype("<u2")
+    fine = near_dedup._unpacked([kinds.tobytes()])
+    assert (fine[:, : near_dedup._FINE] == near_dedup.counts_of(codes, at, near_dedup._FINE, near_dedup._FINE)[:, : near_dedup._FINE]).all()
+    assert near_dedup._coarser(fine).shape == (1, near_dedup._BINS)
