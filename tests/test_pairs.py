@@ -72,6 +72,8 @@ def test_partner_counts(spark, large, monkeypatch):
             want.setdefault(i, set()).update(b)
     got = {r["item_id"]: r["partners"] for r in pr.partner_counts(items_of(spark, baskets), large=large).collect()}
     assert got == {i: len(s) - 1 for i, s in want.items() if len(s) > 1}
+    stored = pr.pair_counts(items_of(spark, baskets), large=large)
+    assert {r["item_id"]: r["partners"] for r in pr.pair_partners(stored).collect()} == got
 
 
 def test_sizes_are_counted_when_missing(spark, toy):

@@ -7,7 +7,7 @@ from conftest import TOY, items_of, lists_of, queries_of
 from pannier.config import BoostConfig, EmbeddingConfig, FactorConfig, GraphConfig, RankerConfig
 from pannier.operators import nearest as near
 from pannier.operators import walks
-from pannier.recommend import factors
+from pannier.recommend import factors, ranker
 from pannier.recommend.boost import ContentBoost, DenseBoost
 from pannier.recommend.cooccurrence import CooccurrenceLift
 from pannier.recommend.embedding import Item2Vec, ItemGraphNode2Vec, graph_edges
@@ -189,6 +189,22 @@ def test_ranker_falls_back_then_learns(spark, toy, catalog, toy_queries, pop, co
     assert len(gains) == len(model.feature_names) and gains[0]["gain"] > 0
 
 
+def test_no_round_of_the_ranker_shuffles_its_rows(spark, toy, catalog, toy_queries, pop, cooc, monkeypatch):
+    monkeypatch.setattr(ranker, "CUT_EVERY", 2)
+    plans = []
+
+    def seen(rows, plain=ranker.lambda_gradients):
+        out = plain(rows)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(ranker, "lambda_gradients", seen)
+    cfg = RankerConfig(n_candidates=10, rounds=5, min_rows_per_leaf=1, max_depth=2)
+    LambdaRanker.of({"TopPopular": pop, "CooccurrenceLift": cooc}, toy, catalog, None, cfg).fit(toy_queries)
+    assert len(plans) == 5
+    assert not any("Exchange" in p for p in plans)
+
+
 def test_lambda_gradient_of_one_group(spark):
     from pannier.recommend.ranker import lambda_gradients
 
