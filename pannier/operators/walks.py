@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pannier.operators.numbering import id_slices, running_sum, slice_of
-from pannier.session import materialise
+from pannier.session import dealt, materialise
 
 
 def weight_slots(edges: DataFrame) -> DataFrame:
@@ -55,7 +55,8 @@ def random_walks(
     edges = materialise(
         edges.select("src", "dst", F.col("weight").cast("long").alias("weight")), "walk_edges"
     )
-    slots = materialise(weight_slots(edges), "weight_slots")
+    # stored dealt by the key of every step's join: a step moves walks, never the graph
+    slots = dealt(weight_slots(edges), "weight_slots", "src", "slot")
     totals = edges.groupBy("src").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
     now = materialise(
         totals.select(

@@ -15,6 +15,7 @@ from pannier.recommend.factors import ImplicitALS, ImplicitBPR
 from pannier.recommend.fusion import EnsembleRRF, PopularityRerank
 from pannier.recommend.popular import TopPopular
 from pannier.recommend.ranker import LambdaRanker
+from pannier.session import settings
 
 BASKETS = [[2, 9], [5, 4], [7, 3]]
 SMALL = EmbeddingConfig(vector_size=8, min_count=1, epochs=2)
@@ -139,6 +140,20 @@ def test_walks_follow_edges_by_weight(spark, toy):
     assert paths(walks.random_walks(edges.repartition(5), 6, 3, 42)) == out
 
 
+def test_steps_move_walks_and_not_the_graph(spark, toy, monkeypatch):
+    plans = []
+
+    def seen(df, name, plain=walks.materialise):
+        if name == "walk_log":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(walks, "materialise", seen)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        walks.random_walks(graph_edges(toy, 2), 4, 2, 42)
+    assert [p.count("Exchange hashpartitioning") for p in plans[1:]] == [1, 1, 1]
+
+
 def test_walk_frequencies_match_weights(spark):
     edges = spark.createDataFrame(
         [(0, 1, 6), (0, 2, 3), (0, 3, 3), (1, 0, 6), (2, 0, 3), (3, 0, 3)], "src long, dst long, weight long"
