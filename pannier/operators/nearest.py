@@ -8,7 +8,7 @@ the bound falls below the score of the last item it wants. What is left out cann
 among the wanted items, so the result is that of comparing all with all.
 
 A visit is a matrix product of a block of a cell and a block of the queries that
-visit it; a cell is replicated only to query blocks that ask for it. Pivots (at
+visit it, which returns what reaches the last item wanted so far (``_search``); a cell is replicated only to query blocks that ask for it. Pivots (at
 most ``CELLS``) are the only thing that every task gets. Cosine is the product of
 unit vectors; a zero vector scores 0.
 """
@@ -19,7 +19,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,13 +33,13 @@ CELLS = 4096
 STEP = 8
 # Scores held at once inside a task.
 _TILE = 4_000_000
+# Queries and items of one product, and products waiting to be computed in full, inside a task.
+_QUERIES = 256
+_ITEMS = 2048
+_WAITING = 1 << 18
 _EPS = 1e-6
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.asarray(column.tolist(), dtype=np.float64)
-
-
 def _rows(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -51,41 +50,85 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=m.copy(), where=length > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, wants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the first ``wants`` scores of each row; the smaller id wins a tie."""
-    most = int(wants.max()) if len(wants) else 0
-    if most <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    if most < scores.shape[1]:
-        at = scores.shape[1] - most
-        row, col = np.nonzero(scores >= np.partition(scores, at, axis=1)[:, at : at + 1])
-    else:
-        row, col = (x.ravel() for x in np.indices(scores.shape))
-    order = np.lexsort((ids[col], -scores[row, col], row))
-    row, col = row[order], col[order]
-    starts = np.searchsorted(row, np.arange(len(scores)))
-    kept = np.arange(len(row)) - starts[row] < wants[row]
-    return row[kept], col[kept]
+def _first(row: np.ndarray, col: np.ndarray, score: np.ndarray, ids: np.ndarray, wants: np.ndarray) -> tuple:
+    """The first ``wants`` of each row, compared to nine decimals; the smaller id wins a tie. Rows ascend."""
+    order = np.lexsort((ids[col], -np.round(score, 9), row))
+    row, col, score = row[order], col[order], score[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, np.arange(len(wants)))[row] < wants[row]
+    return row[kept], col[kept], score[kept]
+
+
+def _search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, wants: np.ndarray, last: np.ndarray) -> tuple:
+    """Rows, columns and products of the first ``wants`` items of each query that reach ``last``.
+
+    Products are screened in single precision, less the most by which they can be wrong; what passes is
+    multiplied in double precision. The bar of a query rises to the last item it would keep of those met.
+    Long items come first; a query is done when the next one is too short for it.
+    """
+    lengths, norms = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
+    longest = norms.max(where=~np.isnan(norms), initial=0)
+    falling = np.argsort(-norms, kind="stable")
+    x, ids, norms = x[falling], ids[falling], norms[falling]
+    kind = np.float32 if max(most_length := lengths.max(where=~np.isnan(lengths), initial=0), longest, most_length * longest) < 1e30 else np.float64
+    slack = (x.shape[1] + 8) * np.finfo(kind).eps * lengths * longest + 2e-9
+    a, b = q.astype(kind), x.astype(kind)
+    bars = np.where(wants > 0, np.where(np.isnan(last), -np.inf, last - slack), np.inf)
+    rows, cols, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    for lo in range(0, len(q), _QUERIES):
+        part = slice(lo, lo + _QUERIES)
+        want, bar, most = wants[part], bars[part], int(wants[part].max())
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        new: list[np.ndarray] = []
+        at = waiting = 0
+        due = width = max(_ITEMS, 4 * most)
+        while at < len(b):
+            able = np.flatnonzero(lengths[part] * norms[at] >= bar) if at else np.arange(len(want))
+            if not len(able) and not waiting:
+                break
+            tile = a[part][able] @ b[at : at + width].T
+            if not at and most < tile.shape[1] and np.isneginf(bar).any():
+                kth = np.partition(tile, tile.shape[1] - most, axis=1)[:, tile.shape[1] - most]
+                bar = np.maximum(bar, kth - 2 * slack[part])
+            hit = np.flatnonzero(tile >= bar[able].astype(kind)[:, None])
+            new.append(able[hit // tile.shape[1]] * len(b) + hit % tile.shape[1] + at)
+            at, waiting = at + tile.shape[1], waiting + len(hit)
+            if waiting and (at >= due or at == len(b) or waiting > _WAITING):
+                r, c = np.divmod(np.concatenate(new), len(b))
+                exact = np.concatenate(
+                    [
+                        np.einsum("ij,ij->i", q[lo + r[k : k + _WAITING]], x[c[k : k + _WAITING]])
+                        for k in range(0, len(r), _WAITING)
+                    ]
+                )
+                held = _first(*(np.concatenate(p) for p in zip(held, (r, c, exact))), ids, want)
+                full = np.bincount(held[0], minlength=len(want)) >= np.maximum(want, 1)
+                end = np.searchsorted(held[0], np.arange(len(want)), "right") - 1
+                bar = bar.copy()
+                bar[full] = np.maximum(bar[full], held[2][end[full]] - slack[part][full])
+                new, waiting = [], 0
+            if at >= due:
+                due = 8 * at
+        rows.append(held[0] + lo)
+        cols.append(falling[held[1]])
+        scores.append(held[2])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
 def _block_product(cosine: bool):
-    def product(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        asks, found, values = [np.empty(0, "int64")], [np.empty(0, "int64")], [np.empty(0)]
+    def product(queries: pa.Table, items: pa.Table) -> pa.Table:
+        asks, found, values = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if len(queries) and len(items):
-            mine, theirs = _matrix(queries["vec"]), _matrix(items["vec"])
+            queries = queries.sort_by("want")  # queries that want many meet in few tiles
+            mine, theirs = (_rows(t["vec"].combine_chunks()) for t in (queries, items))
             if cosine:
                 mine, theirs = _unit(mine), _unit(theirs)
-            ids, names, wants = (c.to_numpy() for c in (items["item_id"], queries["query_id"], queries["want"]))
-            step = max(1, _TILE // len(ids))
-            for lo in range(0, len(names), step):
-                tile = mine[lo : lo + step] @ theirs.T
-                row, col = _best(np.round(tile, 9), ids, wants[lo : lo + step])
-                asks.append(names[lo : lo + step][row])
-                found.append(ids[col])
-                values.append(tile[row, col])
-        return pd.DataFrame(
-            {"query_id": np.concatenate(asks), "item_id": np.concatenate(found), "score": np.concatenate(values)}
-        )
+            ids, names, wants, last = (
+                t[c].combine_chunks().to_numpy(zero_copy_only=False)
+                for t, c in ((items, "item_id"), (queries, "query_id"), (queries, "want"), (queries, "last"))
+            )
+            row, col, values = _search(mine, theirs, ids, wants, last)
+            asks, found = names[row], ids[col]
+        return pa.table({"query_id": asks, "item_id": found, "score": values})
 
     return product
 
@@ -132,7 +175,7 @@ def _cells(items: DataFrame, n: int, block_rows: int, cosine: bool) -> tuple[Dat
 
 
 def _visits(asks: DataFrame, pivots: np.ndarray, radii: np.ndarray, cosine: bool, lo: int, hi: int) -> DataFrame:
-    """(query_id, vec, want, cell): cells ``lo`` .. ``hi`` in each query's order whose bound reaches ``last``."""
+    """(query_id, vec, want, last, cell): cells ``lo`` .. ``hi`` in each query's order whose bound reaches ``last``."""
     sent = asks.sparkSession.sparkContext.broadcast((pivots, radii))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +194,12 @@ def _visits(asks: DataFrame, pivots: np.ndarray, radii: np.ndarray, cosine: bool
                 if len(row):
                     picked = batch.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays(
-                        [picked["query_id"], picked["vec"], picked["want"], pa.array(order[row, col].astype(np.int32))],
-                        ["query_id", "vec", "want", "cell"],
+                        [*(picked[c] for c in ("query_id", "vec", "want", "last")), pa.array(order[row, col].astype(np.int32))],
+                        ["query_id", "vec", "want", "last", "cell"],
                     )
 
     kind = asks.schema["vec"].dataType.simpleString()
-    return asks.select("query_id", "vec", "want", "last").mapInArrow(run, f"query_id long, vec {kind}, want long, cell int")
+    return asks.select("query_id", "vec", "want", "last").mapInArrow(run, f"query_id long, vec {kind}, want long, last double, cell int")
 
 
 def nearest(
@@ -199,13 +242,13 @@ def nearest(
         return (
             left.groupBy(*keys)
             .cogroup(right.groupBy(*keys))
-            .applyInPandas(_block_product(cosine), "query_id long, item_id long, score double")
+            .applyInArrow(_block_product(cosine), "query_id long, item_id long, score double")
         )
 
     if len(blocks) == 1:
         if log is not None:
             log.append(n_queries)
-        return scored(asks.drop("last").withColumn("cell", F.lit(0)))
+        return scored(asks.withColumn("cell", F.lit(0)))
     best: DataFrame | None = None
     lo, hi = 0, 1
     first = Window.partitionBy("query_id").orderBy(sort_score().desc(), F.col("item_id"))

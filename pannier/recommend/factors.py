@@ -16,6 +16,7 @@ from pannier.functions.vectors import mean_vectors
 from pannier.operators.nearest import nearest
 from pannier.operators.numbering import dense_index
 from pannier.operators.topk import Queries, drop_owned, top_k
+from pannier.recommend.alternate import item_factors
 from pannier.recommend.base import Model
 from pannier.recommend.blocks import BlockConfig, train_blocks
 from pannier.session import materialise
@@ -62,7 +63,7 @@ def _by_dot(mine: DataFrame, vectors: DataFrame, queries: Queries, k: int) -> Da
 
 
 class ImplicitALS(Model):
-    """Spark's implicit ALS over baskets; a new basket is folded in exactly.
+    """Implicit ALS over baskets (``alternate``); a new basket is folded in exactly.
 
     Factors are fitted on baskets as users, but a query is a basket the fit never
     saw: its vector solves the same regularised least squares against the fixed
@@ -89,16 +90,21 @@ class ImplicitALS(Model):
                 F.lit(1.0).cast("float").alias("rating"),
             )
         )
+        # Spark's ALS draws the vectors that users start from; they depend on the users' numbers only
+        firsts = ratings.groupBy("user").agg(F.min("item").alias("item"), F.min("rating").alias("rating"))
         model = ALS(
             rank=cfg.factors,
-            maxIter=cfg.iterations,
+            maxIter=0,
             regParam=cfg.regularization,
             alpha=cfg.alpha,
             implicitPrefs=True,
             seed=seed,
-            checkpointInterval=1,  # shuffle files of an iteration, several times the ratings, go with the next one
-        ).fit(ratings)
-        vectors = model.itemFactors.withColumnRenamed("id", "item").join(
+            checkpointInterval=1,
+        ).fit(firsts if cfg.iterations else ratings)
+        factors = model.itemFactors
+        if cfg.iterations:
+            factors = item_factors(ratings, model.userFactors, users.count(), index.count(), cfg)
+        vectors = factors.withColumnRenamed("id", "item").join(
             index.withColumn("item", F.col("item").cast("int")), "item"
         )
         params = {

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pannier.config import EmbeddingConfig, FactorConfig, GraphConfig
 from pannier.operators import context
 from pannier.operators.numbering import place_rows
-from pannier.recommend import blocks, embedding, factors
+from pannier.recommend import alternate, blocks, embedding, factors
 from pannier.recommend.blocks import BlockConfig, train_blocks
 from pannier.recommend.embedding import Item2Vec, ItemGraphNode2Vec
 from pannier.recommend.factors import ImplicitBPR
@@ -239,3 +239,33 @@ def test_als_drops_the_shuffle_files_of_each_iteration(spark, monkeypatch):
     monkeypatch.setattr(factors, "ALS", lambda **kw: seen.update(kw) or real(**kw))
     model = factors.ImplicitALS.fit(items_of(spark, BASKETS[:40]), FactorConfig(factors=4, iterations=3))
     assert seen["checkpointInterval"] == 1 and model.tables["vectors"].count() > 0
+
+
+def test_rows_of_few_and_many_ratings_solve_their_equations():
+    rng = np.random.default_rng(9)
+    y = rng.normal(size=(60, 4)).astype(np.float32)
+    own = np.concatenate([np.zeros(2, int), np.full(3, 3), np.ones(54, int), [3]])
+    gram = y.T.astype(float) @ y
+    x = alternate.solve(own, y, 5, gram, 2.0, 0.3)
+    for row in (0, 1, 3):
+        part = y[own == row].astype(float)
+        left = gram + 2.0 * part.T @ part + 0.3 * len(part) * np.eye(4)
+        assert np.allclose(x[row], np.linalg.solve(left, 3.0 * part.sum(axis=0)), atol=1e-6)
+    assert np.isnan(x[[2, 4]]).all()
+
+
+@pytest.mark.parametrize("few", [1 << 15, 60])
+def test_als_equals_sparks(spark, monkeypatch, few):
+    """Same vectors as Spark's ALS, in one block and in many; rows that come twice count twice."""
+    monkeypatch.setattr(alternate, "FEW_RATINGS", few)
+    baskets = [*BASKETS[:120], [0] * 3, list(range(40))]
+    items = items_of(spark, baskets)
+    cfg = FactorConfig(factors=5, iterations=4, alpha=2.0)
+    index = factors.dense_index(items, "item_id", "item").selectExpr("item_id", "cast(item as int) as item")
+    users = factors.dense_index(items, "order_id", "user").selectExpr("order_id", "cast(user as int) as user")
+    ratings = items.join(users, "order_id").join(index, "item_id").selectExpr("user", "item", "cast(1 as float) as rating")
+    sparks = factors.ALS(rank=5, maxIter=4, regParam=0.01, alpha=2.0, implicitPrefs=True, seed=42).fit(ratings)
+    want = vectors(sparks.itemFactors.join(index, sparks.itemFactors.id == index.item).selectExpr("item_id", "features as vec"), "item_id")
+    got = vectors(factors.ImplicitALS.fit(items, cfg).tables["vectors"], "item_id")
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[i], want[i], atol=1e-5) for i in want)

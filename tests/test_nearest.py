@@ -90,3 +90,36 @@ def test_one_cell_is_one_round(spark):
     assert lists(top_k(near.nearest(queries, items, "dot", log=log), 2)) == plain(q, v, 2, "dot")
     assert log == [5]
     assert near.nearest(queries, items.limit(0), "dot").collect() == []
+
+
+def products(q, v, want, last=None):
+    last = np.full(len(q), np.nan) if last is None else last
+    out = collections.defaultdict(list)
+    for i, j, s in zip(*near._search(q, v, np.arange(len(v)), np.asarray(want), last)):
+        assert np.isclose(s, q[i] @ v[j], rtol=1e-12, atol=1e-12)
+        out[i].append(j)
+    return out
+
+
+@pytest.mark.parametrize("tiles", [(256, 2048, 1 << 18), (3, 4, 5)])
+@pytest.mark.parametrize("size", [1e-6, 1.0, 1e3])
+def test_screened_products_equal_all_products(monkeypatch, tiles, size):
+    for name, n in zip(("_QUERIES", "_ITEMS", "_WAITING"), tiles):
+        monkeypatch.setattr(near, name, n)
+    rng = np.random.default_rng(6)
+    q, v = rng.normal(size=(17, 5)), rng.normal(size=(300, 5)) * rng.choice([0.1, 1, 3], (300, 1)) * size
+    v[50:90], v[100:140] = v[3], 0  # many equal items, many zero items
+    want = rng.integers(0, 9, 17)
+    want[2] = 400
+    got, all_ = products(q, v, want), plain(q, v, 400, "dot")
+    assert all(got[i] == all_[i][: want[i]] for i in range(17))
+
+
+def test_a_block_returns_only_what_reaches_the_last_item_wanted():
+    rng = np.random.default_rng(7)
+    q, v = rng.normal(size=(20, 6)), rng.normal(size=(200, 6))
+    s = q @ v.T
+    last = np.sort(s, axis=1)[:, -3]
+    got = products(q, v, np.full(20, 8), last)
+    assert all(got[i] == plain(q, v, 3, "dot")[i] for i in range(20))
+    assert not products(q, v, np.full(20, 8), s.max(axis=1) + 1)
