@@ -241,6 +241,61 @@ def test_als_drops_the_shuffle_files_of_each_iteration(spark, monkeypatch):
     assert seen["checkpointInterval"] == 1 and model.tables["vectors"].count() > 0
 
 
+def test_a_pass_equals_the_plain_formula():
+    """Pairwise and skip-gram steps against sums written out; rows that repeat in a step get all their gradients."""
+    rng = np.random.default_rng(8)
+    l, r = rng.integers(0, 6, 40), rng.integers(0, 5, 40)  # noqa: E741
+    cfg = BlockConfig(factors=3, regularization=0.1, loss="bpr")
+
+    def fresh(side, n):
+        return blocks.Block(side, 0, np.arange(1, n + 1, dtype=np.float32), None, None, cfg)
+
+    def moved(x, rows, grads):
+        sums = np.zeros(x.vec.shape)
+        np.add.at(sums, rows, grads)
+        square = (sums**2).mean(axis=1, keepdims=True)
+        return x.vec + cfg.learning_rate * sums / np.sqrt(square + 1e-8)
+
+    a, b = fresh("l", 6), fresh("r", 5)
+    codes = np.sort(l * 5 + r)
+    draw = np.random.default_rng(1)
+    order, j = draw.permutation(40), draw.integers(0, 5, 40)
+    u, i = l[order], r[order]
+    free = ~np.isin(u * 5 + j, codes)
+    u, i, j = u[free], i[free], j[free]
+    x, seen, other = a.vec[u].astype(float), b.vec[i].astype(float), b.vec[j].astype(float)
+    g = 1 / (1 + np.exp((x * (seen - other)).sum(axis=1)))[:, None]
+    left = moved(a, u, g * (seen - other) - 0.1 * x)
+    right = moved(b, np.concatenate([i, j]), np.concatenate([g * x - 0.1 * seen, -g * x - 0.1 * other]))
+    blocks._bpr_pass(a, b, l, r, None, codes, np.random.default_rng(1), cfg)
+    assert np.allclose(a.vec, left, atol=1e-5) and np.allclose(b.vec, right, atol=1e-5)
+
+    a, b = fresh("l", 6), fresh("r", 5)
+    w = rng.random(40).astype(np.float32)
+    draw = np.random.default_rng(2)
+    order = draw.permutation(40)
+    u, i = l[order], r[order]
+    mass, noise = np.cumsum(a.mass, dtype=float), np.cumsum(b.mass**0.75, dtype=float)
+    n = np.searchsorted(mass, draw.random(blocks.STEP_PAIRS) * mass[-1], "right")
+    m = np.searchsorted(noise, draw.random(blocks.SHARED_NOISE) * noise[-1], "right")
+    each = blocks.NOISE * mass[-1] * noise[-1] / 30 / (blocks.STEP_PAIRS * blocks.SHARED_NOISE)
+    x, y, p, q = (t.astype(float) for t in (a.vec[u], b.vec[i], a.vec[n], b.vec[m]))
+    g = (w[order] / (1 + np.exp((x * y).sum(axis=1))))[:, None]
+    away = -each / (1 + np.exp(-p @ q.T))
+    left = moved(a, np.concatenate([u, n]), np.concatenate([g * y, away @ q]))
+    right = moved(b, np.concatenate([i, m]), np.concatenate([g * x, away.T @ p]))
+    blocks._skipgram_pass(a, b, l, r, w, 30.0, np.random.default_rng(2), cfg)
+    assert np.allclose(a.vec, left, atol=1e-4) and np.allclose(b.vec, right, atol=1e-4)
+
+
+def test_a_steps_gradients_are_left_as_they_were():
+    block = blocks.Block("l", 0, np.ones(3, np.float32), None, None, BlockConfig(factors=2))
+    g = np.ones((3, 2), np.float32)
+    for rows in ([0, 1, 2], [1, 1, 0]):
+        block.step(np.array(rows), g, 0.5)
+        assert (g == 1).all()
+
+
 def test_rows_of_few_and_many_ratings_solve_their_equations():
     rng = np.random.default_rng(9)
     y = rng.normal(size=(60, 4)).astype(np.float32)
