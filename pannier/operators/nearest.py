@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ _EPS = 1e-6
 
 def _rows(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as a matrix."""
+    if column.null_count or len(pa.compute.unique(pa.compute.list_value_length(column))) > 1:
+        raise ValueError("vectors are missing or of unequal lengths")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pannier.operators import nearest as near
@@ -123,3 +124,10 @@ def test_a_block_returns_only_what_reaches_the_last_item_wanted():
     got = products(q, v, np.full(20, 8), last)
     assert all(got[i] == plain(q, v, 3, "dot")[i] for i in range(20))
     assert not products(q, v, np.full(20, 8), s.max(axis=1) + 1)
+
+
+def test_missing_and_unequal_vectors_are_refused():
+    for wrong in ([[1.0, 2.0], None], [[1.0], [1.0, 2.0, 3.0]]):
+        with pytest.raises(ValueError):
+            near._rows(pa.array(wrong, pa.list_(pa.float64())))
+    assert near._rows(pa.array([[1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float32()))).tolist() == [[1, 2], [3, 4]]
